@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from turnweave.llm import language, quality, token_files, urls
+from turnweave.llm import language, pii, quality, token_files, urls
 
 QUERIES = {
     "op5_url_filters": urls.query,
     "op6_token_files": token_files.query,
     "op7_language_id": language.query,
+    "op8_pii": pii.query,
     "op9_quality_rules": quality.query,
 }
 SQL = {
