@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from turnweave.llm import language, pii, quality, token_files, urls
+from turnweave.llm import language, pieces, pii, quality, token_files, urls
 
 QUERIES = {
+    "op2_sentencepiece": pieces.query,
     "op5_url_filters": urls.query,
     "op6_token_files": token_files.query,
     "op7_language_id": language.query,

@@ -37,78 +37,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm.common import table
+from turnweave.llm.common import table, words
+from turnweave.llm.memo import MemoEncoder
 from turnweave.runtime import scratch_path, ship_package
 
 INDEX_MAGIC, TABLE_MAGIC, END_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 END_ID = 2
 
 
-class _Numbered(dict):
-    """Numbers for strings as they first appear."""
-
-    def __init__(self) -> None:
-        self.new: list[bytes] = []
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
-
-
-class ChunkEncoder:
+@lru_cache(maxsize=2)
+def chunk_encoder(path: str) -> MemoEncoder:
     """Encodes texts by their chunks between white space, each distinct chunk once.
 
     Sound for vocabularies whose normaliser and splitter never join or look across ASCII white space,
-    and that drop it. At most ``limit`` chunks are kept."""
-
-    def __init__(self, path: str, limit: int = 600_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
-        self.forget()
-
-    def forget(self) -> None:
-        self.numbers = _Numbered()
-        self.ids = np.empty(0, np.uint32)
-        self.at = np.zeros(1, np.int64)
-
-    def learn(self) -> None:
-        if new := self.numbers.new:
-            got = [x.ids for x in self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)]
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32)])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in got])])
-            new.clear()
-
-    def encode(self, text: str) -> np.ndarray:
-        if len(self.numbers) > self.limit:
-            self.forget()
-        chunks = text.encode().split()
-        n = np.fromiter(map(self.numbers.__getitem__, chunks), np.int64, len(chunks))
-        self.learn()
-        sizes = self.at[n + 1] - self.at[n]
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.at[n] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """As ``encode`` of each, with the unseen chunks of all of them encoded at once."""
-        if len(self.numbers) > self.limit:
-            self.forget()
-        chunks = [t.encode().split() for t in texts]
-        numbers = [np.fromiter(map(self.numbers.__getitem__, c), np.int64, len(c)) for c in chunks]
-        self.learn()
-        out = []
-        for n in numbers:
-            sizes = self.at[n + 1] - self.at[n]
-            ends = np.cumsum(sizes)
-            out.append(self.ids[np.repeat(self.at[n] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
+    and that drop it."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
 
+    def encode_new(chunks: list[bytes]) -> Iterator[list[int]]:
+        return (x.ids for x in tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False))
 
-@lru_cache(maxsize=2)
-def chunk_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+    return MemoEncoder(words, encode_new)
 
 
 def whole_text_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
