@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from turnweave.llm import language, pieces, pii, quality, token_files, urls
+from turnweave.llm import decontaminate, language, pieces, pii, quality, token_files, urls
 
 QUERIES = {
     "op2_sentencepiece": pieces.query,
+    "op4_decontamination": decontaminate.query,
     "op5_url_filters": urls.query,
     "op6_token_files": token_files.query,
     "op7_language_id": language.query,
