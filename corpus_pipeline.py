@@ -1,11 +1,17 @@
-"""Corpus pipeline: the operators of ``turnweave.llm`` in a row, over ``documents``."""
+"""Corpus pipeline: operators of ``turnweave.llm`` in a row, over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; its result is
+written as Parquet in the shared folder and read again. Filtering stages keep rows as they are; the
+last stage returns token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnweave.llm import quality
-from turnweave.runtime import materialise
+from turnweave.llm import decontaminate, jaccard, pieces, pii, quality
+from turnweave.runtime import drop_materialised, materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,12 +19,41 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more over five-word shingles, the one with the smallest id stays."""
+    return jaccard.filter_documents(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with an item of the benchmark go."""
+    return decontaminate.filter_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kinds; n_chars follows the text."""
+    return pii.mask(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, with whether they decode to the text."""
+    return pieces.encode_documents(docs, pieces.default_model())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("PII", personal_data),
+    ("SentencePiece encoding and decoding", sentencepiece_ids),
+]
+#: Training, seeds and pieces can't be written in SQL: tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        done = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        drop_materialised(docs)
+        docs = done
     return docs

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from turnweave.llm import decontaminate, language, pieces, pii, quality, token_files, urls
+from turnweave.llm import decontaminate, jaccard, language, pieces, pii, quality, token_files, urls
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.query,
     "op2_sentencepiece": pieces.query,
     "op4_decontamination": decontaminate.query,
     "op5_url_filters": urls.query,
@@ -14,6 +15,7 @@ QUERIES = {
     "op9_quality_rules": quality.query,
 }
 SQL = {
+    "op1_ngram_jaccard_join": jaccard.SQL,
     "op5_url_filters": urls.SQL,
     "op9_quality_rules": quality.SQL,
 }
