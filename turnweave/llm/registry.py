@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from turnweave.llm import decontaminate, jaccard, language, pieces, pii, quality, token_files, urls
+from turnweave.llm import decontaminate, jaccard, language, pieces, pii, quality, token_counts, token_files, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
     "op2_sentencepiece": pieces.query,
+    "op3_token_counts": token_counts.query,
     "op4_decontamination": decontaminate.query,
     "op5_url_filters": urls.query,
     "op6_token_files": token_files.query,
