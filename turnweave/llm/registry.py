@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnweave.llm import decontaminate, jaccard, language, pieces, pii, quality, token_counts, token_files, urls
+from turnweave.llm import decontaminate, jaccard, language, pieces, pii, quality, suffix_dedup, token_counts, token_files, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_language_id": language.query,
     "op8_pii": pii.query,
     "op9_quality_rules": quality.query,
+    "op10_suffix_dedup": suffix_dedup.query,
 }
 SQL = {
     "op1_ngram_jaccard_join": jaccard.SQL,
