@@ -1,0 +1,531 @@
+"""Each operator against brute force over small, awkward tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from turnweave.llm import decontaminate, induced, jaccard, language, pieces, pii, quality, suffix_dedup, token_counts, token_files, urls
+from turnweave.llm.common import word_hashes
+
+WORDS = "the of and zu que é日本 foo bar baz qux Stop run 12 3.5 a|b".split()
+
+
+def awkward(seed=0, n=40):
+    """Documents with nulls, empty and blank texts, copies, near copies, repeated rows and a long text."""
+    rng = random.Random(seed)
+    texts = [None, "", " \n\t", "one", "one two", "ONE two", "x" * 5000, "wörd " * 300]
+    long = " ".join(rng.choice(WORDS) + str(rng.randint(0, 50)) for _ in range(400))
+    texts += [long, long, long.replace(" the", " THE", 1), " ".join(w if i % 97 else "changed" for i, w in enumerate(long.split()))]
+    while len(texts) < n:
+        texts.append(" ".join(rng.choice(WORDS) + str(rng.randint(0, 3)) for _ in range(rng.randint(1, 60))))
+    rows = [(i * 3, t) for i, t in enumerate(texts)]
+    return [*rows, rows[8], (None, long)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "x", 1, "extra") for i, t in awkward()]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, id string, n long, digest string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string")
+
+
+def key(x):
+    return tuple((v is not None, v if v is not None else 0) if not isinstance(v, str) else (True, v) for v in x)
+
+
+# -- op1
+
+
+def python_sets(rows, width):
+    out = []
+    for _, t in rows:
+        w = [x for x in re.split(rb"[ \t\n\v\f\r]+", (t or "").encode().lower()) if x]
+        out.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    return out
+
+
+def python_components(rows, sets, t):
+    parent = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = rows[a][0], rows[b][0]
+            if x is None or y is None or not sets[a] or not sets[b]:
+                continue
+            k = len(sets[a] & sets[b])
+            if k * t.denominator >= t.numerator * len(sets[a] | sets[b]):
+                p, q = find(x), find(y)
+                parent[max(p, q)] = min(p, q)
+    return [find(i) if i is not None else None for i, _ in rows]
+
+
+@pytest.mark.parametrize("width,t", [(3, Fraction(9, 10)), (5, Fraction(8, 10)), (1, Fraction(1, 2))])
+def test_jaccard_join(spark, docs, width, t):
+    rows = awkward()
+    sets = python_sets(rows, width)
+    want = sorted(zip([i for i, _ in rows], map(len, sets), python_components(rows, sets, t)), key=key)
+    got = jaccard.similar_components(docs, width, t, frequent=2).collect()
+    assert sorted(map(tuple, got), key=key) == want
+
+
+def test_jaccard_join_with_crowded_keys(spark, monkeypatch):
+    """Groups of near copies larger than a bucket, so that pivots and combinations are used."""
+    monkeypatch.setattr(jaccard, "BUCKET", 4)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(60)] = f"z{rng.randint(0, 5)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = python_sets(rows, 1)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(df, 1, Fraction(9, 10), frequent=2).collect()}
+    assert got == dict(zip(range(60), python_components(rows, sets, Fraction(9, 10))))
+
+
+def test_index_keys_lose_no_pair():
+    """Sets with the similarity share a key, whatever members are frequent."""
+    rng = np.random.default_rng(1)
+    t = Fraction(9, 10)
+    for _ in range(300):
+        n = int(rng.integers(1, 80))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = a.copy()
+        for _ in range(int(rng.integers(0, 8))):
+            b[rng.integers(len(b))] = rng.integers(0, 2**63)
+        b = np.unique(b)
+        k = len(np.intersect1d(a, b))
+        if k * t.denominator < t.numerator * (len(a) + len(b) - k):
+            continue
+        both = np.unique(np.concatenate([a, b]))
+        frequent = both[rng.random(len(both)) < rng.random()]
+        x, y = (jaccard.index_keys(s, frequent, t) for s in (a, b))
+        assert len(np.intersect1d(x[0], y[0])) or len(np.intersect1d(x[1], y[1])) or np.array_equal(a, b)
+        most = jaccard.overlap_bound(jaccard.histogram(a), jaccard.histogram(b))
+        assert most is None or most >= k
+
+
+def test_jaccard_filter_keeps_one_of_each_group(docs, empty):
+    kept = jaccard.filter_documents(docs, 3, Fraction(9, 10))
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(24) == 1 and 27 not in ids and 30 not in ids and None in ids
+    assert jaccard.similar_components(empty).count() == 0 == jaccard.filter_documents(empty).count()
+
+
+def test_word_hashes_tell_words_apart():
+    text = " ".join(f"w{i} {'a' * i}" for i in range(200)).encode()
+    h = word_hashes(text)
+    assert len(h) == len(text.split()) and len(set(h.tolist())) == len(set(text.split()))
+    assert len(word_hashes(b"")) == 0 == len(word_hashes(b" \n"))
+
+
+# -- op2
+
+
+@pytest.fixture(scope="module")
+def piece_models():
+    import sentencepiece
+
+    path = pieces.default_model()
+    return pieces.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def test_sentencepiece_equals_library(piece_models):
+    ours, library = piece_models
+    rng = random.Random(2)
+    parts = ["a", "the", "ing", " ", "  ", "\n", "é", "日本", "23", "...", "▁", "😀", "<s>", "\x00x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 15))) for _ in range(1500)] + ["".join(rng.choice("abcdefgh") for _ in range(3000)), " " * 70]
+    got = ours.encode_many(texts)
+    assert [x.tolist() for x in got] == library.encode(texts)
+    for t, x in zip(texts, got):
+        assert ours.decode(x) == library.decode(x.tolist())
+        assert "▁" in t or ours.decode(x) == t
+
+
+def test_unigram_search_is_the_best_path(piece_models):
+    model = pieces.PieceModel(pieces.default_model(), "unigram")
+    rng = random.Random(3)
+    for _ in range(60):
+        s = "".join(rng.choice("abcdeinorst") for _ in range(rng.randint(1, 120)))
+        best = [0.0] + [float("-inf")] * len(s)
+        for j in range(1, len(s) + 1):
+            for i in range(max(0, j - model.longest), j):
+                if s[i:j] in model.ids:
+                    best[j] = max(best[j], best[i] + model.scores[model.ids[s[i:j]]])
+        ids = list(model.search(s))
+        assert "".join(model.pieces[i] for i in ids) == s and sum(model.scores[i] for i in ids) == pytest.approx(best[-1])
+
+
+def test_sentencepiece_documents(docs, empty):
+    rows = pieces.encode_documents(docs, pieces.default_model())
+    back = {(r.doc_id, r.text) for r in pieces.decode_documents(rows, pieces.default_model()).collect()}
+    assert back == set(awkward())
+    assert all(r.round_trip for r in rows.collect())
+    assert pieces.encode_documents(empty, pieces.default_model()).count() == 0
+
+
+# -- op3
+
+
+def test_token_trees_follow_edits(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    pre = token_counts.PreTokens(path, public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    parts = ["a", "bc", "the", "'", "s", "'re", " ", "  ", "\n", "23", ".", "!?", "é", "日", "<|endoftext|>"]
+    text = lambda k: "".join(rng.choice(parts) for _ in range(k))
+    for _ in range(150):
+        monkeypatch.setattr(token_counts, "BLOCK", rng.choice([2, 8, 256]))
+        s = text(rng.randint(0, 60))
+        tree = token_counts.TokenTree(pre, s)
+        for _ in range(8):
+            a = rng.randint(0, len(s))
+            b, new = min(len(s), a + rng.choice([0, 1, 2, 40])), text(rng.choice([0, 1, 6]))
+            s = s[:a] + new + s[b:]
+            tree.edit(a, b, new)
+            assert tree.text() == s and tree.n_tokens == len(library.encode(s, add_special_tokens=False).ids)
+
+
+def test_edits_encode_little():
+    pre = token_counts.pre_tokens(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    tree = token_counts.TokenTree(pre, "some words and more of them " * 500)
+    tree.edit(7000, 7003, "x")
+    assert 0 < tree.encoded < 12
+
+
+def test_token_count_documents(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    got = token_counts.count_tokens(docs, path, public_tokenizers.PATTERN, edits=token_counts.digit_edits).collect()
+    want = sorted(((i, n(t or ""), n(re.sub("[0-9]+", "0", t or ""))) for i, t in awkward()), key=key)
+    assert sorted(((r.doc_id, r.n_tokens, r.n_tokens_after) for r in got), key=key) == want
+    assert token_counts.count_tokens(empty, path, public_tokenizers.PATTERN).count() == 0
+
+
+# -- op4
+
+
+def test_decontamination_finds_substitutions(spark, empty):
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(300)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(n))) for k, n in enumerate([5, 8, 13, 30, 60])] + [(9, None), (10, ""), (11, "v1 v2")]
+    docs, want = [], set()
+    for i in range(60):
+        w = [rng.choice(vocabulary) for _ in range(50)]
+        if i % 2:
+            k = rng.randrange(5)
+            item = items[k][1].split()
+            if len(item) >= 13:
+                for j in range(rng.randint(0, 6), len(item), 7):
+                    item[j] = "other"
+            w[20:20] = item
+            want.add((i, k))
+        docs.append((i, " ".join(w)))
+    docs += [(100, None), (101, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_overlaps(df, bench, block_tokens=40).collect()}
+    assert want <= got
+    block = decontaminate.Block.build(items)
+    for i, k in got:  # nothing that the definition doesn't hold for
+        t, at = decontaminate.tokens(docs[i][1]), block.ids.index(k)
+        assert any(block._verify(t, at, s) for s in range(-60, len(t)))
+    clean = {r.doc_id for r in decontaminate.filter_documents(df, bench).collect()}
+    assert clean == {i for i, _ in docs} - {i for i, _ in got}
+    assert decontaminate.find_overlaps(empty, bench).count() == 0
+    assert decontaminate.find_overlaps(df, bench.where("false")).count() == 0
+
+
+def test_masks_hit_every_two_substitutions():
+    from itertools import combinations
+
+    for wrong in combinations(range(decontaminate.LENGTH), 2):
+        assert any(all(o + j not in wrong for j in m) for m in decontaminate.MASKS for o in range(decontaminate.LENGTH - m[-1]))
+
+
+# -- op5
+
+
+def python_verdict(url, rules):
+    rest = url.split("://", 1)[1] if url and "://" in url else None
+    host = re.match(r"[^/?#]*", rest or "").group()
+    path = re.match(r"[^?#]*", (rest or "")[len(host) :]).group()
+    host = "".join(c.lower() if c.isascii() else c for c in host)
+    fits = [(len(h) + len(p), len(h), v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=None)
+    return host, path, best and best[3], best[2] if best else "allow"
+
+
+def test_urls(spark):
+    pages = [None, "", "no scheme.org/", "http://", "http://A.EXAMPLE.ORG/en/12?x", "http://example.org", "https://example.org/es/", "x://b.com/fr/a#b", "x://b.com/de/", "x://com/de/", "x://acom/de/", "http://org/", "http://a..org/é", "http://ÉX.org?/", "http://x.example.org/en/1"]
+    rows = [(i, u) for i, u in enumerate(pages)] + [(4, pages[4]), (None, pages[7])]
+    df = spark.createDataFrame([(*r, "h", "p") for r in rows], "page_id long, url string, host string, path string")
+    want = sorted(((i, *python_verdict(u, urls.RULES)) for i, u in rows), key=key)
+    for bound in (100, 0):  # told to all tasks, and shuffled
+        got = urls.filter_urls(df, urls.rules_table(spark, urls.RULES), broadcast_rules=bound)
+        assert sorted(map(tuple, got.collect()), key=key) == want
+    assert urls.filter_urls(df.where("false"), urls.rules_table(spark, urls.RULES)).count() == 0
+
+
+# -- op6
+
+
+def test_token_files(spark, docs, empty, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    manifest = token_files.write_token_files(docs, f"file://{tmp_path}/t", path, files=3)
+    got = token_files.read_token_files(spark, manifest).orderBy("start").collect()
+    rows = sorted(awkward(), key=lambda r: (r[0] is not None, r[0] or 0))
+    start = 0
+    assert [r.doc_id for r in got] == [i for i, _ in rows]
+    for r, (_, t) in zip(got, rows):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids) == (start, len(ids), ids)
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+    with open(manifest[-1].path.removeprefix("file://"), "rb") as f:
+        reader = token_files.Reader(f)
+        at = reader.find(24)
+        assert len(at) in (0, 2)
+    data = bytearray(open(manifest[0].path.removeprefix("file://"), "rb").read())
+    import zstandard
+
+    whole = zstandard.ZstdDecompressor().stream_reader(bytes(data), read_across_frames=True).read()
+    assert len(whole) == 2 * manifest[0].n_ids  # any decoder reads the ids and skips the tables
+    assert token_files.write_token_files(empty, f"file://{tmp_path}/e", path) == []
+    assert token_files.read_token_files(spark, []).count() == 0
+
+
+def test_damaged_frames_are_noticed(tmp_path):
+    with open(tmp_path / "x", "wb") as f:
+        w = token_files.Writer(f)
+        for k in range(5):
+            w.add(k, np.arange(100 * k + 1, dtype=np.uint32))
+        w.close()
+    with open(tmp_path / "x", "rb") as f:
+        r = token_files.Reader(f)
+        assert [len(x) for x in r.all()] == [1, 101, 201, 301, 401]
+        assert r.document(r.find(3)[0]).tolist() == list(range(301))
+        r.table = r.table.copy()
+        r.table[2, 2] ^= 1
+        with pytest.raises(ValueError):
+            r.document(2)
+
+
+def test_plain_chunks_equal_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, ours = Tokenizer.from_file(path), token_files.chunk_encoder(path)
+    rng = random.Random(6)
+    parts = ["a", "B", "the", "'s", "'", " ", "\n", "\x1c", "\xa0", "é", "É", "ß", "×", "²", "日", "1", "...", "<|endoftext|>", "e\u0301", "İ", "Σ", "\x85", "ﬁ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    assert [x.tolist() for x in ours.encode_many(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+# -- op7
+
+
+def test_language(spark, sf, empty):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    got = language.identify(df).join(df.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert len(held) > 100 and sum(r.lang_pred == r.lang for r in held) / len(held) > 0.97
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in held) and all(0 <= r.score <= 1 for r in got)
+    odd = spark.createDataFrame([(1, None, None), (2, "", "en"), (3, "123 !?", "en"), (None, "the", "de"), (1, None, None)], df.schema)
+    assert {(r.lang_pred, r.score) for r in language.identify(odd).collect()} == {("und", 0.0)}
+    assert language.identify(empty).count() == 0
+
+
+def test_features_equal_convolution():
+    net = language.train(["der die das und", "the and of it is", "le la les et de"] * 4, ["de", "en", "fr"] * 4, epochs=1)
+    w = language.cut("some Text with é and more " * 30)[0]
+    col = 0
+    got = net.features(w)
+    for width, t, bias in zip(net.widths, net.filters, net.biases):
+        n = language.WINDOW - width + 1
+        want = np.maximum(sum(t[j][w[:, j : j + n].astype(int)] for j in range(width)).max(1) + bias, 0)
+        assert np.allclose(got[:, col : col + len(bias)], want, atol=1e-4)
+        col += len(bias)
+
+
+# -- op8
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum((v := int(c) * (1 + i % 2)) - 9 * (v > 9) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def python_spans(text):
+    out = []
+    for k, (name, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m.group())
+            ok = {"email": True, "ip": name == "ip" and all(int(x) <= 255 for x in m.group().split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[name]
+            if ok:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_pii(spark, empty):
+    rng = random.Random(7)
+    parts = ["a@b.c", "x_d@e.f", "@", ".", "1.2.3.4", "256", "999.", "+1 (389) 555-5010", "+", "4111 1111 1111 1111", "4111-1111-1111-1112", " ", "-", "é", "😀", "12", "7", "word", "(at)", "token = ", "\n"]
+    texts = [None, "", "1" * 2000, "a" * 2000 + "@", "9 " * 700, "a@b" + ".c" * 400, "+1" + " " * 500 + "2"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(300)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, 0, "s") for i, t in [*rows, rows[9], (None, texts[10])]], "doc_id long, text string, kind int, spans string")
+    got = pii.digest(pii.find_spans(df)).collect()
+    assert len(got) == len(rows) + 2
+    for r in got:
+        text = texts[r.doc_id if r.doc_id is not None else 10] or ""
+        base = python_spans(text)
+        written = ",".join(f"{list(BASE)[k]}:{a}:{b}" for a, k, b in base)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for _, k, _ in base) for j in range(4)]
+        assert r.base_sha256 == hashlib.sha256(written.encode()).hexdigest()
+        assert set(filter(None, written.split(","))) <= set(r.spans.split(","))
+    masked = pii.mask(df)
+    assert masked.columns == df.columns and masked.count() == df.count()
+    by_id = {r.doc_id: r.text for r in masked.collect()}
+    assert by_id[2] == texts[2] and by_id[0] is None
+    assert pii.digest(pii.find_spans(empty)).count() == 0 == pii.mask(empty).count()
+
+
+def test_reconcile_trusts_agreeing_labelers():
+    counts = [((1, 1, -1, 1, -1), 100.0), ((0, 0, -1, 0, 0), 100.0), ((0, 1, -1, 0, -1), 20.0)]
+    post, rates = pii.reconcile(counts)
+    assert post[counts[0][0]] > 0.9 and post[counts[1][0]] < 0.1
+    assert all(t > o for t, o in (rates[0], rates[3]))
+
+
+# -- op9
+
+
+def python_repeats(w):
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    hit = {i + j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(5)}
+    return len(hit)
+
+
+def test_repeat_words():
+    rng = random.Random(8)
+    for _ in range(200):
+        w = [str(rng.randint(0, rng.choice([2, 5, 9000]))).encode() for _ in range(rng.randint(0, 60))]
+        assert quality.repeat_words(w) == python_repeats(w)
+    many = [str(i).encode() for i in range(9000)]
+    assert quality.repeat_words(many + many[:7]) == 14
+
+
+def test_quality(docs, empty):
+    got = quality.judge(docs).collect()
+    rows = awkward()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        r = by[i]
+        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), python_repeats(w))
+        assert r.base_failed == (len(w) < 10 or 100 * python_repeats(w) > 20 * len(w)) and (not r.kept or not r.base_failed)
+    kept = quality.filter_documents(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(r.doc_id or -1 for r in got if r.kept)
+    assert quality.judge(empty).count() == 0
+
+
+def test_cascade_order_changes_no_verdict():
+    texts = [t for _, t in awkward(3)]
+    plan = quality.plan_cascade(texts)
+    assert {r.name for r in plan} == {r.name for r in quality.RULES}
+    rates = [r.gain for r in plan]
+    assert rates == sorted(rates, reverse=True)
+    assert [quality.keep(t, plan) for t in texts] == [quality.keep(t, quality.RULES) for t in texts]
+
+
+# -- op10
+
+
+def test_induced_sorting(tmp_path, monkeypatch):
+    rng = random.Random(9)
+    for _ in range(150):
+        monkeypatch.setattr(induced, "BLOCK", rng.choice([3, 64, 1 << 20]))
+        cap = rng.choice([3, 8, 100])
+        t = [rng.randint(0, rng.choice([1, 3, 20])) for _ in range(rng.randint(1, 120))]
+        got = list(induced.sorted_suffixes(np.array(t, np.int16), cap, rng.choice([0, 200, 1 << 30]), str(tmp_path)))
+        order, common = (np.concatenate(x).tolist() for x in zip(*got))
+        assert sorted(order) == list(range(len(t)))
+        for a, b, k in zip(order, order[1:], common[1:]):
+            assert t[a : a + cap] <= t[b : b + cap]
+            same = 0
+            while same < cap and max(a, b) + same < len(t) and t[a + same] == t[b + same]:
+                same += 1
+            assert same == k
+    assert not list(tmp_path.iterdir())
+
+
+def python_dedup(rows):
+    seen, out = set(), []
+    for _, raw in rows:
+        cover, end = bytearray(len(raw)), 0
+        for p in range(len(raw) - 99):
+            w = raw[p : p + 100]
+            if w in seen:
+                cover[max(p, end) : p + 100] = b"\1" * (p + 100 - max(p, end))
+                end = p + 100
+            seen.add(w)
+        kept = bytes(b for b, c in zip(raw, cover) if not c)
+        spans = sum(1 for i, c in enumerate(cover) if c and (i == 0 or not cover[i - 1]))
+        out.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_suffix_dedup(spark, empty, monkeypatch):
+    rng = random.Random(10)
+    passages = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randint(90, 400))) for _ in range(6)]
+    texts = ["ab" * 300, "ab" * 200 + "x", None, "", "a" * 1000, "é" * 120, "z" * 99, "z" * 99, "q" * 100, "q" * 101]
+    for _ in range(60):
+        texts.append("".join(rng.choice(passages) if rng.random() < 0.5 else "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 150))) for _ in range(rng.randint(1, 5))))
+    rows = [(i, (t or "").encode()) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(texts)], "doc_id long, text string, h string, first int").repartition(4)
+    want = python_dedup(rows)
+    for told in (suffix_dedup.TOLD, 0):
+        monkeypatch.setattr(suffix_dedup, "TOLD", told)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}
+        assert [got[i] for i, _ in rows] == want
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_anchors_over_pieces(monkeypatch):
+    raw = np.frombuffer(("some text " * 60 + "other words " * 60).encode(), np.uint8)
+    whole = suffix_dedup.anchors(raw)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 128)
+    cut = suffix_dedup.anchors(raw)
+    assert whole[2].sum() == cut[2].sum() == len(raw) - 99
+    expand = lambda a: np.repeat(a[0], a[2])
+    assert np.array_equal(expand(whole), expand(cut))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,36 @@ def lower_ascii(text: str) -> bytes:
     return text.encode().lower()
 
 
+_IS_WHITE = np.zeros(256, bool)
+_IS_WHITE[list(WHITE.encode())] = True
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        size = 1 << max(16, n.bit_length())
+        for k, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, x, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word (polynomials over the bytes, from running sums), without a loop over words."""
+    b = np.frombuffer(b" " + raw + b" ", np.uint8)
+    white = _IS_WHITE[b]
+    edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers(len(b))
+    sums = np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up)
+    h = (sums[ends - 1] - sums[starts - 1]) * down[starts] + (ends - starts).astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``each`` to Arrow batches of the rows."""
     ship_package(df.sparkSession)

@@ -34,11 +34,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm.common import lower_ascii, map_batches, table
+from turnweave.llm.common import lower_ascii, map_batches, table, word_hashes
 from turnweave.llm.components import components
 from turnweave.runtime import drop_materialised, materialise
 
@@ -48,19 +47,6 @@ BUCKET, PIVOTS, REACH = 64, 16, 4
 MOST_FREQUENT = 200_000
 
 
-class _Words(dict):
-    """64-bit hashes of words; at most a million are kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(29))
@@ -68,37 +54,36 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The set as ascending 64-bit hashes."""
-    words = lower_ascii(text or "").split()
-    if not words:
+    h = word_hashes(lower_ascii(text or ""))
+    if not len(h):
         return np.empty(0, np.uint64)
-    if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    n = len(h) - width + 1
-    out = h[:n].copy()
-    for j in range(1, width):
+    n, size = max(1, len(h) - width + 1), min(width, len(h))
+    out = h[:n] * np.uint64(2 * size + 1)
+    for j in range(1, size):
         out = _mix(out) * np.uint64(0xC2B2AE3D27D4EB4F) + h[j : j + n]
-    return np.unique(_mix(out))
+    out = np.sort(_mix(out))
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def _least_overlap(n: int, t: Fraction) -> int:
     return -(-n * t.numerator // t.denominator)
 
 
-def index_keys(s: np.ndarray, frequent: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Rare members, and combinations of frequent ones, under which a set stands."""
+def index_keys(s: np.ndarray, frequent: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rare members, and combinations of frequent ones, under which a set stands; and the rare members to be counted: some beyond those, as these take the places of members that become frequent, or all of a set that is frequent by half."""
     n = len(s)
     e = n - _least_overlap(n, t)
-    if len(frequent):
-        place = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        known = frequent[place] == s
-    else:
-        known = np.zeros(n, bool)
+    none = np.empty(0, np.uint64)
+    if not len(frequent):
+        return s[: e + 1], none, s[: 2 * e + 2]
+    place = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+    known = frequent[place] == s
     rare = s[~known]
-    if len(rare) > e or not len(frequent):
-        return rare[: e + 1], np.empty(0, np.uint64)
+    counted = rare if 2 * len(rare) < n else rare[: e + 1]
+    if len(rare) > e:
+        return rare[: e + 1], none, counted
     tail = s[known][: e + max(2, e + 1) - len(rare)]
-    return rare, np.concatenate([np.empty(0, np.uint64), *(_mix(_mix(tail[:-d]) + tail[d:] * np.uint64(0x9E3779B97F4A7C15)) for d in range(1, min(REACH, len(tail) - 1) + 1))])
+    return rare, np.concatenate([none, *(_mix(_mix(tail[:-d]) + tail[d:] * np.uint64(0x9E3779B97F4A7C15)) for d in range(1, min(REACH, len(tail) - 1) + 1))]), counted
 
 
 def histogram(s: np.ndarray) -> bytes:
@@ -126,18 +111,18 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _index(docs: DataFrame, width: int, t: Fraction, frequent: np.ndarray) -> DataFrame:
-    """Per row: id, n, digest of the set, histogram, rare keys, combined keys."""
+    """Per row: id, n, digest of the set, histogram, rare keys, combined keys, members to be counted."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(x, width) for x in batch.column(1).to_pylist()]
-        keys = [index_keys(s, held.value, t) if len(s) else (s, s) for s in sets]
+        keys = [index_keys(s, held.value, t) if len(s) else (s, s, s) for s in sets]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes(), usedforsecurity=False).digest() for s in sets], pa.binary()), pa.array([histogram(s) for s in sets], pa.binary()), _lists([r for r, _ in keys]), _lists([c for _, c in keys])],
-            names=["id", "n", "digest", "hist", "rare", "combined"],
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes(), usedforsecurity=False).digest() for s in sets], pa.binary()), pa.array([histogram(s) for s in sets], pa.binary()), *(_lists([k[j] for k in keys]) for j in range(3))],
+            names=["id", "n", "digest", "hist", "rare", "combined", "counted"],
         )
 
-    return map_batches(docs, each, "id long, n long, digest binary, hist binary, rare array<long>, combined array<long>")
+    return map_batches(docs, each, "id long, n long, digest binary, hist binary, rare array<long>, combined array<long>, counted array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -202,14 +187,13 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: Fraction = F
         own = base.join(heads.where("id = head").select("id").distinct(), "id", "left_semi")
         one = lambda column, combined: F.transform(column, lambda k: F.struct(k.alias("key"), F.lit(combined).alias("combined")))
         keys = own.select("id", "n", F.explode(F.concat(one("rare", False), one("combined", True))).alias("k")).select("k.key", "k.combined", "id", "n")
-        counts = materialise(keys.groupBy("key", "combined").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "counts")
-        crowded = counts.where(~F.col("combined") & (F.col("sets") > BUCKET)).limit(1).count()
-        if last or not crowded or len(known) >= MOST_FREQUENT:
+        often = own.select(F.explode("counted").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > frequent)
+        new = often.orderBy(F.desc("sets"), "key").limit(MOST_FREQUENT - len(known)).toPandas()
+        if last or len(known) >= MOST_FREQUENT or not (new["sets"] > BUCKET).any():
             break
-        new = counts.where(~F.col("combined") & (F.col("sets") > frequent)).orderBy(F.desc("sets"), "key").limit(MOST_FREQUENT - len(known))
-        known = np.unique(np.concatenate([known, new.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)]))
-        drop_materialised(counts)
+        known = np.unique(np.concatenate([known, new["key"].to_numpy(np.int64).view(np.uint64)]))
         drop_materialised(base)
+    counts = materialise(keys.groupBy("key", "combined").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "counts")
     index = materialise(keys.join(counts, ["key", "combined"]), "keys")
     drop_materialised(counts)
     sketches = materialise(_near(base, index.select("id").distinct()).select("id", "n", "hist"), "sketches")
