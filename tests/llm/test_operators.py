@@ -514,8 +514,9 @@ def test_suffix_dedup(spark, empty, monkeypatch):
     rows = [(i, (t or "").encode()) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(texts)], "doc_id long, text string, h string, first int").repartition(4)
     want = python_dedup(rows)
-    for told in (suffix_dedup.TOLD, 0):
+    for told, bits in ((suffix_dedup.TOLD, suffix_dedup.MAP_BITS), (0, 10)):  # told or joined; a full map
         monkeypatch.setattr(suffix_dedup, "TOLD", told)
+        monkeypatch.setattr(suffix_dedup, "MAP_BITS", bits)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}
         assert [got[i] for i, _ in rows] == want
     assert suffix_dedup.remove_repeats(empty).count() == 0

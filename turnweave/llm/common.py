@@ -34,7 +34,7 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     if len(_POWERS[0]) < n:
         size = 1 << max(16, n.bit_length())
@@ -51,7 +51,7 @@ def word_hashes(raw: bytes) -> np.ndarray:
     white = _IS_WHITE[b]
     edges = np.flatnonzero(white[1:] != white[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
-    up, down = _powers(len(b))
+    up, down = powers(len(b))
     sums = np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up)
     h = (sums[ends - 1] - sums[starts - 1]) * down[starts] + (ends - starts).astype(np.uint64)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

@@ -9,8 +9,9 @@ smaller id, or in the same one before. To sort the suffixes of just those places
    a context, their bytes. Grams are counted over all documents.
 2. Contexts that are equal as a whole are one class; its first occurrence stands for it, and all
    windows of the others repeat. Very common passages shrink to one context here, before any shuffle.
-3. Where a gram has several classes, the suffixes of their contexts are sorted by induction with
-   common-prefix values (``induced``), one shard of grams at a time, with queues on disk. Neighbours
+3. Where a gram has several classes, their contexts are cut to the windows whose hash is met again, and
+   the suffixes of what is left are sorted by induction with common-prefix values (``induced``), one
+   shard of grams at a time, with queues on disk. Neighbours
    with LENGTH bytes in common are equal windows; all but the earliest repeat.
 
 The repeated windows go back to their documents as ranges, and each document is cut and digested.
@@ -26,18 +27,22 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm.common import map_batches, table
+from turnweave.llm.common import map_batches, powers, table
 from turnweave.llm.induced import sorted_suffixes
 from turnweave.runtime import drop_materialised, materialise, scratch_dir, ship_package
 
 LENGTH, GRAM = 100, 32
-#: Told to all tasks while they are at most so many (8 bytes each); beyond that, joined.
-TOLD = 4_000_000
+#: The grams that occur twice are told to all tasks as a bitmap of at most 2**MAP_BITS bits (16 MB), 32
+#: bits a gram where that fits. Fuller maps let more contexts pass that the classes then find alone.
+MAP_BITS, MAP_PARTS = 27, 6
+#: Lists of contexts or ranges are told to all tasks up to so many, else joined.
+TOLD = 1_000_000
 PIECE = 1 << 22
 _MUL = [pow(0x9E3779B97F4A7C15 | 1, 1 << k, 1 << 64) for k in range(5)]
 _LOW = np.uint64((1 << 24) - 1)
@@ -64,7 +69,8 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         v = np.minimum(v[:n], v[LENGTH - GRAM + 1 - width :][:n])
         place = v & _LOW
         starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        grams.append(h[place[starts].astype(np.int64)])
+        least = h[place[starts].astype(np.int64)] * np.uint64(0x94D049BB133111EB)  # least hashes crowd at the low end: spread them
+        grams.append((least ^ (least >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15))
         first.append(starts + at)
         count.append(np.diff(np.append(starts, n)))
     if not grams:
@@ -77,20 +83,46 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 def _grams(rows: DataFrame) -> DataFrame:
-    """A row for each gram of each document, its own repetitions counted."""
+    """A row for each gram of each batch of documents, its own repetitions counted."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [np.unique(anchors(_bytes(t))[0], return_counts=True) for t in batch.column("text").to_pylist()]
-        grams, counts = (np.concatenate(x) for x in zip(*got, strict=True))
-        grams, where = np.unique(grams, return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.bincount(where, counts, len(grams)).astype(np.int64))], names=["gram", "n"])
+        grams = np.sort(np.concatenate([anchors(_bytes(t))[0] for t in batch.column("text").to_pylist()]))
+        starts = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(grams[starts].view(np.int64)), pa.array(np.diff(np.append(starts, len(grams))).astype(np.int64))], names=["gram", "n"])
 
     return map_batches(rows.select("text"), each, "gram long, n long")
 
 
-def _contexts(rows: DataFrame, told: np.ndarray | None) -> DataFrame:
-    """Contexts of the grams told, or of all: gram, digest of the bytes, id, h, first window, windows."""
-    held = rows.sparkSession.sparkContext.broadcast(told)
+def _bitmap(grams: DataFrame) -> np.ndarray:
+    """Bits for the grams by their high bits, built part by part in tasks; a fixed size comes to the driver."""
+    n = grams.count()
+    bits = min(MAP_BITS, max(MAP_PARTS + 3, (32 * n).bit_length()))
+    size = 1 << (bits - MAP_PARTS - 3)
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = (pdf["gram"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) & (size * 8 - 1)
+        flags = np.zeros(size * 8, bool)
+        flags[at] = True
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "data": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    ship_package(grams.sparkSession)
+    parts = grams.select("gram", F.shiftrightunsigned("gram", 64 - MAP_PARTS).alias("part"))
+    # each place of the map once, however many grams fall on it
+    slots = parts.groupBy("part", F.shiftrightunsigned("gram", 64 - bits).alias("slot")).agg(F.min("gram").alias("gram"))
+    out = np.zeros(size << MAP_PARTS, np.uint8)
+    for r in slots.groupBy("part").applyInPandas(build, "part long, data binary").collect():
+        out[r.part * size : (r.part + 1) * size] = np.frombuffer(r.data, np.uint8)
+    return out
+
+
+def _marked(bitmap: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    at = (grams >> np.uint64(64 - (len(bitmap).bit_length() + 2))).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _contexts(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """Contexts of the grams marked: gram, digest of the bytes, id, h, first window, windows."""
+    held = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = held.value
@@ -98,10 +130,8 @@ def _contexts(rows: DataFrame, told: np.ndarray | None) -> DataFrame:
         for k, text in enumerate(batch.column("text").to_pylist()):
             raw = (text or "").encode()
             grams, first, count = anchors(np.frombuffer(raw, np.uint8))
-            if known is not None and len(grams):
-                place = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
-                keep = known[place] == grams if len(known) else np.zeros(len(grams), bool)
-                grams, first, count = grams[keep], first[keep], count[keep]
+            keep = _marked(known, grams)
+            grams, first, count = grams[keep], first[keep], count[keep]
             digests = [xxhash.xxh3_128_digest(raw[a : a + n + LENGTH - 1]) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
             out.append((np.full(len(grams), k), grams, digests, first, count))
         where, grams, digests, first, count = zip(*out, strict=True)
@@ -117,7 +147,7 @@ def _contexts(rows: DataFrame, told: np.ndarray | None) -> DataFrame:
 def _with_text(ranges: DataFrame, n: int, rows: DataFrame, how: str) -> DataFrame:
     """Documents with an array of what ``ranges`` (id, h, list) holds for them."""
     match = ranges.select(F.col("id").alias("id_"), F.col("h").alias("h_"), "list")
-    match = F.broadcast(match) if n <= TOLD // 4 else match
+    match = F.broadcast(match) if n <= TOLD else match
     return rows.join(match, F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), how).drop("id_", "h_")
 
 
@@ -199,6 +229,31 @@ def repeats_of(contexts: pa.Table, folder: str | None, memory: int = 256 << 20)
     return c, first[c] + pos[starts] - begins[c], np.diff(np.append(starts, len(pos)))
 
 
+def trimmed(shard: pa.Table) -> pa.Table:
+    """The contexts of a shard cut to the span of their windows whose hash is met more than once in the shard. Equal windows have equal hashes, so what goes repeats nothing; what stays is left to the sort."""
+    data = shard.column("data").to_pylist()
+    windows = shard.column("windows").to_numpy()
+    text = np.frombuffer(b"".join(data), np.uint8)
+    begins = np.concatenate([[0], np.cumsum(windows + LENGTH - 1)])
+    up, down = powers(len(text) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[:-1])])
+    at = np.repeat(begins[:-1] - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
+    h = (sums[at + LENGTH] - sums[at]) * down[at]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    order = np.sort(h)
+    twice = order[1:][order[1:] == order[:-1]]
+    twice = twice[np.append(True, twice[1:] != twice[:-1])] if len(twice) else twice
+    hit = at[twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h] if len(twice) else at[:0]
+    c = np.searchsorted(begins, hit, "right") - 1
+    keep = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.empty(0, np.int64)
+    a = hit[keep] - begins[c[keep]]
+    b = hit[np.append(keep[1:], len(hit)) - 1] - begins[c[keep]] + 1 if len(keep) else a
+    rows = shard.take(pa.array(c[keep]))
+    first = rows.column("first").to_numpy() + a
+    cut = [data[k][i : j + LENGTH - 1] for k, i, j in zip(c[keep].tolist(), a.tolist(), b.tolist(), strict=True)]
+    return pa.table({"id": rows.column("id"), "h": rows.column("h"), "first": pa.array(first, pa.int64()), "windows": pa.array(b - a, pa.int64()), "data": pa.array(cut, pa.binary())})
+
+
 def _sorted_shards(contexts: DataFrame, shards: int, folder: str | None) -> DataFrame:
     """Ranges (id, h, first, windows) of repeated windows; a shard is all contexts of its grams."""
     ship_package(contexts.sparkSession)
@@ -208,7 +263,9 @@ def _sorted_shards(contexts: DataFrame, shards: int, folder: str | None) -> Data
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        shard = pa.Table.from_batches(got)
+        shard = trimmed(pa.Table.from_batches(got))
+        if not len(shard):
+            return
         c, first, windows = repeats_of(shard, folder)
         take = pa.array(c)
         yield from pa.table({"id": shard.column("id").take(take), "h": shard.column("h").take(take), "first": pa.array(first, pa.int64()), "windows": pa.array(windows, pa.int64())}).combine_chunks().to_batches(max_chunksize=100_000)
@@ -220,15 +277,10 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
     """The rows as (id, h, text), and all ranges (id, h, first, windows) of windows that start earlier too."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    repeats = rows.groupBy("id", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count() > 0
     # a gram that occurs once, in all, can't repeat
     counts = materialise(_grams(rows).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"), "grams")
-    n = counts.count()
-    if n <= TOLD:
-        told = np.sort(counts.toPandas()["gram"].to_numpy(np.int64).view(np.uint64))
-        found = _contexts(rows, told)
-    else:
-        found = _contexts(rows, None).join(counts, "gram", "left_semi")
-    found = materialise(found, "contexts")
+    found = materialise(_contexts(rows, _bitmap(counts)), "contexts")
     # rows with the same id and text are one occurrence
     one = F.struct("id", "h", "first")
     classes = found.groupBy("gram", "digest").agg(F.min(one).alias("least"), F.max(one).alias("most"), F.first("windows").alias("windows"))
@@ -245,18 +297,14 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size.bytes >> 23) + 1)
         shared = scratch_dir(spark)
         folder = f"{shared.removeprefix('file://')}/turnweave/spools" if shared.startswith(("file:", "/")) else None
-        cut = _cut_out(_with_text(wanted, size.n, rows.dropDuplicates(["id", "h"]) if _has_repeats(rows) else rows, "inner"))
+        cut = _cut_out(_with_text(wanted, size.n, rows.dropDuplicates(["id", "h"]) if repeats else rows, "inner"))
         ranges = ranges.unionByName(_sorted_shards(cut, shards, folder))
-    ranges = materialise(ranges.distinct(), "ranges")
+    ranges = materialise(ranges.distinct() if repeats else ranges, "ranges")
     for x in (counts, found, classes, wanted):
         drop_materialised(x)
     return rows, ranges
 
 
-def _has_repeats(rows: DataFrame) -> bool:
-    return rows.groupBy("id", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count() > 0
-
-
 def _spans(ranges: list[dict]) -> list[tuple[int, int]]:
     """Maximal runs of bytes that the ranges of windows cover."""
     out: list[list[int]] = []
