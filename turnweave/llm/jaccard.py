@@ -42,6 +42,8 @@ from turnweave.llm.components import components
 from turnweave.runtime import drop_materialised, materialise
 
 BUCKET, PIVOTS, REACH = 64, 16, 4
+#: Times that the index is built anew at most; members still crowded then go to the rounds of pivots.
+ROUNDS = 6
 #: Frequent members that are told to all tasks: 8 bytes each. The most frequent come first; any that
 #: are over the bound are treated as rare, which costs time only.
 MOST_FREQUENT = 200_000
@@ -70,7 +72,7 @@ def _least_overlap(n: int, t: Fraction) -> int:
 
 
 def index_keys(s: np.ndarray, frequent: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rare members, and combinations of frequent ones, under which a set stands; and the rare members to be counted: some beyond those, as these take the places of members that become frequent, or all of a set that is frequent by half."""
+    """Rare members, and combinations of frequent ones, under which a set stands; and the rare members to be counted: some beyond those, as these take the places of members that become frequent, or all of a set of whose first members a quarter is frequent."""
     n = len(s)
     e = n - _least_overlap(n, t)
     none = np.empty(0, np.uint64)
@@ -79,7 +81,7 @@ def index_keys(s: np.ndarray, frequent: np.ndarray, t: Fraction) -> tuple[np.nda
     place = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
     known = frequent[place] == s
     rare = s[~known]
-    counted = rare if 2 * len(rare) < n else rare[: e + 1]
+    counted = rare if 4 * int(known[: 2 * e + 2].sum()) >= min(n, 2 * e + 2) else rare[: 2 * e + 2]
     if len(rare) > e:
         return rare[: e + 1], none, counted
     tail = s[known][: e + max(2, e + 1) - len(rare)]
@@ -178,21 +180,27 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: Fraction = F
     t = similarity
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = np.empty(0, np.uint64)
-    heads = index = None
-    for last in (False,) * 5 + (True,):
-        base = materialise(_index(rows, width, t, known), "index")
-        if heads is None:
-            classes = base.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("head"))
-            heads = materialise(base.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", "head"), "heads")
-        own = base.join(heads.where("id = head").select("id").distinct(), "id", "left_semi")
-        one = lambda column, combined: F.transform(column, lambda k: F.struct(k.alias("key"), F.lit(combined).alias("combined")))
-        keys = own.select("id", "n", F.explode(F.concat(one("rare", False), one("combined", True))).alias("k")).select("k.key", "k.combined", "id", "n")
-        often = own.select(F.explode("counted").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > frequent)
+    base = materialise(_index(rows, width, t, known), "index")
+    classes = base.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("head"))
+    heads = materialise(base.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", "head"), "heads")
+    leaders = heads.where("id = head").select("id").distinct()
+    for _ in range(ROUNDS):
+        often = base.join(leaders, "id", "left_semi").select(F.explode("counted").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > frequent)
         new = often.orderBy(F.desc("sets"), "key").limit(MOST_FREQUENT - len(known)).toPandas()
-        if last or len(known) >= MOST_FREQUENT or not (new["sets"] > BUCKET).any():
+        if not (new["sets"] > BUCKET).any():
             break
         known = np.unique(np.concatenate([known, new["key"].to_numpy(np.int64).view(np.uint64)]))
+        # only sets that hold one of them among their first members stand elsewhere now
+        told = F.broadcast(docs.sparkSession.createDataFrame(new[["key"]], "key long"))
+        touched = materialise(base.select("id", F.explode("counted").alias("key")).join(told, "key", "left_semi").select("id").distinct(), "touched")
+        again = base.join(touched, "id", "left_anti").unionByName(_index(_near(rows, touched), width, t, known))
+        again = materialise(again, "index")
         drop_materialised(base)
+        drop_materialised(touched)
+        base = again
+    own = base.join(leaders, "id", "left_semi")
+    one = lambda column, combined: F.transform(column, lambda k: F.struct(k.alias("key"), F.lit(combined).alias("combined")))
+    keys = own.select("id", "n", F.explode(F.concat(one("rare", False), one("combined", True))).alias("k")).select("k.key", "k.combined", "id", "n")
     counts = materialise(keys.groupBy("key", "combined").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "counts")
     index = materialise(keys.join(counts, ["key", "combined"]), "keys")
     drop_materialised(counts)
