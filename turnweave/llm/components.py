@@ -14,7 +14,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Large and small stars in turn: every node hands its larger neighbours to its smallest one, then
     its smaller neighbours and itself, until the links are stars; that takes about the logarithm of
     the longest path in rounds. A node's neighbours are only aggregated and joined, never gathered."""
+    def digest(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first())
+
     edges = materialise(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    state = digest(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -22,9 +26,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new = materialise(small, "edges")
-        state = new.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("us"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        last = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         drop_materialised(edges)
-        edges = new
-        if (state.n, state.h) == (last.n, last.h):
+        before, state, edges = state, digest(new), new
+        if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
