@@ -41,8 +41,8 @@ LENGTH, GRAM = 100, 32
 #: The grams that occur twice are told to all tasks as a bitmap of at most 2**MAP_BITS bits (16 MB), 32
 #: bits a gram where that fits. Fuller maps let more contexts pass that the classes then find alone.
 MAP_BITS, MAP_PARTS = 27, 6
-#: Lists of contexts or ranges are told to all tasks up to so many, else joined.
-TOLD = 1_000_000
+#: Lists of contexts or spans are told to all tasks up to so many (24 bytes each), else joined.
+TOLD = 2_000_000
 PIECE = 1 << 22
 _MUL = [pow(0x9E3779B97F4A7C15 | 1, 1 << k, 1 << 64) for k in range(5)]
 _LOW = np.uint64((1 << 24) - 1)
@@ -317,23 +317,34 @@ def _spans(ranges: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _merged(ranges: DataFrame) -> DataFrame:
+    """(id, h, list of first byte and end): each document's ranges of windows as spans of bytes. The ranges of a document are as many as its contexts at most."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = [[{"first": a, "end": b} for a, b in _spans(x)] for x in batch.column("list").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))], names=["id", "h", "list"])
+
+    grouped = ranges.groupBy("id", "h").agg(F.collect_list(F.struct("first", "windows")).alias("list"))
+    return map_batches(grouped, each, "id long, h long, list array<struct<first:long,end:long>>")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, and kept: the remaining bytes."""
     rows, ranges = repeated_windows(docs, id_col, text_col)
-    grouped = materialise(ranges.groupBy("id", "h").agg(F.collect_list(F.struct("first", "windows")).alias("list")), "ranges_by_document")
-    n = grouped.agg(F.sum(F.size("list")).alias("n")).first().n or 0
+    spans = materialise(_merged(ranges), "spans")
+    drop_materialised(ranges)
+    n = spans.agg(F.sum(F.size("list")).alias("n")).first().n or 0
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for text, found in zip(batch.column("text").to_pylist(), batch.column("list").to_pylist(), strict=True):
-            raw = text.encode()
-            spans = _spans(found or [])
-            kept = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(raw)], strict=True)) if spans else raw
-            out.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
+            raw, found = text.encode(), found or []
+            kept = b"".join(raw[a:b] for a, b in zip([0, *(x["end"] for x in found)], [*(x["first"] for x in found), len(raw)], strict=True))
+            out.append((len(raw), len(raw) - len(kept), len(found), hashlib.sha256(kept).hexdigest(), kept))
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return map_batches(_with_text(grouped, n, rows, "left").select("id", "text", "list"), each, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return map_batches(_with_text(spans, n, rows, "left").select("id", "text", "list"), each, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
