@@ -86,7 +86,7 @@ def test_jaccard_join(spark, docs, width, t):
 def test_jaccard_join_with_crowded_keys(spark, monkeypatch):
     """Groups of near copies larger than a bucket, so that pivots and combinations are used."""
     monkeypatch.setattr(jaccard, "BUCKET", 4)
-    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard, "PIVOTS", 8)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     rows = []

@@ -18,9 +18,11 @@ left. No link depends on it.
 Sets that are equal become one first. Candidates are pairs under one key whose sizes allow a link;
 a histogram of the hashes bounds each pair's overlap from above, and what is left is verified on the
 whole sets. Under a key of at most ``BUCKET`` sets all such pairs are taken; under a larger one
-(combinations that very many sets share) rounds of ``PIVOTS`` pivots are compared with all sets not
-yet known to be in the pivot's component, until each set has been one, so that no group is ever
-gathered and rows made are in proportion to the group for each round.
+(combinations that very many sets share) rounds of ``PIVOTS`` pivots are compared with all sets of
+the group not yet known to be in the pivot's component, until each set has been one, so that no group
+is ever gathered and rows made are in proportion to the group for each round. A large group whose
+sets are all just below the similarity takes the square of its size in comparisons of histograms:
+none of its pairs may be left out.
 
 Defined results: words are cut at ASCII white space, A-Z lower-cased; fewer words than ``width`` make
 one shingle; a null or blank text has no shingle and is linked with nothing; rows with a null id take
@@ -41,7 +43,7 @@ from turnweave.llm.common import lower_ascii, map_batches, table, word_hashes
 from turnweave.llm.components import components
 from turnweave.runtime import drop_materialised, materialise
 
-BUCKET, PIVOTS, REACH = 64, 16, 4
+BUCKET, PIVOTS, REACH = 64, 256, 4
 #: Times that the index is built anew at most; members still crowded then go to the rounds of pivots.
 ROUNDS = 6
 #: Frequent members that are told to all tasks: 8 bytes each. The most frequent come first; any that
@@ -164,6 +166,8 @@ def _near(df: DataFrame, ids: DataFrame, limit: int = 1_000_000) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, t: Fraction) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
+    if not pairs.limit(1).count():
+        return pairs
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "verify_ids")
     sets = materialise(_sets(_near(docs, ids), width), "verify_sets")
     x, y = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
@@ -222,25 +226,28 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: Fraction = F
 
 
 def _pivot_rounds(large: DataFrame, links: DataFrame, comps: DataFrame, sketches: DataFrame, rows: DataFrame, width: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
-    """Links under keys of many sets. Each key's sets are dealt by a hash into PIVOTS parts; in each round the next set of every part, in order of ids, is the pivot for all sets of the key that aren't in its component. A key whose sets are all in one component is done."""
-    place = ["key", "combined", "part"]
-    large = materialise(large.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PIVOTS))), "large")
+    """Links under keys of many sets. Keys that share a set form one group, so that a pair isn't met again under each of its keys. A group's sets are dealt by a hash into PIVOTS parts; in each round the next set of every part, in order of ids, is the pivot for all sets of the group that aren't in its component. A group whose sets are all in one component is done."""
+    least = large.groupBy("key", "combined").agg(F.min("id").alias("least"))
+    groups = components(large.join(least, ["key", "combined"]).select(F.col("id").alias("a"), F.col("least").alias("b")))
+    ids = large.select("id", "n").distinct()
+    members = materialise(ids.join(groups, ids["id"] == groups["node"]).select(F.col("component").alias("g"), "id", "n", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("part")), "groups")
     after: DataFrame | None = None
     while True:
-        named = large.join(comps, large["id"] == comps["node"], "left").select(*place, "id", "n", F.coalesce("component", "id").alias("c"))
-        parted = named.groupBy("key", "combined").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "combined")
-        rest = named if after is None else named.join(after, place, "left").where("last is null or id > last").drop("last")
+        named = members.join(comps, members["id"] == comps["node"], "left").select("g", "part", "id", "n", F.coalesce("component", "id").alias("c"))
+        parted = named.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
+        rest = named if after is None else named.join(after, ["g", "part"], "left").where("last is null or id > last").drop("last")
         next_one = F.min(F.struct(F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("c").alias("pc"))).alias("p")
-        pivots = materialise(rest.join(parted, ["key", "combined"], "left_semi").groupBy(*place).agg(next_one).select(*place, "p.*"), "pivots")
+        pivots = materialise(rest.join(parted, "g", "left_semi").groupBy("g", "part").agg(next_one).select("g", "part", "p.*"), "pivots")
         if not pivots.limit(1).count():
             return links, comps
-        pairs = named.drop("part").join(pivots.drop("part"), ["key", "combined"]).where((F.col("id") != F.col("pid")) & (F.col("c") != F.col("pc")) & _fits(F.col("n"), F.col("pn"), t))
+        pairs = named.drop("part").join(pivots.drop("part"), "g").where((F.col("id") != F.col("pid")) & (F.col("c") != F.col("pc")) & _fits(F.col("n"), F.col("pn"), t))
         pairs = pairs.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
         found = _verified(materialise(_bounded(pairs, sketches, t), "pairs"), rows, width, t)
-        links = materialise(links.unionByName(found), "links")
-        comps = components(links)
-        done = pivots.select(*place, F.col("pid").alias("last"))
-        after = materialise(done if after is None else after.unionByName(done).groupBy(*place).agg(F.max("last").alias("last")), "after")
+        if found.limit(1).count():
+            links = materialise(links.unionByName(found), "links")
+            comps = components(links)
+        done = pivots.select("g", "part", F.col("pid").alias("last"))
+        after = materialise(done if after is None else after.unionByName(done).groupBy("g", "part").agg(F.max("last").alias("last")), "after")
 
 
 def filter_documents(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
