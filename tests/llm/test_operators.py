@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from turnweave.llm import decontaminate, induced, jaccard, language, pieces, pii, quality, suffix_dedup, token_counts, token_files, urls
@@ -522,6 +523,47 @@ def test_suffix_dedup(spark, empty, monkeypatch):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_splits_hot_grams(spark, monkeypatch):
+    rng = random.Random(11)
+    gram = "".join(rng.choice("abcdefgh") for _ in range(200))
+    texts = [gram[rng.randint(0, 90) : rng.randint(100, 200)] + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    texts += [None, "é" * 120, gram, gram]
+    rows = [(i, (t or "").encode()) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])], "doc_id long, text string").repartition(4)
+    largest, shards = [], suffix_dedup._sorted_shards
+
+    def seen(contexts, *args):
+        largest.append(contexts.groupBy("gram").agg({"windows": "sum"}).agg({"sum(windows)": "max"}).first()[0])
+        return shards(contexts, *args)
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_shards", seen)
+    for hot in (suffix_dedup.HOT, 2000, 0):  # none, some and all grams of several classes
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}
+        assert [got[i] for i, _ in rows] == python_dedup(rows)
+    assert len(largest) == 2 and largest[0] > 2000 > largest[1]  # no shard holds a gram beyond the bound
+
+
+def test_trimming_by_blocks(monkeypatch):
+    rng = random.Random(12)
+    data = ["".join(rng.choice("ab") for _ in range(rng.randint(100, 168))).encode() for _ in range(30)]
+    data += [b"xy" + d[:120] for d in data[::3] if len(d) >= 120]
+    rows = [(k, 0, 5, len(d) - 99, d) for k, d in enumerate(data)]
+    shard = pa.table(dict(zip(["id", "h", "first", "windows", "data"], map(list, zip(*rows, strict=True)), strict=True)))
+    whole = suffix_dedup.trimmed(shard).to_pylist()
+    assert whole
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 7)
+    assert suffix_dedup.trimmed(shard).to_pylist() == whole
+    counts = {}
+    for d in data:
+        for w in range(len(d) - 99):
+            counts[d[w : w + 100]] = counts.get(d[w : w + 100], 0) + 1
+    for row in whole:
+        d = data[row["id"]]
+        met = [w for w in range(len(d) - 99) if counts[d[w : w + 100]] > 1]
+        assert (row["first"], row["windows"], row["data"]) == (5 + met[0], met[-1] - met[0] + 1, d[met[0] : met[-1] + 100])
+
+
 def test_anchors_over_pieces(monkeypatch):
     raw = np.frombuffer(("some text " * 60 + "other words " * 60).encode(), np.uint8)
     whole = suffix_dedup.anchors(raw)

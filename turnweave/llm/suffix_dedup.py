@@ -11,8 +11,11 @@ smaller id, or in the same one before. To sort the suffixes of just those places
    windows of the others repeat. Very common passages shrink to one context here, before any shuffle.
 3. Where a gram has several classes, their contexts are cut to the windows whose hash is met again, and
    the suffixes of what is left are sorted by induction with common-prefix values (``induced``), one
-   shard of grams at a time, with queues on disk. Neighbours
+   shard of grams at a time, in the memory of its task. Neighbours
    with LENGTH bytes in common are equal windows; all but the earliest repeat.
+4. A gram whose classes hold more than ``HOT`` bytes is not sorted in one shard: its windows are dealt
+   by the 128-bit digest of their LENGTH bytes, and of equal ones all but the earliest repeat. So no
+   gram makes a shard large.
 
 The repeated windows go back to their documents as ranges, and each document is cut and digested.
 
@@ -25,12 +28,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnweave.llm.common import map_batches, powers, table
@@ -43,6 +48,10 @@ LENGTH, GRAM = 100, 32
 MAP_BITS, MAP_PARTS = 27, 6
 #: Lists of contexts or spans are told to all tasks up to so many (24 bytes each), else joined.
 TOLD = 2_000_000
+#: Grams with more bytes of classes than this are dealt by windows; a quarter of a shard.
+HOT = 2 << 20
+#: Contexts whose windows are hashed at once; a context holds at most 2 * LENGTH - GRAM bytes.
+BLOCK = 8192
 PIECE = 1 << 22
 _MUL = [pow(0x9E3779B97F4A7C15 | 1, 1 << k, 1 << 64) for k in range(5)]
 _LOW = np.uint64((1 << 24) - 1)
@@ -166,6 +175,48 @@ def _cut_out(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text", "id", "h", "list"), each, "gram long, id long, h long, first long, windows long, data binary")
 
 
+def _windows(docs: DataFrame) -> DataFrame:
+    """A row for each window of the contexts listed: digest of its bytes, id, h, the context's first window, its own place."""
+    ship_package(docs.sparkSession)
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for k, (text, contexts) in enumerate(zip(batch.column("text").to_pylist(), batch.column("list").to_pylist(), strict=True)):
+            raw = (text or "").encode()
+            for c in contexts:
+                for at in range(c["first"], c["first"] + c["windows"]):
+                    yield k, xxhash.xxh3_128_digest(raw[at : at + LENGTH]), c["first"], at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in batched(rows(batch), 100_000):
+                k, digest, context, first = zip(*some, strict=True)
+                take = pa.array(k, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), batch.column("id").take(take), batch.column("h").take(take), pa.array(context, pa.int64()), pa.array(first, pa.int64())], names=["digest", "id", "h", "context", "first"])
+
+    return docs.select("text", "id", "h", "list").mapInArrow(run, "digest binary, id long, h long, context long, first long")
+
+
+def _dealt_windows(docs: DataFrame) -> DataFrame:
+    """Ranges (id, h, first, windows) of the windows listed that start earlier too: one shuffle by digests, whose rows are sorted on disk where they are many. A context gives at most LENGTH - GRAM + 1 windows, joined to runs."""
+    number = F.row_number().over(W.partitionBy("digest").orderBy("id", "h", "first"))
+    again = _windows(docs).withColumn("r", number).where("r > 1").groupBy("id", "h", "context").agg(F.collect_list("first").alias("list"))
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        take, first, windows = [], [], []
+        for k, places in enumerate(batch.column("list").to_pylist()):
+            for at in sorted(places):
+                if take and take[-1] == k and at == first[-1] + windows[-1]:
+                    windows[-1] += 1
+                else:
+                    take.append(k)
+                    first.append(at)
+                    windows.append(1)
+        rows = pa.array(take, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("h").take(rows), pa.array(first, pa.int64()), pa.array(windows, pa.int64())], names=["id", "h", "first", "windows"])
+
+    return map_batches(again.select("id", "h", "list"), each, "id long, h long, first long, windows long")
+
+
 def repeats_of(contexts: pa.Table, folder: str | None, memory: int = 256 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, first window, windows) of the runs of windows that a context repeats of an earlier one, by sorting all their suffixes."""
     data = contexts.column("data").to_pylist()
@@ -229,25 +280,36 @@ def repeats_of(contexts: pa.Table, folder: str | None, memory: int = 256 << 20)
     return c, first[c] + pos[starts] - begins[c], np.diff(np.append(starts, len(pos)))
 
 
+def _window_hashes(data: list[bytes], windows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each window of the contexts, BLOCK contexts at a time."""
+    out = []
+    for k in range(0, len(data), BLOCK):
+        n = windows[k : k + BLOCK]
+        text = np.frombuffer(b"".join(data[k : k + BLOCK]), np.uint8)
+        up, down = powers(len(text) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[:-1])])
+        at = np.repeat(np.arange(len(n)) * (LENGTH - 1), n) + np.arange(n.sum())
+        h = (sums[at + LENGTH] - sums[at]) * down[at]
+        out.append((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93))
+    return np.concatenate(out)
+
+
 def trimmed(shard: pa.Table) -> pa.Table:
     """The contexts of a shard cut to the span of their windows whose hash is met more than once in the shard. Equal windows have equal hashes, so what goes repeats nothing; what stays is left to the sort."""
     data = shard.column("data").to_pylist()
     windows = shard.column("windows").to_numpy()
-    text = np.frombuffer(b"".join(data), np.uint8)
-    begins = np.concatenate([[0], np.cumsum(windows + LENGTH - 1)])
-    up, down = powers(len(text) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[:-1])])
-    at = np.repeat(begins[:-1] - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
-    h = (sums[at + LENGTH] - sums[at]) * down[at]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = _window_hashes(data, windows)
     order = np.sort(h)
     twice = order[1:][order[1:] == order[:-1]]
+    del order
     twice = twice[np.append(True, twice[1:] != twice[:-1])] if len(twice) else twice
-    hit = at[twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h] if len(twice) else at[:0]
-    c = np.searchsorted(begins, hit, "right") - 1
+    hit = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h) if len(twice) else np.empty(0, np.int64)
+    ends = np.cumsum(windows)
+    c = np.searchsorted(ends, hit, "right")
     keep = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.empty(0, np.int64)
-    a = hit[keep] - begins[c[keep]]
-    b = hit[np.append(keep[1:], len(hit)) - 1] - begins[c[keep]] + 1 if len(keep) else a
+    begins = (ends - windows)[c[keep]]
+    a = hit[keep] - begins
+    b = hit[np.append(keep[1:], len(hit)) - 1] - begins + 1 if len(keep) else a
     rows = shard.take(pa.array(c[keep]))
     first = rows.column("first").to_numpy() + a
     cut = [data[k][i : j + LENGTH - 1] for k, i, j in zip(c[keep].tolist(), a.tolist(), b.tolist(), strict=True)]
@@ -255,7 +317,7 @@ def trimmed(shard: pa.Table) -> pa.Table:
 
 
 def _sorted_shards(contexts: DataFrame, shards: int, folder: str | None) -> DataFrame:
-    """Ranges (id, h, first, windows) of repeated windows; a shard is all contexts of its grams."""
+    """Ranges (id, h, first, windows) of repeated windows; a shard is all contexts of its grams, none of which holds more than HOT bytes."""
     ship_package(contexts.sparkSession)
     schema = "id long, h long, first long, windows long"
 
@@ -264,6 +326,7 @@ def _sorted_shards(contexts: DataFrame, shards: int, folder: str | None) -> Data
         if not got:
             return
         shard = trimmed(pa.Table.from_batches(got))
+        got.clear()
         if not len(shard):
             return
         c, first, windows = repeats_of(shard, folder)
@@ -288,16 +351,22 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
     # of classes with several occurrences, all but the first
     again = found.join(classes.where("least <> most").select("gram", "digest", "least"), ["gram", "digest"]).where(~one.eqNullSafe(F.col("least"))).select("id", "h", "first", "windows")
     # grams with several classes: the first occurrences of each
-    mixed = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
-    wanted = classes.join(mixed, "gram").select("gram", "least.id", "least.h", "least.first", "windows")
-    wanted = materialise(wanted.groupBy("id", "h").agg(F.collect_list(F.struct("gram", "first", "windows")).alias("list")), "wanted")
-    size = wanted.agg(F.sum(F.size("list")).alias("n"), F.sum(F.aggregate("list", F.lit(0).cast("long"), lambda a, c: a + c["windows"] + LENGTH)).alias("bytes")).first()
+    mixed = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), (F.sum(F.col("windows") + LENGTH) > HOT).alias("hot")).where("k > 1").select("gram", "hot")
+    wanted = classes.join(mixed, "gram").select("gram", "hot", "least.id", "least.h", "least.first", "windows")
+    lists = [F.collect_list(F.when(hot, F.struct("gram", "first", "windows"))).alias(name) for name, hot in (("list", ~F.col("hot")), ("hot", F.col("hot")))]
+    wanted = materialise(wanted.groupBy("id", "h").agg(*lists), "wanted")
+    size = wanted.agg(F.sum(F.size("list")).alias("n"), F.sum(F.size("hot")).alias("n_hot"), F.sum(F.aggregate("list", F.lit(0).cast("long"), lambda a, c: a + c["windows"] + LENGTH)).alias("bytes")).first()
     ranges = again
+    texts = rows.dropDuplicates(["id", "h"]) if repeats else rows
+    if size.n_hot:
+        hot = wanted.where(F.size("hot") > 0).select("id", "h", F.col("hot").alias("list"))
+        ranges = ranges.unionByName(_dealt_windows(_with_text(hot, size.n_hot, texts, "inner")))
     if size.n:
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size.bytes >> 23) + 1)
         shared = scratch_dir(spark)
         folder = f"{shared.removeprefix('file://')}/turnweave/spools" if shared.startswith(("file:", "/")) else None
-        cut = _cut_out(_with_text(wanted, size.n, rows.dropDuplicates(["id", "h"]) if repeats else rows, "inner"))
+        cold = wanted.where(F.size("list") > 0).select("id", "h", "list")
+        cut = _cut_out(_with_text(cold, size.n, texts, "inner"))
         ranges = ranges.unionByName(_sorted_shards(cut, shards, folder))
     ranges = materialise(ranges.distinct() if repeats else ranges, "ranges")
     for x in (counts, found, classes, wanted):
