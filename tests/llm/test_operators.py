@@ -269,6 +269,21 @@ def test_masks_hit_every_two_substitutions():
         assert any(all(o + j not in wrong for j in m) for m in decontaminate.MASKS for o in range(decontaminate.LENGTH - m[-1]))
 
 
+@pytest.mark.parametrize("n", range(1, 14))
+def test_every_allowed_substitution_is_found(n):
+    from itertools import combinations
+
+    item = [f"w{k}" for k in range(n)]
+    block = decontaminate.Block.build([(7, " ".join(item))])
+    allowed = 0 if n < 9 else n - -(-8 * n // 10)  # fewer than nine tokens must be equal
+    for k in range(allowed + 2):
+        for wrong in combinations(range(n), k):
+            text = " ".join(["a", *("x" if j in wrong else w for j, w in enumerate(item)), "b"])
+            found = block.overlaps(text)
+            assert [f[0] for f in found] == ([7] if k <= allowed else []), (n, wrong)
+            assert not found or found[0][1:4] == (1, n + 1, n - k)
+
+
 # -- op5
 
 

@@ -2,7 +2,9 @@
 
 Texts are cut into tokens (runs of letters, digits and other characters above ASCII, in lower case).
 A seed hashes the six tokens that a fixed mask keeps out of eight or nine neighbours and ignores the
-others. Between them the two masks hit every run of 13 tokens with at most two substitutions.
+others. Between them the two masks hit every run of 13 tokens with at most two substitutions. Items of
+9 to 12 tokens give fewer places: they have further masks, by their length, so that every set of
+substitutions that leaves 80 % of their tokens is hit.
 
 The seeds of the benchmark, in a table with a bitmap before it, are joined with the seeds of every
 document at every place. Each hit fixes an item, and how far it is shifted against the document;
@@ -24,6 +26,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +80,34 @@ def _seeds(t: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return _mix(out)
 
 
+def needed(n: int) -> int:
+    """Equal tokens that an item of n tokens, or a window of LENGTH of a longer one, must have."""
+    width = min(LENGTH, n)
+    return width if n < SPAN else int(np.ceil(SHARE * width))
+
+
+@lru_cache
+def masks_of(n: int) -> tuple[tuple[int, ...], ...]:
+    """Masks for items of n tokens: the fixed ones, and for fewer than LENGTH tokens those that hit what substitutions the fixed ones miss, the most at a time."""
+    if n < SPAN:
+        return (tuple(range(n)),) if n else ()
+    if n >= LENGTH:
+        return MASKS
+    missed = set(combinations(range(n), n - needed(n)))
+
+    def hit(mask: tuple[int, ...]) -> set[tuple[int, ...]]:
+        return {w for w in missed if any(all(o + j not in w for j in mask) for o in range(n - mask[-1]))}
+
+    out = list(MASKS)
+    for mask in MASKS:
+        missed -= hit(mask)
+    more = [(0, *rest) for rest in combinations(range(1, n), len(MASKS[0]) - 1)]
+    while missed:
+        out.append(max(more, key=lambda m: len(hit(m))))
+        missed -= hit(out[-1])
+    return tuple(out)
+
+
 @dataclass
 class Block:
     """Some items of the benchmark with their seeds."""
@@ -92,11 +124,10 @@ class Block:
     def build(cls, rows: list[tuple]) -> "Block":
         ids = [i for i, _ in rows]
         items = [tokens(t) for _, t in rows]
-        short = sorted({len(x) for x in items if 0 < len(x) < SPAN})
-        masks = [*MASKS, *(tuple(range(n)) for n in short)]
+        masks = list(dict.fromkeys([*MASKS, *(m for n in sorted({len(x) for x in items}) for m in masks_of(n))]))
         keys, where = [], []
         for k, x in enumerate(items):
-            for m in MASKS if len(x) >= SPAN else [tuple(range(len(x)))] if len(x) else []:
+            for m in masks_of(len(x)):
                 h = _seeds(x, m)
                 keys.append(h)
                 where.append(np.stack([np.full(len(h), k), np.arange(len(h))], 1))
@@ -142,8 +173,7 @@ class Block:
             return None
         same = t[shift + a : shift + b] == item[a:b]
         sums = np.concatenate([[0], np.cumsum(same)])
-        need = width if len(item) < SPAN else int(np.ceil(SHARE * width))
-        good = np.flatnonzero(sums[width:] - sums[:-width] >= need)
+        good = np.flatnonzero(sums[width:] - sums[:-width] >= needed(len(item)))
         if not len(good):
             return None
         first, end = int(good[0]), int(good[-1]) + width
