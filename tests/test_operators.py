@@ -286,3 +286,29 @@ def test_streamed_hysteresis_equals_batch(spark, tmp_path):
     batch = frames.hysteresis(spark.createDataFrame(rows, "uri string, frame long, score double"), 0.7, 0.3)
     got = {(r.uri, r.frame): r.active for r in spark.sql("SELECT * FROM hys").collect()}
     assert got == {(r.uri, r.frame): r.active for r in batch.collect()}
+
+
+def test_every_window_with_a_valid_partner_gets_one(spark):
+    rng = random.Random(8)
+    windows, speakers, segments = [], {}, []
+    for uri in ("crowded", "mixed", "lone"):
+        for w in range({"crowded": 60, "mixed": 40, "lone": 1}[uri]):
+            labels = {"a"} if uri == "crowded" and w not in (7, 31) else set(rng.sample("abcde", rng.choice([0, 0, 1, 2, 3])))
+            windows.append((uri, w, w * 10.0, w * 10.0 + 10))
+            segments += [(uri, x, w * 10.0 + 1, w * 10.0 + 9) for x in labels]
+            speakers[uri, w] = labels
+    w = spark.createDataFrame(windows, "uri string, window long, start double, end double").repartition(3)
+    s = spark.createDataFrame(segments, "uri string, label string, start double, end double")
+    for most in (1, 3):
+        valid = {
+            (u, i): {j for (v, j), b in speakers.items() if v == u and j != i and not a & b and len(a) + len(b) <= most}
+            for (u, i), a in speakers.items()
+        }
+        got = {}
+        for r in metadata.mixture_partners(w, s, most, 50.0, 5).collect():
+            assert (r.uri, r.window) not in got
+            got[r.uri, r.window] = r.partner
+        assert set(got) == {k for k, v in valid.items() if v}
+        assert all(p in valid[k] for k, p in got.items())
+    again = metadata.mixture_partners(w.repartition(7), s, most, 50.0, 5).collect()
+    assert {(r.uri, r.window): r.partner for r in again} == got

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from turnweave.functions.scalars import uniform
 from turnweave.operators.intervals import interval_join
@@ -118,11 +119,22 @@ def class_balanced(turns: DataFrame, per_class: int, duration: float, seed: int)
 
 
 def mixture_partners(windows: DataFrame, segments: DataFrame, most: int, bucket: float, seed: int) -> DataFrame:
-    """For each window the first other window of the file, in the order of a hash of their sequence, that shares no speaker and keeps the total within ``most``: the sequence pairs each window with the few after it."""
-    labels = interval_join(windows.select("uri", "window", "start", "end"), segments.select("uri", "label", "start", "end"), ["uri"], bucket).groupBy("uri", "window").agg(F.array_sort(F.collect_set("r_label")).alias("speakers"))
-    order = W.partitionBy("uri").orderBy(F.xxhash64(F.lit(seed), "window"), "window")
-    rows = labels
-    for d in range(1, 9):
-        rows = rows.withColumn(f"_p{d}", F.lead(F.struct("window", "speakers"), d).over(order))
-    fits = [F.when(F.col(f"_p{d}").isNotNull() & ~F.arrays_overlap(F.col(f"_p{d}.speakers"), "speakers") & (F.size(f"_p{d}.speakers") + F.size("speakers") <= most), F.col(f"_p{d}.window")) for d in range(1, 9)]
-    return rows.select("uri", "window", F.coalesce(*fits).alias("partner")).where("partner is not null")
+    """For each window that has any, one other window of the file that shares no speaker and keeps the total within ``most``, drawn by a hash of the window among all such; windows without speakers take part.
+
+    Windows are counted by their set of speakers; pairs are made of a file's distinct sets, and each window draws a number among those of the sets that fit its own."""
+    label = segments.schema["label"].dataType
+    met = interval_join(windows.select("uri", "window", "start", "end"), segments.select("uri", "label", "start", "end"), ["uri"], bucket).groupBy("uri", "window").agg(F.array_sort(F.collect_set("r_label")).alias("speakers"))
+    rows = windows.select("uri", "window").join(met, ["uri", "window"], "left").withColumn("speakers", F.coalesce("speakers", F.array().cast(ArrayType(label))))
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("uri", "speakers").orderBy("window")) - 1)
+    sets = rows.groupBy("uri", "speakers").agg(F.count(F.lit(1)).alias("k"))
+    pairs = sets.select("uri", "speakers").join(sets.select("uri", F.col("speakers").alias("theirs"), "k"), "uri").where(~F.arrays_overlap("speakers", "theirs") & (F.size("speakers") + F.size("theirs") <= most))
+    # a set without speakers fits itself, but a window doesn't
+    pairs = pairs.withColumn("k", F.col("k") - (F.col("speakers") == F.col("theirs")).cast("long")).where("k > 0")
+    run = W.partitionBy("uri", "speakers").orderBy("theirs").rowsBetween(W.unboundedPreceding, 0)
+    fits = pairs.withColumn("lo", F.sum("k").over(run) - F.col("k")).groupBy("uri", "speakers").agg(F.sum("k").alias("n"), F.collect_list(F.struct("lo", "k", "theirs")).alias("fits"))
+    drawn = rows.join(fits, ["uri", "speakers"]).withColumn("r", F.floor(uniform(seed, F.col("window")) * F.col("n")))
+    drawn = drawn.withColumn("pick", F.filter("fits", lambda x: (x["lo"] <= F.col("r")) & (F.col("r") < x["lo"] + x["k"]))[0])
+    at = F.col("r") - F.col("pick.lo")
+    at = at + ((F.col("pick.theirs") == F.col("speakers")) & (at >= F.col("rank"))).cast("long")
+    drawn = drawn.select("uri", "window", F.col("pick.theirs").alias("speakers"), at.alias("rank"))
+    return drawn.join(rows.select("uri", F.col("window").alias("partner"), "speakers", "rank"), ["uri", "speakers", "rank"]).select("uri", "window", "partner")
