@@ -132,6 +132,16 @@ def test_jaccard_filter_keeps_one_of_each_group(docs, empty):
     assert jaccard.similar_components(empty).count() == 0 == jaccard.filter_documents(empty).count()
 
 
+def test_jaccard_filter_keeps_different_texts_of_one_id(spark):
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(40))
+    near = text("a").replace("aw39", "other")
+    rows = [(1, text("a")), (2, text("b")), (2, text("c")), (2, text("c")), (2, near), (3, text("d")), (4, None), (4, ""), (None, text("a"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in jaccard.filter_documents(df).collect()]
+    gone = {(2, near)}  # a near copy of document 1; the other texts of id 2 stay
+    assert sorted(got, key=key) == sorted({r for r in rows if r not in gone}, key=key)
+
+
 def test_word_hashes_tell_words_apart():
     text = " ".join(f"w{i} {'a' * i}" for i in range(200)).encode()
     h = word_hashes(text)

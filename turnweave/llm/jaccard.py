@@ -251,13 +251,19 @@ def _pivot_rounds(large: DataFrame, links: DataFrame, comps: DataFrame, sketches
 
 
 def filter_documents(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group of linked documents the one with the smallest id, all columns unchanged; of rows that share an id, one. Rows without an id stay."""
-    comps = materialise(similar_components(docs, width, similarity, id_col, text_col).select(F.col(id_col).alias("id"), F.col("component_id").alias("c")).where("id is not null"), "components")
-    gone = comps.where("c <> id").select(F.col("id").alias(id_col)).distinct()
-    if comps.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count():
+    """Of each group of linked documents the one with the smallest id, all columns unchanged; of rows that share id and text, one. Rows that share an id alone are documents of their own, in the order of their texts' digests. Rows without an id stay."""
+    columns, key = docs.columns, id_col
+    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count():
+        docs = docs.withColumn("_digest", F.coalesce(F.sha2(text_col, 256), F.lit("")))
         named = F.col(id_col).isNotNull()
-        docs = docs.where(named).dropDuplicates([id_col]).unionByName(docs.where(~named))
-    return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, id_col, "left_anti").select(*docs.columns)
+        # numbers in the order of (id, digest): a sorted table's parts follow each other
+        numbers = docs.where(named).select(id_col, "_digest").distinct().orderBy(id_col, "_digest").withColumn("_row", F.monotonically_increasing_id())
+        numbers = materialise(numbers, "numbers")
+        docs = docs.where(named).dropDuplicates([id_col, "_digest"]).join(numbers, [id_col, "_digest"]).unionByName(docs.where(~named).withColumn("_row", F.lit(None).cast("long")))
+        key = "_row"
+    comps = materialise(similar_components(docs, width, similarity, key, text_col).select(F.col(key).alias("id"), F.col("component_id").alias("c")).where("id is not null"), "components")
+    gone = comps.where("c <> id").select(F.col("id").alias(key)).distinct()
+    return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, key, "left_anti").select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
