@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,12 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def log_softmax(x: Column, group: WindowSpec) -> Column:
+    """Of a score among those of its group, taken from the highest so that nothing overflows."""
+    top = F.max(x).over(group)
+    return x - top - F.log(F.sum(F.exp(x - top)).over(group))
+
+
 def uniform(seed: int, *key: Column) -> Column:
     """A number in [0, 1) that depends on the seed and the key alone: the same on any partitioning."""
     return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 52)) / float(1 << 52)

@@ -3,6 +3,8 @@ one group's small matrix (classes by classes) is solved in Python."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,12 +56,15 @@ def solve_greedy(gain: np.ndarray) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def permute(y1: np.ndarray, y2: np.ndarray, cost: str = "mse") -> tuple[np.ndarray, list[int | None], np.ndarray]:
-    """(frames, classes) arrays: y2's columns brought into y1's order, which column stands for each of y1's (None: none), and the costs. More columns in y2 than in y1: the best of them."""
+def permute(y1: np.ndarray, y2: np.ndarray, cost: str | Callable[[np.ndarray, np.ndarray], float] = "mse") -> tuple[np.ndarray, list[int | None], np.ndarray]:
+    """(frames, classes) arrays: y2's columns brought into y1's order, which column stands for each of y1's (None: none), and the costs. More columns in y2 than in y1: the best of them. The cost of two columns is ``mse``, ``mae`` or a function of both."""
     if len(y1) != len(y2):
         raise ValueError("different numbers of frames")
-    diff = y1[:, :, None] - y2[:, None, :]
-    costs = (diff**2 if cost == "mse" else np.abs(diff)).mean(0)
+    if callable(cost):
+        costs = np.array([[cost(a, b) for b in y2.T] for a in y1.T])
+    else:
+        diff = y1[:, :, None] - y2[:, None, :]
+        costs = (diff**2 if cost == "mse" else np.abs(diff)).mean(0)
     order: list[int | None] = [None] * y1.shape[1]
     for r, c in solve(costs):
         order[r] = c
@@ -126,13 +131,13 @@ def constrained_argmax(soft: DataFrame) -> DataFrame:
 
 
 def permutation_graph(chunks: DataFrame, frames_per_chunk: int, duration: float, step: float, onset: float = 0.5) -> DataFrame:
-    """Edges (uri, chunk, k, r_chunk, r_k) between classes of chunks that overlap: the optimal pairs whose members are both active."""
+    """Edges (uri, chunk, k, r_chunk, r_k, cost) between classes of chunks that overlap: the optimal pairs whose members are both active. Each frame goes to the place it has in every near chunk, so that the join is on (uri, chunk, frame)."""
     reach = int(np.floor(duration / step - 1))
     shift = F.rint((F.col("r_chunk") - F.col("chunk")) * frames_per_chunk * step / duration).cast("long")
     left = chunks.select("uri", "chunk", "frame", "k", "score")
     near = chunks.select("uri", F.col("chunk").alias("r_chunk"), F.col("frame").alias("r_frame"), F.col("k").alias("r_k"), F.col("score").alias("r_score"))
     near = near.withColumn("chunk", F.explode(F.sequence(F.col("r_chunk") - reach, F.col("r_chunk") + reach))).where("chunk <> r_chunk")
-    both = left.join(near, ["uri", "chunk"]).where(F.col("frame") == F.col("r_frame") + shift)
+    both = left.join(near.withColumn("frame", F.col("r_frame") + shift), ["uri", "chunk", "frame"])
     costs = both.groupBy("uri", "chunk", "r_chunk", "k", "r_k").agg(F.avg((F.col("score") - F.col("r_score")) ** 2).alias("c"), F.max("score").alias("x"), F.max("r_score").alias("y"))
     ship_package(chunks.sparkSession)
 

@@ -294,6 +294,14 @@ def assign(embeddings: DataFrame, trained: DataFrame, constrained: bool = False,
     return hard_assignment(soft_assignment(embeddings, centroids(known), ["uri"], metric), constrained)
 
 
+def reordered_centroids(centres: DataFrame, activations: DataFrame) -> DataFrame:
+    """A centroid for every class of a file, in the order of classes; classes that no embedding stands for have zeros."""
+    size = centres.groupBy("uri").agg(F.max(F.size("centroid")).alias("_n"))
+    classes = activations.select("uri", F.col("k").cast("long").alias("cluster")).distinct().join(size, "uri")
+    zeros = F.transform(F.sequence(F.lit(1), F.col("_n")), lambda _: F.lit(0.0))
+    return classes.join(centres, ["uri", "cluster"], "left").select("uri", "cluster", F.coalesce("centroid", zeros).alias("centroid"))
+
+
 def oracle_assignment(chunks: DataFrame, truth: DataFrame) -> DataFrame:
     """Clusters by the best match of each chunk's speakers with the true speakers of the chunk."""
     from turnweave.operators.assignment import permute_frames
@@ -321,12 +329,13 @@ class Isotonic:
     def column(self, score: str = "score"):
         """Linear between the boundaries, constant outside, 2 for missing scores."""
         x = F.col(score).cast("double")
-        b, v = self.bounds, self.values
-        out = F.when(x.isNull() | F.isnan(x), F.lit(2.0)).when(x <= b[0], F.lit(v[0]))
-        for i in range(1, len(b)):
-            if b[i] > b[i - 1]:
-                out = out.when(x <= b[i], v[i - 1] + (v[i] - v[i - 1]) * (x - b[i - 1]) / (b[i] - b[i - 1]))
-        return out.otherwise(F.lit(v[-1]))
+        knots = [(b, v) for k, (b, v) in enumerate(zip(self.bounds, self.values, strict=True)) if not k or b > self.bounds[k - 1]]
+        b, v = F.lit([float(k[0]) for k in knots]), F.lit([float(k[1]) for k in knots])
+        # halving: the number of knots below x, in as many steps as the number has bits
+        steps = F.lit([1 << bit for bit in reversed(range(len(knots).bit_length()))])
+        place = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(knots)) & (F.get(b, at + step - 1) < x), at + step).otherwise(at))
+        rows = F.transform(F.array(place), lambda i: F.when(i == 0, F.get(v, F.lit(0))).when(i == len(knots), F.get(v, F.lit(len(knots) - 1))).otherwise(F.get(v, i - 1) + (F.get(v, i) - F.get(v, i - 1)) * (x - F.get(b, i - 1)) / (F.get(b, i) - F.get(b, i - 1))))
+        return F.when(x.isNull() | F.isnan(x), F.lit(2.0)).otherwise(F.get(rows, F.lit(0)))
 
     def save(self, path: str) -> None:
         import json
@@ -343,7 +352,3 @@ class Isotonic:
         with open(path) as f:
             d = json.load(f)
         return cls(tuple(d["bounds"]), tuple(d["values"]))
-
-
-def best_match(cost: np.ndarray) -> list[tuple[int, int]]:
-    return solve(cost)

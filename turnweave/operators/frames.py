@@ -93,17 +93,21 @@ def hysteresis(frames: DataFrame, onset: float, offset: float | None = None, ini
 
 
 def binarize(frames: DataFrame, onset: float, offset: float | None, step: float, duration: float, start: float = 0.0, pad_onset: float = 0.0, pad_offset: float = 0.0, min_duration_on: float = 0.0, min_duration_off: float = 0.0, keys: Sequence[str] = ("uri",)) -> DataFrame:
-    """Scores to segments between the middles of the first frame on and the first frame off; the last one ends at the last middle. A null score holds the state."""
+    """Scores to segments between the middles of the first frame on and the first frame off; the last one ends at the last middle. A null score holds the state. Where frames are missing the signal ends and begins anew: what is on there ends at the middle of the last frame before."""
     from turnweave.operators.intervals import drop_short, support
 
     offset = onset if offset is None else offset
     order = W.partitionBy(*keys).orderBy("frame")
+    # parts of the file between missing frames; one exchange by the keys serves all windows
+    jump = F.when(F.col("frame") - F.lag("frame").over(order) > 1, 1).otherwise(0)
+    rows = frames.withColumn("_jump", jump).withColumn("_part", F.sum("_jump").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    order = W.partitionBy(*keys, "_part").orderBy("frame")
     held = order.rowsBetween(W.unboundedPreceding, 0)
     state = F.when(F.col("score") > onset, 1).when(F.col("score") < offset, 0)
-    rows = frames.select(*keys, "frame", F.coalesce(F.last(state, ignorenulls=True).over(held), F.lit(0)).alias("_on"))
+    rows = rows.select(*keys, "_part", "frame", F.coalesce(F.last(state, ignorenulls=True).over(held), F.lit(0)).alias("_on"))
     rows = rows.withColumn("_run", F.sum(F.when(F.col("_on") != F.coalesce(F.lag("_on").over(order), F.lit(-1)), 1).otherwise(0)).over(held))
-    runs = rows.groupBy(*keys, "_run").agg(F.min("frame").alias("_a"), F.max("frame").alias("_b"), F.max("_on").alias("_on"))
-    following = F.lead("_a").over(W.partitionBy(*keys).orderBy("_run"))
+    runs = rows.groupBy(*keys, "_part", "_run").agg(F.min("frame").alias("_a"), F.max("frame").alias("_b"), F.max("_on").alias("_on"))
+    following = F.lead("_a").over(W.partitionBy(*keys, "_part").orderBy("_run"))
     middle = lambda c: start + c * step + duration / 2
     out = runs.withColumn("_next", F.coalesce(following, F.col("_b"))).where("_on = 1").select(*keys, (middle(F.col("_a")) - pad_onset).alias("start"), (middle(F.col("_next")) + pad_offset).alias("end"))
     if pad_onset > 0 or pad_offset > 0 or min_duration_off > 0:
@@ -117,6 +121,29 @@ def top_count(activations: DataFrame, counts: DataFrame) -> DataFrame:
     return activations.join(counts, ["uri", "frame"]).withColumn("active", (rank <= F.col("count")).cast("int")).drop("count")
 
 
+def dense_counts(counts: DataFrame) -> DataFrame:
+    """Counts on every frame between the first and the last of a file; frames without a count have 0."""
+    ends = counts.groupBy("uri").agg(F.min("frame").alias("a"), F.max("frame").alias("b"))
+    grid = ends.select("uri", F.explode(F.sequence("a", "b")).alias("frame"))
+    return grid.join(counts, ["uri", "frame"], "left").select("uri", "frame", F.coalesce("count", F.lit(0)).alias("count"))
+
+
+def padded_activations(activations: DataFrame, counts: DataFrame) -> DataFrame:
+    """Activations of the classes 0 to the highest, or as many as the largest count, on every frame that has a count; 0 where there are none."""
+    highest = activations.groupBy("uri").agg((F.max("k") + 1).alias("n"))
+    most = counts.groupBy("uri").agg(F.max("count").alias("m")).join(highest, "uri", "left").select("uri", F.greatest(F.coalesce("n", F.lit(0)), F.col("m")).cast("long").alias("n")).where("n > 0")
+    grid = counts.select("uri", "frame").join(most, "uri").select("uri", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"), "frame")
+    return fill_missing(activations.select("uri", F.col("k").cast("long").alias("k"), "frame", "score"), grid, 0.0)
+
+
+def within(frames: DataFrame, uem: DataFrame, step: float, duration: float) -> DataFrame:
+    """The frames whose middle lies in a stretch of the uem (uri, start, end); stretches that overlap count once. A stretch's frames are a range, so the join is on uri and frame."""
+    a = F.greatest(F.lit(0), F.ceil((F.col("start") - duration / 2) / step)).cast("long")
+    b = (F.ceil((F.col("end") - duration / 2) / step) - 1).cast("long")
+    told = uem.where(a <= b).select("uri", F.explode(F.sequence(a, b)).alias("frame")).distinct()
+    return frames.join(told, ["uri", "frame"], "left_semi")
+
+
 def exclusive(counts: DataFrame) -> DataFrame:
     return counts.withColumn("count", F.least("count", F.lit(1)))
 

@@ -183,7 +183,3 @@ def class_turns(df: DataFrame, min_duration: float) -> DataFrame:
 def duplicates(df: DataFrame, column: str = "uri") -> DataFrame:
     """Values that stand in several rows: a batch must have none."""
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
-def overlap_condition(start: Column, end: Column, r_start: Column, r_end: Column) -> Column:
-    return (start < r_end) & (end > r_start)

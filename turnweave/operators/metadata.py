@@ -11,18 +11,30 @@ from pyspark.sql.types import ArrayType
 
 from turnweave.functions.scalars import uniform
 from turnweave.operators.intervals import interval_join
+from turnweave.runtime import materialise
 
 
 def dictionary(df: DataFrame, column: str, scope: Sequence[str] = ()) -> DataFrame:
-    """Numbers for the distinct values of a column, in their order, within a scope. The values' number is that of the corpus's labels, which one task may order."""
+    """Numbers for the distinct values of a column, in their order, within a scope; without one, by ranges with the sizes of those before (``numbered``)."""
     values = df.select(*scope, column).where(F.col(column).isNotNull()).distinct()
-    number = F.row_number().over((W.partitionBy(*scope) if scope else W.partitionBy(F.lit(0))).orderBy(column)) - 1
-    return values.withColumn("idx", number.cast("int"))
+    if not scope:
+        return numbered(values, column).withColumn("idx", F.col("idx").cast("int"))
+    return values.withColumn("idx", (F.row_number().over(W.partitionBy(*scope).orderBy(column)) - 1).cast("int"))
+
+
+def numbered(values: DataFrame, column: str, name: str = "idx") -> DataFrame:
+    """Distinct values with their place in the order of all. Ranges of values are sorted each for itself and written; their sizes, one row a range, give the number that each begins with."""
+    local = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    parts = values.repartitionByRange(column).sortWithinPartitions(column).select("*", F.spark_partition_id().alias("_part"), local.alias("_at"))
+    parts = materialise(parts, "numbered")
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return parts.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def star_files(files: DataFrame, regions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Files with their number, annotated time and the numbers of their metadata; -1 where missing."""
-    ids = files.select("uri").distinct().withColumn("file_id", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("uri")) - 1)
+    ids = files.select("uri").distinct().transform(numbered, "uri", "file_id")
     time = regions.groupBy("uri").agg(F.sum("duration").alias("annotated"))
     out = files.join(ids, "uri").join(time, "uri", "left").withColumn("annotated", F.coalesce("annotated", F.lit(0)))
     for k in keys:
@@ -96,26 +108,40 @@ def sample_chunks(regions: DataFrame, n: int, duration: float, seed: int) -> Dat
 
 
 def balanced_samples(regions: DataFrame, keys: Sequence[str], n: int, duration: float, seed: int) -> DataFrame:
-    """Samples spread evenly over the combinations of metadata keys, each drawn as in ``sample_chunks``."""
-    combos = [tuple(r) for r in regions.select(*keys).distinct().orderBy(*keys).collect()]
-    out = None
-    for i, combo in enumerate(combos):
-        part = regions
-        for k, v in zip(keys, combo, strict=True):
-            part = part.where(F.col(k).eqNullSafe(F.lit(v)))
-        share = n // len(combos) + (i < n % len(combos))
-        drawn = sample_chunks(part, share, duration, seed + i).withColumns({k: F.lit(v) for k, v in zip(keys, combo, strict=True)})
-        out = drawn if out is None else out.unionByName(drawn)
-    return out
+    """Samples spread evenly over the combinations of metadata keys, within each a region by its time and a place at random: one plan for all combinations. Nulls make a combination of their own."""
+    usable = regions.where(F.col("duration") >= duration).withColumn("_key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    combos = numbered(usable.select("_key").distinct(), "_key", "_i")
+    share = F.floor(F.lit(n) / F.col("_m")) + (F.col("_i") < F.lit(n) % F.col("_m")).cast("long")
+    combos = combos.crossJoin(F.broadcast(combos.agg(F.count(F.lit(1)).alias("_m"))))  # one row
+    ids = combos.withColumn("_s", share).where("_s > 0").withColumn("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s") - 1)))
+    ids = ids.select("_key", "sample", uniform(seed, F.col("_key"), F.col("sample"), F.lit(1)).alias("u1"), uniform(seed, F.col("_key"), F.col("sample"), F.lit(2)).alias("u2"))
+    rows = ids.join(weighted_cdf(usable, ["_key"]), "_key").where((F.col("u1") >= F.col("cdf_lo")) & (F.col("u1") < F.col("cdf_hi")))
+    return rows.select("sample", *keys, "uri", (F.col("start") + F.col("u2") * (F.col("duration") - duration)).alias("start"), F.lit(duration).alias("duration"))
+
+
+def training_length(regions: DataFrame, duration: float, batch: int, most: float | None = None) -> DataFrame:
+    """Samples in a pass over the training set: all annotated time over a chunk's (the mean of ``duration`` and ``most`` where chunks vary), at least a batch."""
+    mean = duration if most is None else (duration + most) / 2
+    return regions.agg(F.greatest(F.lit(batch).cast("long"), F.ceil(F.sum("duration") / mean).cast("long")).alias("length"))
+
+
+def extra_classes(annotated: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """Labels of the annotation that are no class, and whether each class is met at all: label, kept."""
+    met = annotated.select("label").distinct()
+    told = annotated.sparkSession.createDataFrame([(c,) for c in classes], "label string")
+    return met.join(told.withColumn("kept", F.lit(True)), "label", "left").select("label", F.col("kept").isNotNull().alias("kept"))
 
 
-def class_balanced(turns: DataFrame, per_class: int, duration: float, seed: int) -> DataFrame:
-    """The same number of chunks for each label, turns weighted by their time."""
+def class_balanced(turns: DataFrame, per_class: int, duration: float, seed: int, least: float | None = None, batch: int = 32) -> DataFrame:
+    """The same number of chunks for each label, turns weighted by their time. With ``least``, each batch of samples has a duration of its own between it and ``duration``. A turn shorter than its chunk stands at a random place in it: ``pad`` is the silence before it."""
     inner = weighted_cdf(turns.select("label", "uri", "start", (F.col("end") - F.col("start")).alias("duration")), ["label"])
     ids = turns.select("label").distinct().withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(per_class - 1))))
     ids = ids.withColumns({"u1": uniform(seed, F.col("label"), F.col("sample")), "u2": uniform(seed + 1, F.col("label"), F.col("sample"))})
     rows = ids.join(inner, "label").where((F.col("u1") >= F.col("cdf_lo")) & (F.col("u1") < F.col("cdf_hi")))
-    return rows.select("label", "sample", "uri", (F.col("start") + F.col("u2") * F.greatest(F.col("duration") - duration, F.lit(0))).alias("start"), F.lit(duration).alias("duration"))
+    length = F.lit(float(duration)) if least is None else F.lit(float(least)) + uniform(seed + 2, F.floor(F.col("sample") / batch)) * (duration - least)
+    rows = rows.withColumn("_len", length)
+    room = F.col("duration") - F.col("_len")
+    return rows.select("label", "sample", "uri", (F.col("start") + F.col("u2") * F.greatest(room, F.lit(0))).alias("start"), F.least(F.col("_len"), F.col("duration")).alias("duration"), (F.col("u2") * F.greatest(-room, F.lit(0))).alias("pad"))
 
 
 def mixture_partners(windows: DataFrame, segments: DataFrame, most: int, bucket: float, seed: int) -> DataFrame:

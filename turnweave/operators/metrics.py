@@ -180,28 +180,54 @@ def detection(reference: DataFrame, hypothesis: DataFrame, uem: DataFrame | None
     return out.select(*keys, "hit", (F.col("found") - F.col("hit")).alias("false_alarm"), (F.col("total") - F.col("hit")).alias("missed_detection"), "total", p.alias("precision"), q.alias("recall"), f.alias("f_measure"))
 
 
-def macro_f(reference: DataFrame, hypothesis: DataFrame, bucket: float, beta: float = 1.0) -> DataFrame:
-    """The unweighted mean over labels of each label's F, from its times over all files."""
-    rows = detection(reference, hypothesis, None, bucket, ("uri", "label")).groupBy("label").agg(*[F.sum(c).cast("double").alias(c) for c in ("hit", "false_alarm", "missed_detection")])
+def macro_f(reference: DataFrame, hypothesis: DataFrame, bucket: float, beta: float = 1.0, collar: float = 0.0) -> DataFrame:
+    """The unweighted mean over labels of each label's F, from its times over all files; half of the collar on both sides of a label's own borders in the reference is left out."""
+    keys = ("uri", "label")
+    if collar:
+        edges = support(reference, keys).select(*keys, F.explode(F.array("start", "end")).alias("t"))
+        no = support(edges.select(*keys, (F.col("t") - collar / 2).alias("start"), (F.col("t") + collar / 2).alias("end")), keys)
+        reference, hypothesis = (_without(support(df, keys), no, keys, bucket) for df in (reference, hypothesis))
+    rows = detection(reference, hypothesis, None, bucket, keys).groupBy("label").agg(*[F.sum(c).cast("double").alias(c) for c in ("hit", "false_alarm", "missed_detection")])
     b = beta * beta
     f = (1 + b) * F.col("hit") / ((1 + b) * F.col("hit") + b * F.col("missed_detection") + F.col("false_alarm"))
     return rows.agg(F.avg(f).alias("f_measure"))
 
 
+def _without(segments: DataFrame, no: DataFrame, keys: Sequence[str], bucket: float) -> DataFrame:
+    """What the merged stretches ``no`` leave of merged segments."""
+    hit = interval_join(segments.select(*keys, "start", "end"), no.select(*keys, "start", "end"), keys, bucket)
+    cut = hit.groupBy(*keys, "start", "end").agg(F.array_sort(F.collect_list(F.struct("r_start", "r_end"))).alias("_no"))
+    rows = segments.select(*keys, "start", "end").join(cut, [*keys, "start", "end"], "left").withColumn("_no", F.coalesce("_no", F.array()))
+    begins = F.concat(F.array("start"), F.transform("_no", lambda x: x["r_end"]))
+    ends = F.concat(F.transform("_no", lambda x: x["r_start"]), F.array("end"))
+    free = rows.select(*keys, F.explode(F.arrays_zip(begins.alias("a"), ends.alias("b"))).alias("f")).select(*keys, F.col("f.a").alias("start"), F.col("f.b").alias("end"))
+    return free.where("start < end")
+
+
 # -- scores of trials
 
+def _running(by: DataFrame, counts: Sequence[str], parts: int = 64) -> DataFrame:
+    """Sums of ``counts`` over all lower thresholds (``_b`` and the column's name): by ranges between approximate quantiles, so that no task has all thresholds. A range follows from the threshold alone, so it is the same wherever it is computed."""
+    cuts = sorted(set(by.select(F.col("threshold").cast("double").alias("t")).approxQuantile("t", [k / parts for k in range(1, parts)], 0.25 / parts)))
+    part = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda c: c < F.col("threshold")))
+    ranged = by.withColumn("_part", part)
+    whole = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = ranged.groupBy("_part").agg(*[F.sum(c).alias(c) for c in counts]).select("_part", *[F.coalesce(F.sum(c).over(whole), F.lit(0)).alias(f"_a{c}") for c in counts])
+    w = W.partitionBy("_part").orderBy("threshold").rowsBetween(W.unboundedPreceding, -1)
+    rows = ranged.withColumns({f"_w{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in counts}).join(F.broadcast(before), "_part")  # at most ``parts`` rows
+    return rows.withColumns({f"_b{c}": F.col(f"_a{c}") + F.col(f"_w{c}") for c in counts})
+
+
+def _by_score(trials: DataFrame, score: Column, truth: str) -> DataFrame:
+    return trials.groupBy(score.alias("threshold")).agg(F.sum(F.when(F.col(truth) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(truth) == 1, 0).otherwise(1)).alias("neg"))
+
+
 def det_curve(trials: DataFrame, score: str = "score", truth: str = "y", distances: bool = False) -> DataFrame:
-    """One row for each distinct score: rates of false positives and false negatives if all above it are accepted. Rows are summed by score before the running sums, and running sums go over parts of the order, so that no task has all scores."""
-    s = -F.col(score) if distances else F.col(score)
-    by = trials.groupBy(s.alias("threshold")).agg(F.sum(F.when(F.col(truth) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(truth) == 1, 0).otherwise(1)).alias("neg"))
+    """One row for each distinct score: rates of false positives and false negatives if all above it are accepted."""
+    by = _by_score(trials, -F.col(score) if distances else F.col(score), truth)
     n = by.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    part = F.spark_partition_id()
-    ranged = by.repartitionByRange("threshold").withColumn("_part", part)
-    sums = ranged.groupBy("_part").agg(F.sum("pos").alias("_pp"), F.sum("neg").alias("_pn"))
-    before = sums.withColumns({c: F.coalesce(F.sum(v).over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) for c, v in (("_bp", "_pp"), ("_bn", "_pn"))}).select("_part", "_bp", "_bn")
-    w = W.partitionBy("_part").orderBy("threshold").rowsBetween(W.unboundedPreceding, 0)
-    rows = ranged.withColumns({"_cp": F.sum("pos").over(w), "_cn": F.sum("neg").over(w)}).join(F.broadcast(before), "_part").crossJoin(F.broadcast(n))
-    fn, tn = F.col("_bp") + F.col("_cp"), F.col("_bn") + F.col("_cn")
+    rows = _running(by, ("pos", "neg")).crossJoin(F.broadcast(n))  # one row
+    fn, tn = F.col("_bpos") + F.col("pos"), F.col("_bneg") + F.col("neg")
     return rows.select("threshold", ((F.col("n") - tn) / F.col("n")).alias("fpr"), (fn / F.col("p")).alias("fnr"))
 
 
@@ -214,13 +240,22 @@ def equal_error_rate(trials: DataFrame, score: str = "score", truth: str = "y",
 
 def auroc(trials: DataFrame, score: str = "score", truth: str = "y") -> DataFrame:
     """Area under the curve from the same sums: each positive counts the negatives below it and half of its equals."""
-    by = trials.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(truth) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(truth) == 1, 0).otherwise(1)).alias("neg"))
-    ranged = by.repartitionByRange("threshold").withColumn("_part", F.spark_partition_id())
-    sums = ranged.groupBy("_part").agg(F.sum("neg").alias("_pn"))
-    before = sums.withColumn("_bn", F.coalesce(F.sum("_pn").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_bn")
-    w = W.partitionBy("_part").orderBy("threshold").rowsBetween(W.unboundedPreceding, 0)
-    rows = ranged.withColumn("_cn", F.sum("neg").over(w)).join(F.broadcast(before), "_part")
-    return rows.agg((F.sum(F.col("pos") * (F.col("_bn") + F.col("_cn") - F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auroc"))
+    rows = _running(_by_score(trials, F.col(score), truth), ("neg",))
+    return rows.agg((F.sum(F.col("pos") * (F.col("_bneg") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auroc"))
+
+
+def macro_auroc(scores: DataFrame, classes: Sequence, score: str = "score", truth: str = "y", key: str = "k") -> DataFrame:
+    """Multi-label or multi-class (one against the rest): the mean over the classes of each class's area; classes without a positive or a negative are left out. ``classes`` is a short, given list."""
+    one = None
+    for c in classes:
+        area = auroc(scores.where(F.col(key) == c), score, truth)
+        one = area if one is None else one.unionByName(area)
+    return one.agg(F.avg("auroc").alias("auroc"))
+
+
+def decimated(frames: DataFrame, every: int = 10) -> DataFrame:
+    """Every tenth frame, as the validation of models keeps them."""
+    return frames.where(F.col("frame") % every == 0)
 
 
 def count_confusion(counts: DataFrame, true: str = "true", pred: str = "pred") -> DataFrame:
@@ -231,6 +266,21 @@ def count_summary(counts: DataFrame, true: str = "true", pred: str = "pred") ->
     return counts.agg(F.avg(F.when(F.col(true) == F.col(pred), 1.0).otherwise(0.0)).alias("accuracy"), F.avg(F.abs(F.col(true) - F.col(pred))).alias("mean_abs_error"))
 
 
+def interpolated_weights(weights: DataFrame, source: int, target: int, keys: Sequence[str] = ("uri", "chunk")) -> DataFrame:
+    """Weights (keys, frame, w) of ``source`` frames on ``target`` frames, linear between the middles of neighbours and constant outside."""
+    at = F.greatest(F.lit(0.0), F.least(F.lit(source - 1.0), (F.col("t") + 0.5) * source / target - 0.5))
+    grid = weights.select(*keys).distinct().withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(target - 1).cast("long"))))
+    grid = grid.withColumn("_x", at).withColumn("_lo", F.floor("_x").cast("long")).withColumn("_hi", F.least(F.col("_lo") + 1, F.lit(source - 1).cast("long")))
+    side = lambda name, w: weights.select(*keys, F.col("frame").alias(name), F.col("w").alias(w))
+    rows = grid.join(side("_lo", "_a"), [*keys, "_lo"]).join(side("_hi", "_b"), [*keys, "_hi"])
+    return rows.select(*keys, F.col("t").alias("frame"), (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_x") - F.col("_lo"))).alias("w"))
+
+
+def known_targets(rows: DataFrame, target: str = "y") -> DataFrame:
+    """Rows whose target is known: -1 and null stand for none, and count in no loss and no metric."""
+    return rows.where(F.col(target).isNotNull() & (F.col(target) != -1))
+
+
 def weighted_loss(rows: DataFrame, kind: str, weight: str | None = None) -> DataFrame:
     """Binary cross entropy (mean over rows), squared error or negative log-likelihood (over the weights) of y against p."""
     y, p, w = F.col("y"), F.col("p"), F.col(weight) if weight else F.lit(1.0)
@@ -240,6 +290,19 @@ def weighted_loss(rows: DataFrame, kind: str, weight: str | None = None) -> Data
     return rows.agg((F.sum(w * one) / F.sum(w)).alias("loss"))
 
 
+def search_collar(reference: DataFrame, hypothesis: DataFrame, most: float, bucket: float, rounds: int = 4, points: int = 9, mapping: DataFrame | None = None) -> tuple[float, float]:
+    """The collar between 0 and ``most`` with the least total error, and that error: a grid of ``points`` collars in one plan, then finer grids around the best for some rounds. 0 is tried first and kept on ties."""
+    lo, hi, best = 0.0, float(most), (0.0, float("inf"))
+    for _ in range(rounds):
+        grid = [lo + (hi - lo) * k / (points - 1) for k in range(points)]
+        found = sorted((r.diarization_error_rate, r.collar) for r in best_collar(reference, hypothesis, grid, bucket, mapping).collect())  # a row for each point
+        if found[0][0] < best[1]:
+            best = (found[0][1], found[0][0])
+        width = (hi - lo) / (points - 1)
+        lo, hi = max(0.0, best[0] - width), min(float(most), best[0] + width)
+    return best
+
+
 def best_collar(reference: DataFrame, hypothesis: DataFrame, collars: Sequence[float], bucket: float, mapping: DataFrame | None = None) -> DataFrame:
     """Error of the hypothesis with gaps filled up to each collar; 0 is always tried and kept on ties. One plan: a collar and a file name one file."""
     hyps = None

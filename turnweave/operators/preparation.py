@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -76,6 +76,25 @@ def leakage_free(sources: DataFrame, activity: DataFrame, collar: int) -> DataFr
     return peak_normalise(kept.drop("active"), ("uri", "k"))
 
 
+def batched(rows: DataFrame, size: int, order: list[str], fill: dict[str, Column] | None = None, keys: tuple[str, ...] = ("uri",)) -> DataFrame:
+    """Rows of each group in batches of a size: ``batch`` and ``place``. With ``fill`` the last batch is made whole by rows with these values."""
+    number = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
+    out = rows.withColumn("_n", number).withColumns({"batch": F.floor(F.col("_n") / size).cast("long"), "place": (F.col("_n") % size).cast("int")}).drop("_n")
+    if fill is None:
+        return out
+    last = out.groupBy(*keys).agg(F.max(F.struct("batch", "place")).alias("_l")).where(F.col("_l.place") < size - 1)
+    extra = last.select(*keys, F.col("_l.batch").alias("batch"), F.explode(F.sequence(F.col("_l.place") + 1, F.lit(size - 1))).alias("place"))
+    rest = {c: fill.get(c, F.lit(None)).cast(rows.schema[c].dataType) for c in rows.columns if c not in keys}
+    return out.unionByName(extra.withColumns(rest))
+
+
+def file_embeddings(frames: DataFrame, activity: DataFrame | None = None, power: float = 3.0) -> DataFrame:
+    """One embedding a file from those of its frames (uri, frame, embedding): the mean, weighted by a power of the activity's score where one is given."""
+    rows = frames.withColumn("w", F.lit(1.0)) if activity is None else frames.join(activity.select("uri", "frame", (F.col("score") ** power).alias("w")), ["uri", "frame"])
+    sums = rows.select("uri", "w", F.posexplode("embedding").alias("pos", "v")).groupBy("uri", "pos").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    return sums.groupBy("uri").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("embedding"))
+
+
 def write_prepared(tables: dict[str, DataFrame], path: str, protocol: str) -> None:
     """The tables of a star schema as Parquet, with the protocol's name; an existing folder is left alone."""
     for name, df in tables.items():

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnweave.functions import powerset
-from turnweave.functions.scalars import cosine_distance
-from turnweave.operators import assignment, clustering, frames, intervals, metadata, metrics
+from turnweave.functions.scalars import log_softmax
+from turnweave.operators import assignment, clustering, frames, intervals, metadata, metrics, preparation
 from turnweave.plans import pipelines
 from turnweave.sources import adapters as A
 from turnweave.sources import formats
@@ -165,12 +165,11 @@ def seg_rttm(spark, d):
     return formats.rttm_lines(s.select("uri", "label", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end")))
 
 
-@query(q("SELECT uri, count(*) AS turns, CAST(min(s) AS BIGINT) AS first FROM sup GROUP BY uri", SEG, support_sql("sup", "seg")))
+@query(q("SELECT uri, round(s / 1000.0, 3) AS \"start\", round(e / 1000.0, 3) AS \"end\", CAST(row_number() OVER (PARTITION BY uri ORDER BY s, e, label) - 1 AS VARCHAR) AS track, label FROM sup", SEG, support_sql("sup", "seg")))
 def seg_json(spark, d):
     s = intervals.support(A.segments(spark, d))
-    doc = formats.json_documents(s.select("uri", "label", "start", "end"), 0)
-    turns = F.from_json("json", "array<struct<start:double,end:double,speaker:string>>")
-    return doc.select("uri", F.size(turns).cast("long").alias("turns"), F.element_at(turns, 1)["start"].cast("long").alias("first"))
+    docs = formats.json_documents(s.select("uri", "label", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end")))
+    return formats.read_turns_json(docs)
 
 
 @query(q("SELECT uri, label, count(*) AS turns, CAST(sum(e - s) AS BIGINT) AS duration FROM dlg GROUP BY 1, 2", DLG))
@@ -345,6 +344,47 @@ def met_optimal_mapping(spark, d):
     return m.groupBy("uri").agg(F.sum("together").alias("together"))
 
 
+NAMES = "['click','error','purchase','signup','view']"
+BESTP = f"bestp AS (SELECT uri, arg_max(p, t) AS p FROM (SELECT uri, p, sum(t) AS t FROM tog, perm WHERE y = p[list_position({NAMES}, x)] GROUP BY 1, 2) GROUP BY 1)"
+DERP = f"""derp AS (SELECT uri, sum((e - s) * greatest(0, len(h) - len(r))) AS fa, sum((e - s) * greatest(0, len(r) - len(h))) AS miss,
+  sum((e - s) * (least(len(r), len(h)) - len(list_intersect(h, list_transform(r, lambda x: coalesce(p[list_position({NAMES}, x)], '-')))))) AS conf, sum((e - s) * len(r)) AS total FROM atom LEFT JOIN bestp USING (uri) GROUP BY uri)"""
+
+
+@query(q(f"SELECT uri, {BIG}, round((fa + miss + conf) / (total + 1e-8), 6) AS diarization_error_rate FROM derp", SEG, HYP, ATOMS, PERM, TOGETHER, BESTP, DERP))
+def met_diarization_error(spark, d):
+    out = metrics.diarization_error(A.segments(spark, d), A.hypothesis(spark, d), None, DAY)
+    return out.select("uri", *metrics.PARTS, F.round("diarization_error_rate", 6).alias("diarization_error_rate"))
+
+
+JER = f"""stog AS (SELECT a.uri, a.label AS x, b.label AS y, sum(least(a.e, b.e) - greatest(a.s, b.s)) AS t FROM supr a JOIN suph b ON a.uri = b.uri AND a.s < b.e AND a.e > b.s GROUP BY 1, 2, 3),
+sbest AS (SELECT uri, arg_max(p, t) AS p FROM (SELECT uri, p, sum(t) AS t FROM stog, perm WHERE y = p[list_position({NAMES}, x)] GROUP BY 1, 2) GROUP BY 1),
+rt AS (SELECT uri, label AS x, sum(e - s) AS d FROM supr GROUP BY 1, 2), ht AS (SELECT uri, label AS y, sum(e - s) AS e FROM suph GROUP BY 1, 2)"""
+
+
+@query(q(f"SELECT uri, round(avg(1 - coalesce(t, 0) / (d + coalesce(e, 0) - coalesce(t, 0))), 6) AS jaccard_error_rate FROM (SELECT uri, x, d, p[list_position({NAMES}, x)] AS y FROM rt LEFT JOIN sbest USING (uri)) LEFT JOIN stog USING (uri, x, y) LEFT JOIN ht USING (uri, y) GROUP BY uri", SEG, HYP, support_sql("supr", "seg"), support_sql("suph", "hyp"), PERM, JER))
+def met_jaccard_error(spark, d):
+    return metrics.jaccard_error(A.segments(spark, d), A.hypothesis(spark, d), DAY).select("uri", F.round("jaccard_error_rate", 6).alias("jaccard_error_rate"))
+
+
+#: One pair a step: the largest of what is left.
+GREEDY = ["tog AS (SELECT a.uri, a.label AS x, b.label AS y, sum(least(a.e, b.e) - greatest(a.s, b.s)) AS t FROM seg a JOIN hyp b ON a.uri = b.uri AND a.s < b.e AND a.e > b.s GROUP BY 1, 2, 3)", "left0 AS (SELECT * FROM tog)"]
+for _step in range(5):
+    GREEDY += [
+        f"pick{_step} AS (SELECT uri, x, y, t FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY t DESC, x, y) AS r FROM left{_step}) WHERE r = 1)",
+        f"left{_step + 1} AS (SELECT l.* FROM left{_step} l JOIN pick{_step} p USING (uri) WHERE l.x <> p.x AND l.y <> p.y)",
+    ]
+
+
+@query(q(" UNION ALL ".join(f"SELECT uri, x AS label, y AS r_label, CAST(t AS DOUBLE) AS together FROM pick{k}" for k in range(5)), SEG, HYP, *GREEDY))
+def met_greedy_mapping(spark, d):
+    return assignment.greedy_mapping(A.segments(spark, d), A.hypothesis(spark, d), DAY)
+
+
+@query(q("SELECT coalesce(uri, 'TOTAL') AS uri, CAST(sum(fa) AS BIGINT) AS false_alarm, CAST(sum(miss) AS BIGINT) AS missed_detection, CAST(sum(conf) AS BIGINT) AS confusion, CAST(sum(total) AS BIGINT) AS total FROM part GROUP BY ROLLUP (uri)", SEG, HYP, ATOMS))
+def met_report(spark, d):
+    return formats.report(metrics.identification_error(A.segments(spark, d), A.hypothesis(spark, d), None, DAY), list(metrics.PARTS))
+
+
 DET = """sr AS (SELECT * FROM supr), sh AS (SELECT * FROM suph),
 tr AS (SELECT uri, sum(e - s) AS total FROM sr GROUP BY 1), th AS (SELECT uri, sum(e - s) AS found FROM sh GROUP BY 1),
 hit AS (SELECT sr.uri, sum(least(sr.e, sh.e) - greatest(sr.s, sh.s)) AS hit FROM sr JOIN sh ON sr.uri = sh.uri AND sr.s < sh.e AND sr.e > sh.s GROUP BY 1),
@@ -402,14 +442,14 @@ def met_count_summary(spark, d):
     return s.select(F.round("accuracy", 6).alias("accuracy"), F.round("mean_abs_error", 6).alias("mean_abs_error"))
 
 
-FERR = """fe AS (SELECT uri, th AS threshold, frame, sum(t) AS t, sum(h) AS h, sum(CASE WHEN h <> t THEN h ELSE 0 END) AS x FROM (SELECT uri, frame, th, CASE WHEN score > 0.3 THEN 1.0 ELSE 0.0 END AS t, CASE WHEN score > th THEN 1.0 ELSE 0.0 END AS h FROM lfr, (SELECT unnest([0.1::DOUBLE, 0.2, 0.4, 0.6]) AS th)) GROUP BY 1, 2, 3),
+FERR = """fe AS (SELECT uri, th AS threshold, frame, sum(t) AS t, sum(h) AS h, sum(CASE WHEN h <> t THEN h ELSE 0 END) AS x FROM (SELECT uri, frame, th, CASE WHEN score > 0.3 THEN 1.0 ELSE 0.0 END AS t, CASE WHEN score > th THEN 1.0 ELSE 0.0 END AS h FROM lfr, (SELECT CAST(unnest(range(51)) AS DOUBLE) / 50 AS th)) GROUP BY 1, 2, 3),
 fs AS (SELECT threshold, sum(greatest(0, h - t)) AS fa, sum(greatest(0, t - h)) AS miss, sum(x - greatest(0, h - t)) AS conf, sum(t) AS total FROM fe GROUP BY 1)"""
 
 
 def _frame_rates(spark, d):
     f = A.label_frames(spark, d).withColumn("chunk", F.lit(0))
     target = f.withColumn("score", F.when(F.col("score") > 0.3, 1.0).otherwise(0.0))
-    return metrics.with_ratios(metrics.total_errors(metrics.frame_errors(target, f, [0.1, 0.2, 0.4, 0.6]), ["threshold"]))
+    return metrics.with_ratios(metrics.total_errors(metrics.frame_errors(target, f, metrics.thresholds()), ["threshold"]))
 
 
 @query(q("SELECT threshold, CAST(fa AS DOUBLE) AS false_alarm, CAST(miss AS DOUBLE) AS missed_detection, CAST(conf AS DOUBLE) AS confusion, CAST(total AS DOUBLE) AS total, round((fa + miss + conf) / (total + 1e-8), 6) AS diarization_error_rate FROM fs", LFR, FERR))
@@ -417,7 +457,7 @@ def met_frame_errors(spark, d):
     return _frame_rates(spark, d).select("threshold", *metrics.PARTS, F.round("diarization_error_rate", 6).alias("diarization_error_rate"))
 
 
-@query(q("SELECT arg_min(threshold, (fa + miss + conf) / (total + 1e-8)) AS threshold, round(min((fa + miss + conf) / (total + 1e-8)), 6) AS diarization_error_rate FROM fs", LFR, FERR))
+@query(q("SELECT min(threshold) AS threshold, round(min(r), 6) AS diarization_error_rate FROM (SELECT threshold, (fa + miss + conf) / (total + 1e-8) AS r FROM fs) WHERE r = (SELECT min((fa + miss + conf) / (total + 1e-8)) FROM fs)", LFR, FERR))
 def met_optimal_threshold(spark, d):
     return metrics.optimal(_frame_rates(spark, d)).select("threshold", F.round("diarization_error_rate", 6).alias("diarization_error_rate"))
 
@@ -431,10 +471,20 @@ def pow_to_multilabel(spark, d):
     return powerset.to_multilabel(s, spark, 3, 2)
 
 
-@query(q("SELECT uri, frame, CASE WHEN l = [] THEN 0 WHEN l = [0] THEN 1 WHEN l = [1] THEN 2 WHEN l = [2] THEN 3 WHEN l[1:2] = [0, 1] THEN 4 WHEN l = [0, 2] THEN 5 ELSE 6 END AS ps_class FROM (SELECT uri, frame, coalesce(list_sort(list(k) FILTER (score > 0.1)), []) AS l FROM lfr WHERE k < 3 GROUP BY 1, 2)", LFR))
+SETS = "(VALUES " + ", ".join(f"({list(m)}::INTEGER[], {k})" for k, m in enumerate(powerset.members(5, 2))) + ") p(m, ps_class)"
+
+
+@query(q(f"SELECT uri, frame, ps_class FROM (SELECT uri, frame, coalesce(list_sort(list(CAST(k AS INTEGER)) FILTER (score > 0.1)), []) AS l FROM lfr GROUP BY 1, 2) JOIN {SETS} ON l[1:2] = m", LFR))
 def pow_to_powerset(spark, d):
-    s = A.label_frames(spark, d).where("k < 3").select("uri", "frame", F.col("k").cast("int").alias("k"), F.when(F.col("score") > 0.1, 1).otherwise(0).alias("score"))
-    return powerset.to_powerset(s, spark, 3, 2)
+    s = A.label_frames(spark, d).select("uri", "frame", F.col("k").cast("int").alias("k"), F.when(F.col("score") > 0.1, 1).otherwise(0).alias("score"))
+    return powerset.to_powerset(s, spark, 5, 2)
+
+
+@query(q("SELECT uri, frame, k, round(sum(x), 6) AS score FROM (SELECT uri, frame, CAST(t.k AS INTEGER) AS k, CASE WHEN list_contains(m, t.k) THEN exp(score - 1) ELSE 0 END AS x FROM (SELECT uri, frame, k AS ps, score FROM lfr) JOIN (VALUES (0, []::INTEGER[]), (1, [0]), (2, [1]), (3, [2]), (4, [0, 1])) v(ps, m) USING (ps), (SELECT unnest([0, 1, 2]) AS k) t) GROUP BY 1, 2, 3", LFR))
+def pow_soft_multilabel(spark, d):
+    s = A.label_frames(spark, d).select("uri", "frame", F.col("k").cast("int").alias("ps_class"), (F.col("score") - 1).alias("score"))
+    out = powerset.to_multilabel(s, spark, 3, 2, soft=True)
+    return out.select("uri", "frame", F.col("k").cast("int").alias("k"), F.round("score", 6).alias("score"))
 
 
 CEN = "cen AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1)"
@@ -446,20 +496,59 @@ def emb_centroids(spark, d):
     return c.select("label", F.posexplode("centroid").alias("pos", "v")).select("label", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("value"))
 
 
-@query(q("SELECT vec_id, arg_max(label, score) AS cluster, round(max(score), 6) AS score FROM (SELECT vec_id, c.label, 1 + list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.c) AS score FROM embeddings e, cen c) GROUP BY 1", CEN))
+UCEN = "ucen AS (SELECT uri, label AS cluster, list(m ORDER BY i) AS c FROM (SELECT uri, label, i, avg(CAST(v AS DOUBLE)) AS m FROM (SELECT uri, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM emb) GROUP BY 1, 2, 3) GROUP BY 1, 2)"
+SOFT = "soft AS (SELECT e.uri, e.chunk, e.speaker, e.vec_id, c.cluster, 1 + list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.c) AS score FROM emb e JOIN ucen c USING (uri))"
+
+
+def _soft(spark, d):
+    e = A.embeddings(spark, d)
+    centres = clustering.centroids(e.withColumnRenamed("label", "cluster"))
+    return clustering.soft_assignment(e, centres)
+
+
+@query(q("SELECT vec_id, cluster, round(score, 6) AS score FROM soft", EMB, UCEN, SOFT))
+def emb_soft_assignment(spark, d):
+    return _soft(spark, d).select("vec_id", "cluster", F.round("score", 6).alias("score"))
+
+
+@query(q("SELECT uri, chunk, speaker, cluster FROM (SELECT *, row_number() OVER (PARTITION BY uri, chunk, speaker ORDER BY score DESC, cluster) AS r FROM soft) WHERE r = 1", EMB, UCEN, SOFT))
 def emb_nearest_centroid(spark, d):
-    e = A.table(spark, d, "embeddings")
-    centres = F.broadcast(clustering.centroids(e, ["label"]).select(F.col("label").alias("cluster"), "centroid"))  # as many as labels
-    s = e.crossJoin(centres).withColumn("score", 2 - cosine_distance(F.col("embedding"), F.col("centroid")))
-    return s.groupBy("vec_id").agg(F.max_by("cluster", "score").alias("cluster"), F.round(F.max("score"), 6).alias("score"))
+    return clustering.hard_assignment(_soft(spark, d))
 
 
-@query(q("SELECT a.vec_id AS a, b.vec_id AS b, CAST(a.label = b.label AS INTEGER) AS y, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 7"))
+@query(q("SELECT uri1, uri2, CAST(a.label = b.label AS INTEGER) AS y, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance FROM (SELECT vec_id AS uri1, vec_id + 7 AS uri2 FROM embeddings) JOIN embeddings a ON a.vec_id = uri1 JOIN embeddings b ON b.vec_id = uri2"))
 def emb_trials(spark, d):
-    e = A.table(spark, d, "embeddings")
-    a = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.col("label").alias("la"), (F.col("vec_id") + 7).alias("b"))
-    b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y_"), F.col("label").alias("lb"))
-    return a.join(b, "b").select("a", "b", (F.col("la") == F.col("lb")).cast("int").alias("y"), F.round(cosine_distance(F.col("x"), F.col("y_")), 6).alias("distance"))
+    e = A.table(spark, d, "embeddings").withColumnRenamed("vec_id", "uri")
+    labels = lambda name: e.select(F.col("uri").alias(name), F.col("label").alias(f"_{name}"))
+    pairs = e.select(F.col("uri").alias("uri1"), (F.col("uri") + 7).alias("uri2"))
+    trials = pairs.join(labels("uri1"), "uri1").join(labels("uri2"), "uri2").select("uri1", "uri2", (F.col("_uri1") == F.col("_uri2")).cast("int").alias("y"))
+    return preparation.verification_trials(trials, e.select("uri", "embedding")).withColumn("distance", F.round("distance", 6))
+
+
+@query(q("SELECT uri, i - 1 AS pos, round(sum(w * v) / sum(w), 6) AS value FROM (SELECT label AS uri, pow((vec_id % 9 + 1) / 10, 3) AS w, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2"))
+def emb_weighted_file(spark, d):
+    e = A.table(spark, d, "embeddings").select(F.col("label").alias("uri"), F.col("vec_id").alias("frame"), "embedding")
+    out = preparation.file_embeddings(e, e.select("uri", "frame", ((F.col("frame") % 9 + 1) / 10).alias("score")))
+    return out.select("uri", F.posexplode("embedding").alias("pos", "v")).select("uri", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("value"))
+
+
+@query(q("SELECT uri, cluster, i - 1 AS pos, round(CASE WHEN c IS NULL THEN 0 ELSE c[i] END, 6) AS value FROM (SELECT uri, cluster, c FROM (SELECT uri, unnest(range(10)) AS cluster FROM (SELECT DISTINCT uri FROM emb)) LEFT JOIN ucen USING (uri, cluster)), (SELECT unnest(range(1, 65)) AS i)", EMB, UCEN))
+def emb_reordered_centroids(spark, d):
+    e = A.embeddings(spark, d)
+    centres = clustering.centroids(e.withColumnRenamed("label", "cluster").withColumn("cluster", F.col("cluster").cast("long")))
+    classes = e.select("uri").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    out = clustering.reordered_centroids(centres, classes)
+    return out.select("uri", "cluster", F.posexplode("centroid").alias("pos", "v")).select("uri", "cluster", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("value"))
+
+
+FIVE = "five(p) AS (VALUES " + ", ".join(f"([{', '.join(map(str, x))}])" for x in permutations(range(5), 3)) + ")"
+
+
+@query(q("SELECT soft5.uri, soft5.chunk, speaker, CASE WHEN list_position(p, speaker) > 0 THEN list_position(p, speaker) - 1 END AS cluster FROM (SELECT DISTINCT uri, chunk, speaker FROM soft3) soft5 JOIN (SELECT uri, chunk, arg_max(p, t) AS p FROM (SELECT uri, chunk, p, sum(score) AS t FROM soft3, five WHERE p[cluster + 1] = speaker GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (uri, chunk)", EMB, "soft3 AS (SELECT uri, chunk, speaker, k AS cluster, 1.0 + CAST(embedding[k + 1] AS DOUBLE) AS score FROM emb, (SELECT unnest([0, 1, 2]) AS k))", FIVE))
+def asg_constrained(spark, d):
+    e = A.embeddings(spark, d)
+    soft = e.select("uri", "chunk", "speaker", F.posexplode(F.slice("embedding", 1, 3)).alias("cluster", "v"))
+    return assignment.constrained_argmax(soft.select("uri", "chunk", "speaker", F.col("cluster").cast("long").alias("cluster"), (1.0 + F.col("v").cast("double")).alias("score")))
 
 
 # -- metadata and sampling
@@ -503,6 +592,173 @@ def smp_weighted_cdf(spark, d):
     return metadata.weighted_cdf(r, ["uri"]).select("uri", "start", F.round("cdf_hi", 6).alias("cdf"))
 
 
+@query(q('SELECT uri, s + greatest(0, (e - s - 7200000) / 2) AS "start", s + greatest(0, (e - s - 7200000) / 2) + least(e - s, 7200000) AS "end" FROM sup', SEG, support_sql("sup", "seg", "uri")))
+def smp_centre(spark, d):
+    return preparation.centre(intervals.support(A.segments(spark, d), ["uri"]), 7_200_000).select("uri", "start", "end")
+
+
+@query(q(f"SELECT CAST(greatest(32, ceil(sum(e - s) / {HOUR}.0)) AS BIGINT) AS length FROM sup WHERE e - s >= {6 * HOUR}", SEG, support_sql("sup", "seg", "uri")))
+def smp_training_length(spark, d):
+    return metadata.training_length(intervals.regions(intervals.support(A.segments(spark, d), ["uri"]), 6 * HOUR), HOUR, 32)
+
+
+@query(q("SELECT DISTINCT label, label IN ('user', 'tool') AS kept FROM dlg", DLG))
+def meta_extra_classes(spark, d):
+    return metadata.extra_classes(A.dialogue(spark, d), ["user", "tool", "nobody"])
+
+
+@query(q(f"SELECT uri, label, count(*) AS turns, CAST(sum(e - s) AS BIGINT) AS duration FROM seg WHERE e - s > {HOUR} GROUP BY 1, 2", SEG))
+def meta_class_turns(spark, d):
+    return intervals.class_turns(A.segments(spark, d), HOUR)
+
+
+@query(q("SELECT uri, file_id, coalesce(annotated, 0) AS annotated, coalesce(idx, -1) AS source_idx FROM (SELECT doc_id AS uri, row_number() OVER (ORDER BY doc_id) - 1 AS file_id, source FROM documents) LEFT JOIN (SELECT doc_id AS uri, sum(quality + 1) AS annotated FROM labels GROUP BY 1) USING (uri) LEFT JOIN (SELECT source, row_number() OVER (ORDER BY source) - 1 AS idx FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)) USING (source)"))
+def meta_star_files(spark, d):
+    files = A.table(spark, d, "documents").select(F.col("doc_id").alias("uri"), "source")
+    regions = A.table(spark, d, "labels").select(F.col("doc_id").alias("uri"), (F.col("quality") + 1).alias("duration"))
+    return metadata.star_files(files, regions, ["source"]).select("uri", "file_id", "annotated", "source_idx")
+
+
+@query(q("SELECT uri, count(*) AS n FROM dlg GROUP BY uri HAVING count(*) > 1", DLG))
+def meta_duplicates(spark, d):
+    return intervals.duplicates(A.dialogue(spark, d))
+
+
+@query(q("SELECT uri, track, CAST((r - 1) // 4 AS BIGINT) AS batch, CAST((r - 1) % 4 AS INTEGER) AS place FROM (SELECT uri, track, row_number() OVER (PARTITION BY uri ORDER BY track) AS r FROM dlg) UNION ALL SELECT uri, -1, b, unnest(range(p + 1, 4)) FROM (SELECT uri, (count(*) - 1) // 4 AS b, (count(*) - 1) % 4 AS p FROM dlg GROUP BY uri)", DLG))
+def prep_batched(spark, d):
+    rows = A.dialogue(spark, d).select("uri", "track")
+    return preparation.batched(rows, 4, ["track"], {"track": F.lit(-1)})
+
+
+@query(q("SELECT uri, track, CAST(n * (n + 1) / 2 AS DOUBLE) AS total, CAST(max(n) OVER (PARTITION BY uri) AS INTEGER) AS n FROM (SELECT uri, track, least(e - s, 5) AS n FROM dlg)", DLG))
+def prep_collate(spark, d):
+    samples = F.transform(F.sequence(F.lit(1), F.least(F.col("end") - F.col("start"), F.lit(5)).cast("int")), lambda i: i.cast("double"))
+    rows = A.dialogue(spark, d).select("uri", "track", F.when(F.col("end") > F.col("start"), samples).otherwise(F.array().cast("array<double>")).alias("samples"))
+    out = preparation.collate(rows, keys=("uri",))
+    return out.select("uri", "track", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("samples").alias("n"))
+
+
+PCH = f"pch AS (SELECT uri, c AS chunk, c * {DAY} AS s, (c + 1) * {DAY} AS e FROM (SELECT DISTINCT uri FROM seg), range(30) r(c))"
+PTG = f"ptg AS (SELECT DISTINCT uri, chunk, label, unnest(range(a, b + 1)) AS frame FROM (SELECT c.uri, c.chunk, x.label, greatest(0, CAST(round_even((greatest(c.s, x.s) - c.s) / {HOUR}.0, 0) AS BIGINT)) AS a, least(23, CAST(round_even((least(c.e, x.e) - c.s) / {HOUR}.0, 0) AS BIGINT)) AS b FROM pch c JOIN seg x ON c.uri = x.uri AND c.s < x.e AND c.e > x.s) WHERE a <= b)"
+
+
+def _day_chunks(spark, d):
+    uris = A.segments(spark, d).select("uri").distinct()
+    rows = uris.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))))
+    return rows.select("uri", "chunk", (F.col("chunk") * DAY).alias("start"), ((F.col("chunk") + 1) * DAY).alias("end"))
+
+
+@query(q("SELECT * FROM ptg", SEG, PCH, PTG))
+def prep_targets(spark, d):
+    return preparation.chunk_targets(_day_chunks(spark, d), A.segments(spark, d), HOUR, 24, DAY)
+
+
+@query(q("SELECT g.uri, g.chunk, g.frame, g.k, CASE WHEN ptg.label IS NULL THEN 0.0::DOUBLE ELSE 1.0 END AS score FROM (SELECT uri, chunk, unnest(range(24)) AS frame, label, k FROM pch JOIN lab USING (uri)) g LEFT JOIN ptg USING (uri, chunk, frame, label)", SEG, PCH, PTG, "lab AS (SELECT uri, label, row_number() OVER (PARTITION BY uri ORDER BY label) - 1 AS k FROM (SELECT DISTINCT uri, label FROM seg))"))
+def prep_oracle_segmentation(spark, d):
+    return preparation.oracle_segmentation(A.segments(spark, d), _day_chunks(spark, d), HOUR, 24, DAY)
+
+
+# -- more frames
+
+
+@query(q("SELECT uri, frame, max(score) AS score FROM lfr GROUP BY 1, 2", LFR))
+def frm_any_class(spark, d):
+    return frames.any_class(A.label_frames(spark, d), ("uri", "frame"))
+
+
+@query(q("SELECT uri, frame, k, round(score - ln(sum(exp(score)) OVER (PARTITION BY uri, frame)), 9) AS score FROM lfr", LFR))
+def frm_log_softmax(spark, d):
+    w = Window.partitionBy("uri", "frame")
+    return A.label_frames(spark, d).select("uri", "frame", "k", F.round(log_softmax(F.col("score"), w), 9).alias("score"))
+
+
+@query(q("SELECT uri, chunk, k AS speaker, CASE WHEN sum(score) > 0 THEN k % 2 END AS cluster FROM lchk GROUP BY 1, 2, 3, k", LFR, LCHK))
+def frm_inactive(spark, d):
+    chunks = _label_chunks(spark, d)
+    a = chunks.select("uri", "chunk", F.col("k").alias("speaker")).distinct().withColumn("cluster", F.col("speaker") % 2)
+    return frames.inactive(chunks, a)
+
+
+@query(q("SELECT uri, chunk, frame, k, CASE WHEN sum(c) OVER (PARTITION BY uri, chunk, k) > 1 THEN c ELSE score END AS mask FROM (SELECT *, CASE WHEN sum(score) OVER (PARTITION BY uri, chunk, frame) < 2 THEN score ELSE 0.0 END AS c FROM lchk)", LFR, LCHK))
+def frm_clean(spark, d):
+    return frames.clean_frames(_label_chunks(spark, d), 1).select("uri", "chunk", "frame", "k", "mask")
+
+
+@query(q("SELECT uri, chunk, speaker, i FROM (SELECT uri, chunk, k AS speaker, k AS i, sum(CASE WHEN n = 1 THEN score ELSE 0 END) AS alone FROM (SELECT *, sum(score) OVER (PARTITION BY uri, chunk, frame) AS n FROM lchk) GROUP BY 1, 2, 3, 4) WHERE alone >= 0.1 * 24 AND i <> 3", LFR, LCHK))
+def frm_active_embeddings(spark, d):
+    chunks = _label_chunks(spark, d)
+    value = F.when(F.col("k") == 3, F.lit(float("nan"))).otherwise(F.col("k").cast("double"))
+    e = chunks.select("uri", "chunk", F.col("k").alias("speaker"), F.array(value).alias("embedding")).distinct()
+    return frames.active_embeddings(chunks, e, 24, 0.1).select("uri", "chunk", "speaker", F.col("embedding")[0].cast("long").alias("i"))
+
+
+@query(q("SELECT uri, chunk, frame, k, score FROM lchk WHERE (uri, chunk) NOT IN (SELECT (uri, chunk) FROM lchk WHERE score > 0 GROUP BY uri, chunk HAVING count(DISTINCT k) > 3)", LFR, LCHK))
+def prep_drop_crowded(spark, d):
+    return preparation.drop_crowded(_label_chunks(spark, d), 3).select("uri", "chunk", "frame", "k", "score")
+
+
+@query(q("SELECT uri, chunk, frame, score, CASE WHEN frame >= 2 AND frame < 22 THEN 1.0::DOUBLE ELSE 0.0 END AS weight FROM chk", FRM, CHK))
+def frm_warm_up(spark, d):
+    return frames.warm_up_weights(_chunks(spark, d), 24, (0.1, 0.1))
+
+
+@query(q(f"SELECT frm.* FROM frm WHERE EXISTS (SELECT 1 FROM sup WHERE sup.uri = frm.uri AND frame * {HOUR} + {HOUR // 2} >= sup.s AND frame * {HOUR} + {HOUR // 2} < sup.e)", FRM, SEG, support_sql("sup", "seg", "uri")))
+def frm_within(spark, d):
+    return frames.within(A.frames(spark, d), intervals.support(A.segments(spark, d), ["uri"]), HOUR, HOUR)
+
+
+@query(q("SELECT uri, frame, coalesce(count, 0) AS count FROM (SELECT uri, unnest(range(min(frame), max(frame) + 1)) AS frame FROM cnt GROUP BY uri) LEFT JOIN cnt USING (uri, frame)", LFR, CNT))
+def frm_dense_counts(spark, d):
+    return frames.dense_counts(_counts(spark, d))
+
+
+@query(q("SELECT g.uri, g.k, g.frame, coalesce(score, 0.0) AS score FROM (SELECT uri, frame, unnest(range(n)) AS k FROM cnt JOIN (SELECT uri, greatest(max(k) + 1, max(count)) AS n FROM lfr JOIN cnt USING (uri, frame) GROUP BY uri) USING (uri)) g LEFT JOIN lfr USING (uri, frame, k)", LFR, CNT))
+def frm_padded(spark, d):
+    return frames.padded_activations(A.label_frames(spark, d), _counts(spark, d))
+
+
+@query(q("SELECT uri, t AS frame, round(a.score + (b.score - a.score) * (x - lo), 9) AS w FROM (SELECT uri, t, greatest(0.0, least(719.0, (t + 0.5) * 720 / 100 - 0.5)) AS x, CAST(floor(greatest(0.0, least(719.0, (t + 0.5) * 720 / 100 - 0.5))) AS BIGINT) AS lo FROM (SELECT DISTINCT uri FROM frm), range(100) r(t)) g JOIN frm a USING (uri) JOIN frm b USING (uri) WHERE a.frame = lo AND b.frame = least(lo + 1, 719)", FRM))
+def frm_interpolated_weights(spark, d):
+    w = A.frames(spark, d).select("uri", "frame", F.col("score").alias("w"))
+    return metrics.interpolated_weights(w, 720, 100, ("uri",)).withColumn("w", F.round("w", 9))
+
+
+# -- more metrics
+
+
+@query(q("SELECT threshold, round((SELECT count(*) FROM tri WHERE y = 0 AND score > threshold) / (SELECT count(*) FROM tri WHERE y = 0), 9) AS fpr, round((SELECT count(*) FROM tri WHERE y = 1 AND score <= threshold) / (SELECT count(*) FROM tri WHERE y = 1), 9) AS fnr FROM (SELECT DISTINCT score AS threshold FROM tri)", TRI))
+def met_det_curve(spark, d):
+    return metrics.det_curve(_trials(spark, d)).select("threshold", F.round("fpr", 9).alias("fpr"), F.round("fnr", 9).alias("fnr"))
+
+
+@query(q("SELECT round(avg(a), 6) AS auroc FROM (SELECT k, avg(CASE WHEN p.score > n.score THEN 1.0::DOUBLE WHEN p.score = n.score THEN 0.5 ELSE 0.0 END) AS a FROM ml p JOIN ml n USING (k) WHERE p.y = 1 AND n.y = 0 GROUP BY k)", "ml AS (SELECT n_chars AS score, quality AS y, 0 AS k FROM labels JOIN documents USING (doc_id) UNION ALL SELECT n_chars, toxic, 1 FROM labels JOIN documents USING (doc_id))"))
+def met_macro_auroc(spark, d):
+    rows = A.table(spark, d, "labels").join(A.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    both = rows.select(F.col("n_chars").alias("score"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("y")) for k, c in enumerate(("quality", "toxic"))])).alias("s"))
+    return metrics.macro_auroc(both.select("score", "s.k", "s.y"), [0, 1]).select(F.round("auroc", 6).alias("auroc"))
+
+
+LOSS = "los AS (SELECT quality AS y, least(0.99, greatest(0.01, n_chars / 20000)) AS p, 1.0 + toxic AS w FROM labels JOIN documents USING (doc_id) WHERE quality <> -1)"
+
+
+@query(q("SELECT 'bce' AS kind, round(sum(w * -(y * ln(p) + (1 - y) * ln(1 - p))) / count(*), 6) AS loss FROM los UNION ALL SELECT 'mse', round(sum(w * (y - p) * (y - p)) / sum(w), 6) FROM los UNION ALL SELECT 'nll', round(sum(w * -p) / sum(w), 6) FROM los", LOSS))
+def met_losses(spark, d):
+    rows = A.table(spark, d, "labels").join(A.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    rows = metrics.known_targets(rows.select(F.col("quality").alias("y"), F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.col("n_chars") / 20000)).alias("p"), (1.0 + F.col("toxic")).alias("w")))
+    out = None
+    for kind in ("bce", "mse", "nll"):
+        one = metrics.weighted_loss(rows, kind, "w").select(F.lit(kind).alias("kind"), F.round("loss", 6).alias("loss"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(q(f"SELECT uri, {BIG}, round((fa + miss + conf) / (total + 1e-8), 6) AS diarization_error_rate FROM swp", SEG, HYP, "u AS (SELECT uri, min(s) AS s, max(e) AS e FROM seg GROUP BY 1)", f"w AS (SELECT uri, k, s + k * {DAY} AS s, least(e, s + k * {DAY} + {2 * DAY}) AS e FROM (SELECT *, unnest(range(0, greatest(0, (e - s - {2 * DAY}) // {DAY}) + 1)) AS k FROM u))", "sw AS (SELECT w.uri || '#' || k AS uri, greatest(w.s, x.s) AS s, least(w.e, x.e) AS e, label FROM w JOIN seg x ON w.uri = x.uri AND w.s < x.e AND w.e > x.s)", "hw AS (SELECT w.uri || '#' || k AS uri, greatest(w.s, x.s) AS s, least(w.e, x.e) AS e, label FROM w JOIN hyp x ON w.uri = x.uri AND w.s < x.e AND w.e > x.s)", ATOMS.replace("FROM seg ", "FROM sw ").replace("FROM hyp)", "FROM hw UNION ALL SELECT uri || '#' || k, unnest([s, e]) FROM w)").replace("JOIN seg x", "JOIN sw x").replace("JOIN hyp x", "JOIN hw x").replace("part AS", "swp_unused AS"), PERM, TOGETHER.replace("FROM seg a JOIN hyp b", "FROM sw a JOIN hw b"), BESTP, DERP.replace("derp AS", "swp AS")))
+def met_sliding_error(spark, d):
+    s = A.segments(spark, d)
+    out = metrics.sliding_error(s, A.hypothesis(spark, d), intervals.extent(s), 2 * DAY, DAY)
+    return out.select("uri", *[F.col(c).cast("long").alias(c) for c in metrics.PARTS], F.round("diarization_error_rate", 6).alias("diarization_error_rate"))
+
+
 # -- pipelines
 
 
@@ -511,22 +767,21 @@ def pipe_activity(spark, d):
     return pipelines.activity_detection(A.frames(spark, d), pipelines.ActivityParams(0.2, 0.05, 2.0, 4.0), 1.0, 1.0)
 
 
-# -- what SQL can't express: tests hold these against brute force
-
-
-@query()
-def met_greedy_mapping(spark, d):
-    return assignment.greedy_mapping(A.segments(spark, d), A.hypothesis(spark, d), DAY)
+@query(q("SELECT uri, CAST(s AS DOUBLE) AS \"start\", CAST(e AS DOUBLE) AS \"end\", label FROM (" + " UNION ALL ".join(f"SELECT uri, a + 0.5 AS s, coalesce(n, b) + 0.5 AS e, '{name}' AS label FROM (SELECT *, CASE WHEN lead(a) OVER (PARTITION BY uri ORDER BY a) = b + 1 THEN b + 1 END AS n FROM (SELECT uri, r, on_, min(frame) AS a, max(frame) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY uri ORDER BY frame) AS r FROM (SELECT uri, frame, score > 0.2 AS on_, CASE WHEN lag(frame) OVER w = frame - 1 AND lag(score > 0.2) OVER w = (score > 0.2) THEN 0 ELSE 1 END AS new FROM lfr WHERE k = {k} WINDOW w AS (PARTITION BY uri ORDER BY frame))) GROUP BY 1, 2, 3)) WHERE on_" for k, name in ((0, "click"), (4, "view"))) + ")", LFR))
+def pipe_multilabel(spark, d):
+    p = pipelines.ActivityParams(0.2, 0.2, 0.0, 0.0)
+    scores = A.label_frames(spark, d).withColumn("score", F.when(F.col("score") == 0.2, 0.19).otherwise(F.col("score")))
+    return pipelines.multilabel(scores, {"click": (0, p), "view": (4, p)}, 1.0, 1.0)
 
 
-@query()
-def met_diarization_error(spark, d):
-    return metrics.diarization_error(A.segments(spark, d), A.hypothesis(spark, d), None, DAY)
+@query("SELECT round(3600 * sum(amount) / sum(total), 6) AS seconds_per_hour, round(sum(total) / sum(amount), 6) AS times_real_time, CAST(sum(amount) AS DOUBLE) AS total FROM (SELECT length(text) AS amount, 1000 AS total FROM conversations WHERE text IS NOT NULL)")
+def pipe_speed(spark, d):
+    rows = A.table(spark, d, "conversations").where("text is not null").select(F.length("text").cast("double").alias("processing"), F.lit(1000.0).alias("duration"))
+    out = pipelines.speed(rows)
+    return out.select(F.round("seconds_per_hour", 6).alias("seconds_per_hour"), F.round("times_real_time", 6).alias("times_real_time"), "total")
 
 
-@query()
-def met_jaccard_error(spark, d):
-    return metrics.jaccard_error(A.segments(spark, d), A.hypothesis(spark, d), DAY)
+# -- what SQL can't express: tests hold these against brute force
 
 
 @query()

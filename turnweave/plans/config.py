@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import json
 import random
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Any
 
 MODEL = "$model/"
@@ -75,8 +77,65 @@ class ArtifactHook:
             self.artifacts[step] = df
 
 
-class TimingHook:
-    """When each step's plan was made, in seconds since the first."""
+@dataclass
+class Space:
+    """Parameters of a pipeline: ranges and choices, of which some are frozen; ``instantiate`` takes a value for each that is not."""
+
+    space: dict[str, Any]
+    frozen: dict[str, Any] = field(default_factory=dict)
+
+    def freeze(self, **values: Any) -> "Space":
+        return Space(self.space, self.frozen | values)
+
+    def instantiate(self, **values: Any) -> dict[str, Any]:
+        wanted = set(self.space) - set(self.frozen)
+        if unknown := set(values) - wanted:
+            raise ValueError(f"not free: {sorted(unknown)}")
+        out = self.frozen | {k: v for k, v in self.space.items() if k not in self.frozen and not isinstance(v, (Uniform, Integer, Categorical))} | values
+        if missing := wanted - set(out):
+            raise ValueError(f"no value for {sorted(missing)}")
+        return out
+
+    def trials(self, n: int, seed: int = 0) -> Iterator[dict[str, Any]]:
+        return draw(self.space | self.frozen, n, seed)
+
+
+class Journal:
+    """Trials as lines of JSON and the best parameters so far as a JSON file, in a folder of the driver's; a journal that exists is carried on."""
+
+    def __init__(self, folder: str):
+        self.folder = Path(folder)
+        self.folder.mkdir(parents=True, exist_ok=True)
+        self.path, self.best_path = self.folder / "journal.jsonl", self.folder / "best.json"
+
+    def trials(self) -> list[dict[str, Any]]:
+        return [json.loads(x) for x in self.path.read_text().splitlines()] if self.path.exists() else []
+
+    def best(self) -> dict[str, Any] | None:
+        return json.loads(self.best_path.read_text()) if self.best_path.exists() else None
+
+    def add(self, params: dict[str, Any], loss: float) -> bool:
+        """Whether these are the best parameters yet; only then is their file written anew."""
+        with self.path.open("a") as f:
+            f.write(json.dumps({"params": params, "loss": loss}) + "\n")
+        known = self.best()
+        if known is not None and known["loss"] <= loss:
+            return False
+        self.best_path.write_text(json.dumps({"params": params, "loss": loss}, indent=1))
+        return True
+
+
+def per_task(given: Any, f: Callable[..., Any]) -> Any:
+    """Apply f to a table, or to each task's table of a dictionary, list or tuple, in the same form."""
+    if isinstance(given, dict):
+        return {k: per_task(v, f) for k, v in given.items()}
+    if isinstance(given, (list, tuple)):
+        return type(given)(per_task(v, f) for v in given)
+    return f(given)
+
+
+class PlanningHook:
+    """When each step's plan was made, in seconds since the first: the driver's time, not that of the work, which Spark does when a result is read."""
 
     def __init__(self) -> None:
         self.times: dict[str, float] = {}

@@ -27,6 +27,25 @@ def audio_chunks(audio: DataFrame, duration: float, step: float) -> DataFrame:
     return rows.select("uri", F.col("chunk").cast("long").alias("chunk"), F.concat(part, F.array_repeat(F.lit(0.0), size - F.size(part))).alias("samples"), "sample_rate")
 
 
+def infer_whole(audio: DataFrame, score: Callable[[pd.Series], pd.Series], classes: int = 1) -> DataFrame:
+    """Scores of whole files, without chunks: uri, frame, k, score. For a function that gives one vector a file, ``classes`` is its length and the frame 0."""
+    ship_package(audio.sparkSession)
+    apply = F.pandas_udf(score, "array<double>")
+    rows = audio.select("uri", F.posexplode(apply("samples")).alias("i", "score"))
+    return rows.select("uri", F.expr(f"i div {classes}").cast("long").alias("frame"), (F.col("i") % classes).cast("long").alias("k"), "score")
+
+
+def infer_crop(audio: DataFrame, regions: DataFrame, score: Callable[[pd.Series], pd.Series], classes: int = 1) -> DataFrame:
+    """Scores of parts of files (uri, start, end in seconds), each as a whole: uri, start, end, frame, k, score."""
+    rate = F.col("sample_rate")
+    a, n = F.floor(F.col("start") * rate).cast("int"), F.rint((F.col("end") - F.col("start")) * rate).cast("int")
+    parts = audio.join(regions.select("uri", "start", "end"), "uri").withColumn("samples", F.slice("samples", a + 1, n))
+    ship_package(audio.sparkSession)
+    apply = F.pandas_udf(score, "array<double>")
+    rows = parts.select("uri", "start", "end", F.posexplode(apply("samples")).alias("i", "score"))
+    return rows.select("uri", "start", "end", F.expr(f"i div {classes}").cast("long").alias("frame"), (F.col("i") % classes).cast("long").alias("k"), "score")
+
+
 def infer(audio: DataFrame, score: Callable[[pd.Series], pd.Series], classes: int, duration: float, step: float | None = None, pre_aggregation: Callable[[DataFrame], DataFrame] | None = None, skip_aggregation: bool = False, frame_step: float | None = None, frames_per_chunk: int | None = None) -> DataFrame:
     """chunk_frames (uri, chunk, frame, k, score), or their overlap-add on the frames of the file. A step is a tenth of the duration by default and no longer than it."""
     step = step or 0.1 * duration

@@ -6,10 +6,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnweave.operators import clustering, frames, intervals, metrics
+from turnweave.operators import assignment, clustering, frames, intervals, metrics, preparation
+from turnweave.plans.config import Journal
 from turnweave.sources import adapters
 
 
@@ -83,7 +84,9 @@ def diarize(segmentation: DataFrame, embeddings: DataFrame, p: DiarizationParams
     hard = clustering.assign(embeddings, trained, p.constrained)
     hard = _tell(hook, "clustering", frames.inactive(segmentation, hard))
     clustered = frames.reconstruct(segmentation, hard)
-    activations = _tell(hook, "discrete_diarization", frames.overlap_add(clustered, p.frames_per_chunk, p.chunk_step, p.frame_step, skip_average=True))
+    added = frames.overlap_add(clustered, p.frames_per_chunk, p.chunk_step, p.frame_step, skip_average=True)
+    counts = frames.dense_counts(counts)
+    activations = _tell(hook, "discrete_diarization", frames.padded_activations(added, counts))
 
     def segments(c: DataFrame) -> DataFrame:
         active = frames.top_count(activations, c).withColumn("score", F.col("active").cast("double"))
@@ -91,7 +94,46 @@ def diarize(segmentation: DataFrame, embeddings: DataFrame, p: DiarizationParams
         return found.select("uri", F.format_string("SPEAKER_%02d", F.col("k")).alias("label"), "start", "end")
 
     centres = clustering.centroids(usable.join(trained, ["uri", "chunk", "speaker"]))
-    return Diarization(segments(counts), segments(frames.exclusive(counts)), centres)
+    return Diarization(segments(counts), segments(frames.exclusive(counts)), clustering.reordered_centroids(centres, activations))
+
+
+@dataclass(frozen=True)
+class Separation:
+    diarization: Diarization
+    sources: DataFrame
+
+
+def separate(segmentation: DataFrame, sources: DataFrame, embeddings: DataFrame, p: DiarizationParams, source_frames: int, source_step: float, collar: int = 0, hook: Hook | None = None) -> Separation:
+    """Diarization, and a source for each speaker from the separated signals of the chunks (uri, chunk, frame, k, score): signals of one cluster are added up under a Hamming window, silenced where the speaker isn't active within ``collar`` frames, and scaled by their peak. Speakers who are never active have no source."""
+    done = diarize(segmentation, embeddings, p, hook)
+    usable = frames.active_embeddings(segmentation, embeddings, p.frames_per_chunk, p.min_active_ratio)
+    trained = clustering.cluster(usable, p.clustering, num=p.num_speakers, least=p.min_speakers, most=p.max_speakers)
+    hard = frames.inactive(segmentation, clustering.assign(embeddings, trained, p.constrained))
+    mine = sources.join(hard.where("cluster is not null").select("uri", "chunk", F.col("speaker").alias("k"), "cluster"), ["uri", "chunk", "k"]).drop("k").withColumnRenamed("cluster", "k")
+    whole = _tell(hook, "separation", frames.overlap_add(mine, source_frames, p.chunk_step, source_step, use_hamming=True))
+    spoken = done.diarization.withColumn("k", F.regexp_extract("label", r"([0-9]+)$", 1).cast("long"))
+    width = p.frame_duration or p.frame_step
+    a, b = F.ceil((F.col("start") - width / 2) / source_step).cast("long"), F.floor((F.col("end") - width / 2) / source_step).cast("long")
+    active = spoken.where(a <= b).select("uri", "k", F.explode(F.sequence(a, b)).alias("frame")).distinct().withColumn("_on", F.lit(1))
+    grid = whole.join(active.select("uri", "k").distinct(), ["uri", "k"], "left_semi")
+    on = grid.select("uri", "k", "frame").join(active, ["uri", "k", "frame"], "left").select("uri", "k", "frame", F.coalesce("_on", F.lit(0)).alias("active"))
+    return Separation(done, preparation.leakage_free(grid, on, collar))
+
+
+def evaluate(reference: DataFrame, scores: DataFrame, uem: DataFrame | None, step: float, duration: float, n: int, onset: float = 0.5) -> DataFrame:
+    """Scores of classes (uri, frame, k, score) made binary and compared, frame by frame within the uem, with the reference in its best order of classes: the parts and ratios of each file, and a TOTAL row."""
+    labels = reference.select("uri", "label").distinct().withColumn("k", (F.row_number().over(Window.partitionBy("uri").orderBy("label")) - 1).cast("long"))
+    target = frames.rasterise(reference, step, n, duration).join(labels, ["uri", "label"]).select("uri", F.lit(0).cast("long").alias("chunk"), "frame", "k", F.lit(1.0).alias("score"))
+    pred = scores.select("uri", F.lit(0).cast("long").alias("chunk"), "frame", F.col("k").cast("long").alias("k"), F.when(F.col("score") > onset, 1.0).otherwise(0.0).alias("score"))
+    grid = lambda df: frames.fill_missing(df.drop("chunk"), pred.select("uri", "frame").distinct().join(df.select("uri", "k").distinct(), "uri"), 0.0).withColumn("chunk", F.lit(0).cast("long"))
+    target, pred = grid(target), grid(pred)
+    if uem is not None:
+        target, pred = (frames.within(df, uem, step, duration) for df in (target, pred))
+    mapping = assignment.permute_frames(target, pred)
+    parts = metrics.total_errors(metrics.frame_errors(target, pred, [0.5], mapping=mapping), ["uri"])
+    from turnweave.sources.formats import report
+
+    return metrics.with_ratios(report(parts, list(metrics.PARTS)))
 
 
 def run_batch(files: DataFrame, pipeline: Callable[..., DataFrame], *args, **params) -> DataFrame:
@@ -118,11 +160,13 @@ def speed(rows: DataFrame, processing: str = "processing", playing: str = "durat
     return rows.agg((3600 * a / b).alias("seconds_per_hour"), (b / a).alias("times_real_time"), a.alias("total"))
 
 
-def optimise(grid: Sequence[dict], run: Callable[..., DataFrame], loss: Callable[[DataFrame], float], limit: int | None = None) -> tuple[dict, float]:
-    """The parameters of a grid with the least loss; ties: the first. Inputs that trials share should be persisted by the caller."""
+def optimise(grid: Sequence[dict], run: Callable[..., DataFrame], loss: Callable[[DataFrame], float], limit: int | None = None, journal: Journal | None = None) -> tuple[dict, float]:
+    """The parameters of a grid with the least loss; ties: the first. Inputs that trials share should be persisted by the caller. A journal keeps every trial and the best."""
     best: tuple[dict, float] | None = None
     for params in list(grid)[:limit]:
         value = loss(run(**params))
+        if journal:
+            journal.add(params, value)
         if best is None or value < best[1]:
             best = (params, value)
     if best is None:

@@ -25,6 +25,8 @@ def scratch_dir(spark: SparkSession) -> str:
         return shared.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="turnweave-")
         spark.sparkContext.setCheckpointDir(f"file://{_OWN_DIR[app]}")
     return f"file://{_OWN_DIR[app]}"

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnweave.functions.scalars import uniform
 from turnweave.runtime import ship_package
 
 
@@ -38,9 +39,11 @@ def read_stm(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_protocol(spark: SparkSession, config: dict, subset: str) -> dict[str, DataFrame]:
-    """files, annotation and annotated of a subset whose entry names an lst, rttm and uem path."""
+    """files, annotation and annotated of a subset whose entry names an lst, rttm and uem path; a template under ``audio`` gives each file's path."""
     entry = config[subset]
     out = {"files": read_lst(spark, entry["uri"]).withColumn("subset", F.lit(subset))}
+    if "audio" in entry:
+        out["files"] = with_paths(out["files"], entry["audio"])
     if "annotation" in entry:
         out["annotation"] = read_rttm(spark, entry["annotation"])
     if "annotated" in entry:
@@ -48,6 +51,16 @@ def read_protocol(spark: SparkSession, config: dict, subset: str) -> dict[str, D
     return out
 
 
+def read_subsets(spark: SparkSession, config: dict, subsets: list[str]) -> dict[str, DataFrame]:
+    """The tables of several subsets, one after the other, each row with its subset."""
+    out: dict[str, DataFrame] = {}
+    for subset in subsets:
+        for name, df in read_protocol(spark, config, subset).items():
+            one = df.withColumn("subset", F.lit(subset))
+            out[name] = one if name not in out else out[name].unionByName(one)
+    return out
+
+
 def read_turns_json(rows: DataFrame, column: str = "json") -> DataFrame:
     """Turns from JSON arrays of start, end, speaker; one row each, in order."""
     turns = F.from_json(column, "array<struct<start:double,end:double,speaker:string>>")
@@ -79,6 +92,98 @@ def downmix(audio: DataFrame) -> DataFrame:
     return rows.groupBy("uri", "sample_rate").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("samples"))
 
 
+def select_channel(audio: DataFrame, channel: int | str, seed: int = 0) -> DataFrame:
+    """One channel of each file by its number, ``random`` (by a hash of the uri) or the mean of all with ``downmix``."""
+    if channel == "downmix":
+        return downmix(audio)
+    if channel == "random":
+        number = audio.groupBy("uri").agg((F.max("channel") + 1).alias("_n"))
+        rows = audio.join(number, "uri").where(F.col("channel") == F.floor(uniform(seed, F.col("uri")) * F.col("_n")))
+        return rows.drop("_n", "channel")
+    return audio.where(F.col("channel") == channel).drop("channel")
+
+
+def sinc_kernel(rate: int, target: int, width: int = 6, rolloff: float = 0.99):
+    """Taps (one row for each of the target's phases) of a band-limited interpolation under a Hann window, and how many samples they reach to the left."""
+    import numpy as np
+
+    band = min(rate, target) * rolloff
+    reach = int(np.ceil(width * rate / band))
+    t = (np.arange(-reach, reach + rate) / rate)[None, :] - (np.arange(target) / target)[:, None]
+    x = np.clip(t * band, -width, width)
+    return np.sinc(x) * np.cos(x * np.pi / width / 2) ** 2 * band / rate, reach
+
+
+def resample(audio: DataFrame, target: int) -> DataFrame:
+    """Samples at another rate: ceil(n * target / rate) of them. Files at the target rate stay as they are."""
+    ship_package(audio.sparkSession)
+
+    @F.pandas_udf("array<double>")
+    def convert(samples: pd.Series, rates: pd.Series) -> pd.Series:
+        import math
+
+        import numpy as np
+
+        out = []
+        for x, rate in zip(samples, rates, strict=True):
+            if x is None or rate == target:
+                out.append(x)
+                continue
+            g = math.gcd(int(rate), target)
+            a, b = int(rate) // g, target // g
+            taps, reach = sinc_kernel(a, b)
+            n = -(-len(x) * b // a)
+            padded = np.concatenate([np.zeros(reach), np.asarray(x, float), np.zeros(reach + a + a)])
+            frames = np.lib.stride_tricks.sliding_window_view(padded, taps.shape[1])[::a]
+            out.append((frames @ taps.T).reshape(-1)[:n].tolist())
+        return pd.Series(out)
+
+    return audio.withColumn("samples", convert("samples", "sample_rate")).withColumn("sample_rate", F.lit(target))
+
+
+def validate_files(files: DataFrame) -> DataFrame:
+    """Files with a uri: the given one, else the path's stem, else ``waveform``. Each needs a path, or samples with their rate; a file with neither, or with more channels than samples, is an error."""
+    has = lambda c: F.col(c) if c in files.columns else F.lit(None)
+    stem = F.regexp_extract(has("path").cast("string"), r"([^/]+?)(\.[^./]*)?$", 1)
+    uri = F.coalesce(has("uri").cast("string"), F.when(has("path").isNotNull(), stem), F.lit("waveform"))
+    fault = F.when(has("path").isNull() & has("samples").isNull(), F.lit("neither path nor samples"))
+    if "samples" in files.columns:
+        fault = fault.when(F.col("samples").isNotNull() & has("sample_rate").isNull(), F.lit("samples without a rate"))
+        if "channels" in files.columns:
+            fault = fault.when(F.col("channels") > F.size("samples"), F.lit("more channels than samples"))
+    return files.withColumn("uri", F.when(fault.isNull(), uri).otherwise(F.raise_error(F.concat(F.lit("bad file: "), fault)).cast("string")))
+
+
+def prepare_files(files: DataFrame, lazy: dict[str, Column] | None = None, preload: bool = False) -> DataFrame:
+    """Validated files with further columns, computed only where something reads them; ``preload`` keeps them in memory or on disk. The channel goes."""
+    out = validate_files(files).withColumns(lazy or {}).drop("channel")
+    return out.persist() if preload else out
+
+
+def with_paths(files: DataFrame, template: str, column: str = "path") -> DataFrame:
+    """The path of each file by a template with ``{uri}`` (and any other column in braces)."""
+    path = F.lit(template)
+    for c in files.columns:
+        path = F.replace(path, F.lit("{" + c + "}"), F.col(c).cast("string"))
+    return files.withColumn(column, path)
+
+
+def sample_segments(spark: SparkSession) -> DataFrame:
+    """A small annotated file: two speakers in 30 seconds who overlap twice."""
+    turns = [(1.0, 4.5, "alice"), (4.2, 9.0, "bob"), (9.5, 14.0, "alice"), (14.0, 15.25, "bob"), (15.0, 22.0, "alice"), (23.5, 29.75, "bob")]
+    return spark.createDataFrame([("sample", a, b, str(k), who) for k, (a, b, who) in enumerate(turns)], "uri string, start double, end double, track string, label string")
+
+
+def check_protocol(tables: dict[str, dict[str, DataFrame]], classes: list[str] | None = None) -> dict[str, object]:
+    """What a protocol (tables of files, annotation, annotated for each subset) offers: whether it has a validation subset, the scope of its labels, whether classes are given, what is missing. Without files to train on it is an error."""
+    train = tables.get("train", {})
+    if "files" not in train or not train["files"].limit(1).count():
+        raise ValueError("no files to train on")
+    missing = sorted(f"{s}.{name}" for s, t in tables.items() for name in ("files", "annotation", "annotated") if name not in t)
+    scopes = sorted(r[0] for r in train["files"].select("scope").distinct().collect()) if "scope" in train["files"].columns else ["file"]
+    return {"has_validation": bool(tables.get("development", {}).get("files") is not None and tables["development"]["files"].limit(1).count()), "scopes": scopes, "has_classes": classes is not None, "missing": missing}
+
+
 def duration(samples: Column, rate: Column) -> Column:
     return F.size(samples) / rate
 
@@ -126,5 +231,10 @@ def report(parts: DataFrame, sums: list[str]) -> DataFrame:
     return parts.rollup("uri").agg(*[F.sum(c).alias(c) for c in sums]).withColumn("uri", F.coalesce("uri", F.lit("TOTAL")))
 
 
+def write_speed(speed: DataFrame, path: str) -> None:
+    """The one row of ``pipelines.speed`` as JSON."""
+    speed.write.mode("errorifexists").json(path)
+
+
 def write_report(parts: DataFrame, sums: list[str], path: str) -> None:
     report(parts, sums).write.mode("errorifexists").csv(path, header=True)
