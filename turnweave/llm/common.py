@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from turnweave.runtime import ship_package
@@ -28,8 +29,6 @@ def lower_ascii(text: str) -> bytes:
     return text.encode().lower()
 
 
-_IS_WHITE = np.zeros(256, bool)
-_IS_WHITE[list(WHITE.encode())] = True
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -45,26 +44,65 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+class Hashes(dict):
+    """64-bit hashes of words. At most ``limit`` words of up to 40 bytes are kept; beyond that all are forgotten."""
+
+    def __init__(self, limit: int = 200_000):
+        super().__init__()
+        self.limit = limit
+        MEMOS.append(self.clear)
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 40:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = h
+        return h
+
+
+#: What a task calls at its end, so that a reused Python worker keeps nothing from one stage to the next.
+MEMOS: list[Callable[[], None]] = []
+_WORDS = Hashes()
+
+
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word (polynomials over the bytes, from running sums), without a loop over words."""
-    b = np.frombuffer(b" " + raw + b" ", np.uint8)
-    white = _IS_WHITE[b]
-    edges = np.flatnonzero(white[1:] != white[:-1]) + 1
-    starts, ends = edges[::2], edges[1::2]
-    up, down = powers(len(b))
-    sums = np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up)
-    h = (sums[ends - 1] - sums[starts - 1]) * down[starts] + (ends - starts).astype(np.uint64)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    """A 64-bit hash of each word."""
+    found = raw.split()
+    return np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+
+
+#: Bytes of a slice of a batch; a single larger row is a slice of its own.
+SLICE = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about ``most`` bytes."""
+    if batch.num_rows < 2 or batch.nbytes <= most:
+        if batch.num_rows:
+            yield batch
+        return
+    half = batch.num_rows // 2
+    yield from slices(batch.slice(0, half), most)
+    yield from slices(batch.slice(half), most)
+
+
+def forget() -> None:
+    for f in MEMOS:
+        f()
+    pa.default_memory_pool().release_unused()
 
 
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``each`` to Arrow batches of the rows."""
+    """Apply ``each`` to slices of the rows' Arrow batches, so that memory follows ``SLICE`` (or the longest row), not the number of rows that Spark puts in a batch."""
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield each(batch)
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    yield each(part)
+        finally:
+            forget()
 
     return df.mapInArrow(run, schema)

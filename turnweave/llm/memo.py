@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
+from turnweave.llm.common import MEMOS
+
 
 class _Numbered(dict):
     """Numbers for spans as they first appear."""
@@ -20,26 +22,29 @@ class _Numbered(dict):
 
 
 class MemoEncoder:
-    """``split`` cuts a text into spans, ``encode_new`` encodes spans not met before. At most about ``limit`` spans are kept: beyond that all are forgotten."""
+    """``split`` cuts a text into spans, ``encode_new`` encodes spans not met before. At most about ``limit`` spans of ``size`` characters in all are kept: beyond that, and at the end of a task, all are forgotten."""
 
-    def __init__(self, split: Callable[[str], list], encode_new: Callable[[list], Iterable], limit: int = 600_000):
-        self.split, self.encode_new, self.limit = split, encode_new, limit
+    def __init__(self, split: Callable[[str], list], encode_new: Callable[[list], Iterable], limit: int = 200_000, size: int = 8 << 20):
+        self.split, self.encode_new, self.limit, self.size = split, encode_new, limit, size
         self.forget()
+        MEMOS.append(self.forget)
 
     def forget(self) -> None:
         self.numbers = _Numbered()
         self.ids = np.empty(0, np.uint32)
         self.at = np.zeros(1, np.int64)
+        self.held = 0
 
     def _learn(self) -> None:
         if new := self.numbers.new:
             got = list(self.encode_new(new))
             self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32)])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in got])])
+            self.held += sum(map(len, new))
             new.clear()
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.numbers) > self.limit:
+        if len(self.numbers) > self.limit or self.held > self.size:
             self.forget()
         numbers = []
         for text in texts:

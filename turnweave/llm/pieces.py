@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from turnweave.llm.common import map_batches, table
+from turnweave.llm.common import MEMOS, map_batches, table
 from turnweave.llm.memo import MemoEncoder
 
 SPACE = "▁"
@@ -49,7 +49,7 @@ class _Node:
 
 
 class PieceModel:
-    def __init__(self, path: str, kind: str = "bpe", memo: int = 600_000):
+    def __init__(self, path: str, kind: str = "bpe", memo: int = 150_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -72,6 +72,7 @@ class PieceModel:
         self._parts: dict[str, tuple[int, ...]] = {}
         self.memo_size = memo
         self.memo = MemoEncoder(SPANS.findall, lambda spans: map(self.encode_span, spans), memo)
+        MEMOS.extend([self._pairs.clear, self._parts.clear])
 
     # -- merging, for single pieces and pairs of them
 
@@ -107,7 +108,7 @@ class PieceModel:
                 known = self._alone[b] = self.merge(self.pieces[b]) == [self.pieces[b]]
             return known
         if (known := self._pairs.get((a, b))) is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 4 * self.memo_size:
                 self._pairs.clear()
             known = self._pairs[a, b] = self.merge(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
         return known

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm.common import map_batches, table
+from turnweave.llm.common import MEMOS, map_batches, table
 
 BLOCK = 256
 LOOK_AHEAD = 3
@@ -36,7 +36,7 @@ LOOK_AHEAD = 3
 class PreTokens:
     """Splits texts and counts the tokens of pre-tokens, each distinct one once (at most about ``limit`` are kept)."""
 
-    def __init__(self, vocabulary: str, pattern: str, limit: int = 600_000):
+    def __init__(self, vocabulary: str, pattern: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
@@ -45,6 +45,7 @@ class PreTokens:
         self.find = regex.compile(pattern).finditer
         self.known: dict[str, int] = {}
         self.limit = limit
+        MEMOS.append(self.known.clear)
 
     def learn(self, parts: Iterable[str]) -> None:
         if len(self.known) > self.limit:

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm.common import table, words
+from turnweave.llm.common import MEMOS, forget, slices, table, words
 from turnweave.llm.memo import MemoEncoder
 from turnweave.runtime import scratch_path, ship_package
 
@@ -63,6 +63,7 @@ def chunk_encoder(path: str) -> MemoEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     known: dict[str, list[int]] = {}
+    MEMOS.append(known.clear)
 
     def learn(pieces: list[str]) -> None:
         """Encode pieces as one text, parted by spaces: the places of its tokens tell whose they are."""
@@ -77,7 +78,7 @@ def chunk_encoder(path: str) -> MemoEncoder:
                 at = cut
 
     def encode_new(chunks: list[bytes]) -> Iterator[list[int]]:
-        if len(known) > 400_000:
+        if len(known) > 150_000:
             known.clear()
         texts = [c.decode() for c in chunks]
         plain = [PIECES.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
@@ -199,9 +200,7 @@ def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = chunk_encoder(vocabulary).encode_many if by_chunk else whole_text_encoder(vocabulary)
         writer = path = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole)):
             if writer is None:
                 store, root = open_store(out)
                 store.create_dir(root, recursive=True)
@@ -211,6 +210,7 @@ def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int =
             for k in range(0, len(ids), 256):
                 for doc_id, tokens in zip(ids[k : k + 256], encode(texts.slice(k, 256).to_pylist()), strict=True):
                     writer.add(doc_id, np.append(tokens, np.uint32(end_id)))
+        forget()
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [path], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())})
