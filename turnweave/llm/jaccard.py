@@ -12,27 +12,48 @@ each class by its hash. Then
   so close in both, and they are either a rare one or such a combination.
 
 Which members are frequent is counted over all documents and only steers the cost: a member under
-which more than ``frequent`` sets stand becomes frequent, and the index is built anew until none is
-left. No link depends on it.
-
-Sets that are equal become one first. Candidates are pairs under one key whose sizes allow a link;
-a histogram of the hashes bounds each pair's overlap from above, and what is left is verified on the
-whole sets. Under a key of at most ``BUCKET`` sets all such pairs are taken; under a larger one
-(combinations that very many sets share) rounds of ``PIVOTS`` pivots are compared with all sets of
-the group not yet known to be in the pivot's component, until each set has been one, so that no group
-is ever gathered and rows made are in proportion to the group for each round. A large group whose
-sets are all just below the similarity takes the square of its size in comparisons of histograms:
-none of its pairs may be left out.
+which more than ``frequent`` sets stand becomes frequent, and sets that hold it among their first
+are indexed anew until none is left. No link depends on it.
+
+Sets that are equal become one first. Under a key of at most ``BUCKET`` sets all pairs whose sizes
+allow a link are candidates; a histogram of the hashes bounds each pair's overlap from above, and
+what is left is verified on the whole sets.
+
+Keys of more sets come from groups of near copies. Such a group is compared by its differences, with
+rows in proportion to its members: with D(A) the members that A and the group's pivot don't share,
+``|A ^ B| = |D(A)| + |D(B)| - 2 |D(A) & D(B)|``, so A and B are linked if and only if
+
+    2 |D(A) & D(B)| (p + q) >= W(A) + W(B),    W(A) = |D(A)| (p + q) - n(A) (q - p),    t = p / q.
+
+* Sets with W(A) + W(B) <= 0 are linked whatever they share; then both are linked with the set of
+  least W, so one link from each to that set tells all of these.
+* Likewise, among the sets that hold one member x of the differences, links that one shared member
+  makes certain are all told by the set of least W among them.
+* Any further link takes s >= 2 shared members of the differences. Only members that some other set
+  holds count, the rarest of the group first; with m of them and a set needing at least s, at most
+  m - s are its own, and sets with m < s are done. The rest are indexed as above: under rare members
+  alone and combinations of frequent ones, as far apart as no pair can be missed (``_reach``). As s
+  follows from both sets' W, the sets of a group are put in classes of W by powers of two, and a set
+  is indexed for each class that can hold a partner, by the s that the class's least W asks for.
+  Crowded keys of this index are groups again, with a pivot of their own; after ``DEPTH`` such steps,
+  rounds of ``PIVOTS`` pivots are compared with all sets of the group not yet known to be in the
+  pivot's component, until each set has been one.
+
+The result is membership, not the number of links: a group of near copies has as many links as the
+square of its size, and they are never made one by one.
 
 Defined results: words are cut at ASCII white space, A-Z lower-cased; fewer words than ``width`` make
 one shingle; a null or blank text has no shingle and is linked with nothing; rows with a null id take
-no part and get a null component; repeated rows share their id's component. Extra columns are ignored.
+no part and get a null component; repeated rows share their id's component; ties of a pivot or of the
+least W go to the smallest id. A text of any length is taken whole, in memory that follows its own
+length. Words and shingles are compared by 64-bit hashes. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +64,15 @@ from turnweave.llm.common import lower_ascii, map_batches, table, word_hashes
 from turnweave.llm.components import components
 from turnweave.runtime import drop_materialised, materialise
 
-BUCKET, PIVOTS, REACH = 64, 256, 4
+BUCKET, PIVOTS, REACH, DEPTH = 64, 64, 4, 4
 #: Times that the index is built anew at most; members still crowded then go to the rounds of pivots.
 ROUNDS = 6
 #: Frequent members that are told to all tasks: 8 bytes each. The most frequent come first; any that
 #: are over the bound are treated as rare, which costs time only.
 MOST_FREQUENT = 200_000
+#: Shared members of the differences that combinations reckon with at most, and combinations of a set
+#: beyond which its group is indexed under single members.
+SHARED, MANY = 64, 50_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -73,21 +97,43 @@ def _least_overlap(n: int, t: Fraction) -> int:
     return -(-n * t.numerator // t.denominator)
 
 
-def index_keys(s: np.ndarray, frequent: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rare members, and combinations of frequent ones, under which a set stands; and the rare members to be counted: some beyond those, as these take the places of members that become frequent, or all of a set of whose first members a quarter is frequent."""
+def index_keys(s: np.ndarray, frequent: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Rare members, and combinations of frequent ones, under which a set stands."""
     n = len(s)
     e = n - _least_overlap(n, t)
     none = np.empty(0, np.uint64)
     if not len(frequent):
-        return s[: e + 1], none, s[: 2 * e + 2]
+        return s[: e + 1], none
     place = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
     known = frequent[place] == s
     rare = s[~known]
-    counted = rare if 4 * int(known[: 2 * e + 2].sum()) >= min(n, 2 * e + 2) else rare[: 2 * e + 2]
     if len(rare) > e:
-        return rare[: e + 1], none, counted
-    tail = s[known][: e + max(2, e + 1) - len(rare)]
-    return rare, np.concatenate([none, *(_mix(_mix(tail[:-d]) + tail[d:] * np.uint64(0x9E3779B97F4A7C15)) for d in range(1, min(REACH, len(tail) - 1) + 1))]), counted
+        return rare[: e + 1], none
+    return rare, combinations_of(s[known][: e + max(2, e + 1) - len(rare)])
+
+
+def combinations_of(members: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Hashes of the pairs of members at most ``reach`` places apart."""
+    return np.concatenate([np.empty(0, np.uint64), *(_mix(_mix(members[:-d]) + members[d:] * np.uint64(0x9E3779B97F4A7C15)) for d in range(1, min(reach, len(members) - 1) + 1))])
+
+
+def _reach(own: int, shared: int) -> int:
+    """How far apart the members of a combination may stand in a set with at most ``own`` members that the other lacks, where both share ``shared`` at least.
+
+    Of the first m = min(shared, SHARED) shared members, m - 1 pairs are neighbours. A pair has this many of the set's own members between it at most (m - 2) // 2 times, and likewise in the other set, so some pair is near enough in both."""
+    return own // ((min(shared, SHARED) - 2) // 2 + 1) + 1
+
+
+def difference_keys(x: np.ndarray, often: np.ndarray, needed: int, single: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rare members, and combinations of frequent ones, under which a set stands that shares ``needed`` of its members x (rare ones first) or more with any other it is linked with."""
+    spare = len(x) - needed
+    rare, frequent = x[~often], x[often]
+    alone, own = rare[: spare + 1], spare - len(rare)
+    if own < 0:
+        return alone, x[:0]
+    if single:
+        return np.concatenate([alone, frequent[: own + 1]]), x[:0]
+    return alone, combinations_of(frequent[: own + SHARED], _reach(own, needed))
 
 
 def histogram(s: np.ndarray) -> bytes:
@@ -115,18 +161,18 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _index(docs: DataFrame, width: int, t: Fraction, frequent: np.ndarray) -> DataFrame:
-    """Per row: id, n, digest of the set, histogram, rare keys, combined keys, members to be counted."""
+    """Per row: id, n, digest of the set, histogram, rare keys, combined keys."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(x, width) for x in batch.column(1).to_pylist()]
-        keys = [index_keys(s, held.value, t) if len(s) else (s, s, s) for s in sets]
+        keys = [index_keys(s, held.value, t) if len(s) else (s, s) for s in sets]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes(), usedforsecurity=False).digest() for s in sets], pa.binary()), pa.array([histogram(s) for s in sets], pa.binary()), *(_lists([k[j] for k in keys]) for j in range(3))],
-            names=["id", "n", "digest", "hist", "rare", "combined", "counted"],
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes(), usedforsecurity=False).digest() for s in sets], pa.binary()), pa.array([histogram(s) for s in sets], pa.binary()), *(_lists([k[j] for k in keys]) for j in range(2))],
+            names=["id", "n", "digest", "hist", "rare", "combined"],
         )
 
-    return map_batches(docs, each, "id long, n long, digest binary, hist binary, rare array<long>, combined array<long>, counted array<long>")
+    return map_batches(docs, each, "id long, n long, digest binary, hist binary, rare array<long>, combined array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -159,78 +205,189 @@ def _bounded(pairs: DataFrame, heads: DataFrame, t: Fraction) -> DataFrame:
     return map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "ha", "nb", "hb"), each, "a long, b long")
 
 
-def _near(df: DataFrame, ids: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """The rows of ``df`` whose id is in ``ids``: told to all tasks while they are at most ``limit`` (8 bytes each), else shuffled."""
-    return df.join(F.broadcast(ids) if ids.count() <= limit else ids, "id", "left_semi")
+def _near(df: DataFrame, ids: DataFrame, how: str = "left_semi", limit: int = 1_000_000) -> DataFrame:
+    """The rows of ``df`` whose id is in ``ids`` (or isn't): told to all tasks while they are at most ``limit`` (8 bytes each), else shuffled."""
+    return df.join(F.broadcast(ids) if ids.count() <= limit else ids, "id", how)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    if not pairs.limit(1).count():
-        return pairs
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "verify_ids")
-    sets = materialise(_sets(_near(docs, ids), width), "verify_sets")
+def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) whose whole sets (id, members) are similar enough."""
     x, y = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    out = pairs.join(x, "a").join(y, "b").where(both * t.denominator >= (F.size("x") + F.size("y") - both) * t.numerator).select("a", "b")
-    out = materialise(out, "verified")
+    return materialise(pairs.join(x, "a").join(y, "b").where(both * t.denominator >= (F.size("x") + F.size("y") - both) * t.numerator).select("a", "b"), "verified")
+
+
+def _verified_from_text(pairs: DataFrame, rows: DataFrame, width: int, t: Fraction) -> DataFrame:
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "verify_ids")
+    sets = materialise(_sets(_near(rows, ids), width).dropDuplicates(["id"]), "verify_sets")
+    out = _verified(pairs, sets, t)
     drop_materialised(sets)
     drop_materialised(ids)
     return out
 
 
+def _crowded_and_pairs(keys: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (key, combined, id, n, told, w, m): the rows under keys of several sets, those under crowded ones, and the candidate pairs (a, b) of the others. Two sets that are told already, or whose m members can't make up for the sum of their w, need not meet."""
+    each = 2 * (t.numerator + t.denominator)
+    counts = materialise(keys.groupBy("key", "combined").agg(F.count(F.lit(1)).alias("sets"), F.min("told").alias("all_told")).where("sets > 1 and not all_told").drop("all_told"), "counts")
+    index = materialise(keys.join(counts, ["key", "combined"]), "keys")
+    drop_materialised(counts)
+    buckets = index.where(F.col("sets") <= BUCKET).groupBy("key", "combined").agg(F.array_sort(F.collect_list(F.struct("n", "id", "told", "w", "m"))).alias("m"))
+    fits = lambda x, y: (y["n"] * t.numerator <= x["n"] * t.denominator) & ~(x["told"] & y["told"]) & (x["w"] + y["w"] <= each * F.least(x["m"], y["m"]))
+    paired = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, BUCKET), lambda y: fits(x, y)), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))))
+    return index, index.where(F.col("sets") > BUCKET).select("key", "combined", "id", "n"), buckets.select(F.explode(paired).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
+
+
 def similar_components(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(8, 10), id_col: str = "doc_id", text_col: str = "text", frequent: int = 16) -> DataFrame:
     """Per row: id, n_shingles, component_id."""
     t = similarity
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = np.empty(0, np.uint64)
-    base = materialise(_index(rows, width, t, known), "index")
+    base = materialise(_index(rows, width, t, np.empty(0, np.uint64)), "index")
     classes = base.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("head"))
     heads = materialise(base.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", "head"), "heads")
-    leaders = heads.where("id = head").select("id").distinct()
-    for _ in range(ROUNDS):
-        often = base.join(leaders, "id", "left_semi").select(F.explode("counted").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > frequent)
-        new = often.orderBy(F.desc("sets"), "key").limit(MOST_FREQUENT - len(known)).toPandas()
-        if not (new["sets"] > BUCKET).any():
-            break
-        known = np.unique(np.concatenate([known, new["key"].to_numpy(np.int64).view(np.uint64)]))
-        # only sets that hold one of them among their first members stand elsewhere now
-        told = F.broadcast(docs.sparkSession.createDataFrame(new[["key"]], "key long"))
-        touched = materialise(base.select("id", F.explode("counted").alias("key")).join(told, "key", "left_semi").select("id").distinct(), "touched")
-        again = base.join(touched, "id", "left_anti").unionByName(_index(_near(rows, touched), width, t, known))
-        again = materialise(again, "index")
-        drop_materialised(base)
-        drop_materialised(touched)
-        base = again
-    own = base.join(leaders, "id", "left_semi")
+    leaders = materialise(heads.where("id = head").select("id").distinct(), "leaders")
+    own, temporary = _reindexed(base, rows, leaders, width, t, frequent)
     one = lambda column, combined: F.transform(column, lambda k: F.struct(k.alias("key"), F.lit(combined).alias("combined")))
-    keys = own.select("id", "n", F.explode(F.concat(one("rare", False), one("combined", True))).alias("k")).select("k.key", "k.combined", "id", "n")
-    counts = materialise(keys.groupBy("key", "combined").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "counts")
-    index = materialise(keys.join(counts, ["key", "combined"]), "keys")
-    drop_materialised(counts)
-    sketches = materialise(_near(base, index.select("id").distinct()).select("id", "n", "hist"), "sketches")
-    drop_materialised(base)
-
-    buckets = index.where(F.col("sets") <= BUCKET).groupBy("key", "combined").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("m"))
-    paired = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, BUCKET), lambda y: y["n"] * t.numerator <= x["n"] * t.denominator), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))))
-    pairs = buckets.select(F.explode(paired).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
-    links = _verified(materialise(_bounded(pairs, sketches, t), "pairs"), rows, width, t)
+    keys = own.select("id", "n", F.explode(F.concat(one("rare", False), one("combined", True))).alias("k")).select("k.key", "k.combined", "id", "n", F.lit(False).alias("told"), F.lit(0).cast("long").alias("w"), F.lit(0).alias("m"))
+    index, large, pairs = _crowded_and_pairs(keys, t)
+    sketches = materialise(_near(base.select("id", "n", "hist"), index.select("id").distinct()).dropDuplicates(["id"]), "sketches")
+    for x in (base, leaders, *temporary):
+        drop_materialised(x)
+    pairs = materialise(_bounded(pairs, sketches, t), "pairs")
+    links = _verified_from_text(pairs, rows, width, t)
+    drop_materialised(pairs)
+    large = materialise(large, "large")
+    drop_materialised(index)
+
+    told, depth = [links], 0
+    while depth < DEPTH and large.limit(1).count():
+        found, large = _differences(large, rows, width, t)
+        told.append(found)
+        depth += 1
+    if depth:
+        links = materialise(reduce(DataFrame.unionByName, told), "links")
+        for x in told:
+            drop_materialised(x)
     comps = components(links)
-
-    large = index.where(F.col("sets") > BUCKET).select("key", "combined", "id", "n")
     if large.limit(1).count():
-        links, comps = _pivot_rounds(large, links, comps, sketches, rows, width, t)
-
+        comps = _pivot_rounds(large, links, comps, sketches, rows, width, t)
+    for x in (links, large, sketches):
+        drop_materialised(x)
     out = heads.join(comps, heads["head"] == comps["node"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "head", "id")).alias("component_id"))
 
 
-def _pivot_rounds(large: DataFrame, links: DataFrame, comps: DataFrame, sketches: DataFrame, rows: DataFrame, width: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
-    """Links under keys of many sets. Keys that share a set form one group, so that a pair isn't met again under each of its keys. A group's sets are dealt by a hash into PIVOTS parts; in each round the next set of every part, in order of ids, is the pivot for all sets of the group that aren't in its component. A group whose sets are all in one component is done."""
+def _reindexed(base: DataFrame, rows: DataFrame, leaders: DataFrame, width: int, t: Fraction, frequent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The leaders' rows of the index with the frequent members told apart, and the tables it reads besides."""
+    known = np.empty(0, np.uint64)
+    again = touched = None
+    for _ in range(ROUNDS):
+        # all rows are counted once; after that only sets that held a frequent member have new first members
+        often = (_near(base, leaders) if again is None else again).select(F.explode("rare").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > frequent)
+        new = often.orderBy(F.desc("sets"), "key").limit(MOST_FREQUENT - len(known)).toPandas()
+        if not (new["sets"] > BUCKET).any():
+            break
+        known = np.unique(np.concatenate([known, new["key"].to_numpy(np.int64).view(np.uint64)]))
+        told = F.broadcast(base.sparkSession.createDataFrame(new[["key"]], "key long"))
+        hit = base.select("id", F.explode("rare").alias("key")).join(told, "key", "left_semi").select("id")
+        hit = materialise((hit if touched is None else hit.unionByName(touched)).distinct(), "touched")
+        for x in (again, touched):
+            if x is not None:
+                drop_materialised(x)
+        touched = hit
+        again = materialise(_index(_near(_near(rows, leaders), touched), width, t, known), "again")
+    own = _near(base, leaders)
+    if again is None:
+        return own, []
+    return _near(own, touched, "left_anti").unionByName(again), [again, touched]
+
+
+def _groups(large: DataFrame) -> DataFrame:
+    """(g, id, n, k): sets under crowded keys, those that share a key in one group, with the number of their keys."""
     least = large.groupBy("key", "combined").agg(F.min("id").alias("least"))
     groups = components(large.join(least, ["key", "combined"]).select(F.col("id").alias("a"), F.col("least").alias("b")))
-    ids = large.select("id", "n").distinct()
-    members = materialise(ids.join(groups, ids["id"] == groups["node"]).select(F.col("component").alias("g"), "id", "n", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("part")), "groups")
+    ids = large.groupBy("id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    return materialise(ids.join(groups, ids["id"] == groups["node"]).select(F.col("component").alias("g"), "id", "n", "k"), "groups")
+
+
+def _differences(large: DataFrame, rows: DataFrame, width: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Links that tell all links of the groups which differences from a pivot decide, and the crowded rows that are left."""
+    p, q = t.numerator, t.denominator
+    members = _groups(large)
+    ids = members.select("id")
+    sets = materialise(_sets(_near(rows, ids), width).dropDuplicates(["id"]), "sets")
+    crowd = sets.join(members, "id")
+    central = members.groupBy("g").agg(F.min(F.struct((-F.col("k")).alias("k"), "id")).alias("p")).select("g", F.col("p.id").alias("id"))
+    pivots = materialise(sets.join(central, "id").select("g", F.col("members").alias("pivot")), "pivots")
+    few = pivots.count() <= 256
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        apart, weight = [], []
+        sizes = batch.column(2).to_numpy()
+        for n, x, y in zip(sizes.tolist(), batch.column(3), batch.column(4), strict=True):
+            d = np.setxor1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)
+            apart.append(d.view(np.uint64))
+            weight.append(len(d) * (p + q) - n * (q - p))
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(weight, pa.int64()), _lists(apart)], names=["g", "id", "n", "w", "apart"])
+
+    joined = crowd.join(F.broadcast(pivots) if few else pivots, "g").select("g", "id", "n", "members", "pivot")
+    apart = materialise(map_batches(joined, each, "g long, id long, n long, w long, apart array<long>"), "apart")
+    lowest = F.min(F.struct("w", "id"))
+    best = apart.groupBy("g").agg(lowest.alias("best"))
+    best = materialise(best.select("g", F.col("best.w").alias("bw"), F.col("best.id").alias("bid")), "best")
+    told = F.broadcast(best) if few else best
+    link = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    stars = apart.join(told, "g").where("id <> bid and w + bw <= 0").select(*link("id", "bid"))
+    # members of the differences that several sets hold, with the least of these sets
+    flat = apart.select("g", "id", "n", "w", F.explode("apart").alias("x"))
+    shared = flat.groupBy("g", "x").agg(F.count(F.lit(1)).alias("sets"), lowest.alias("least")).where("sets > 1")
+    shared = materialise(shared.select("g", "x", "sets", F.col("least.w").alias("lw"), F.col("least.id").alias("lid")), "shared")
+    held = materialise(flat.join(shared, ["g", "x"]), "held")
+    ones = held.where((F.col("id") != F.col("lid")) & (F.col("w") + F.col("lw") <= 2 * (p + q))).select(*link("id", "lid")).distinct()
+    links = materialise(stars.unionByName(ones).distinct(), "told")
+    # what takes two shared members or more
+    lists = held.groupBy("g", "id", "n", "w").agg(F.array_sort(F.collect_list(F.struct("sets", "x"))).alias("m")).join(told, "g")
+    needed = F.greatest(F.lit(2).cast("long"), F.ceil((F.col("w") + F.col("bw")) / (2 * (p + q))).cast("long"))
+    lists = lists.withColumn("needed", needed).where(F.size("m") >= F.col("needed"))
+    level = F.when(F.col("w") <= 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.log2(F.col("w") / (p + q))).cast("int")))
+    lists = lists.select("g", "id", "n", (F.col("w") + F.col("bw") <= 0).alias("told"), "w", level.alias("c"), F.col("needed").cast("int").alias("needed"), F.transform("m", lambda v: v["x"]).alias("x"), F.transform("m", lambda v: v["sets"] > BUCKET).alias("often"))
+    lists = materialise(lists, "lists")
+    own = F.size("x") - F.col("needed") - F.size(F.filter("often", lambda v: ~v))
+    most = F.when(own >= 0, (own + SHARED) * F.floor(own / (F.floor((F.least("needed", F.lit(SHARED)) - 2) / 2) + 1) + 1)).otherwise(0)
+    by_class = lists.groupBy("g", "c").agg(F.min("w").alias("w"), F.max(F.size("x")).alias("m"), F.max(most).alias("most"))
+    classes = by_class.groupBy("g").agg((F.max("most") > MANY).alias("single"), F.collect_list(F.struct("c", "w", "m")).alias("classes"))
+
+    def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rare, combined = [], []
+        columns = [batch.column(k).to_pylist() for k in (0, 4, 5)]
+        for g, w, c, x, often, single, partners in zip(*columns, batch.column(6), batch.column(7), batch.column(8).to_pylist(), batch.column(9).to_pylist(), strict=True):
+            x, often = x.values.to_numpy().view(np.uint64), np.array(often.as_py(), bool)
+            mine: tuple[list, list] = ([], [])
+            for other in partners:
+                least = max(2, -(-(w + other["w"]) // (2 * (p + q))))
+                if least > min(len(x), other["m"]):
+                    continue
+                salt = _mix(_mix(np.array([g], np.int64).view(np.uint64)) + np.uint64(64 * min(c, other["c"]) + max(c, other["c"])))
+                for kept, keys in zip(mine, difference_keys(x, often, least, single), strict=True):
+                    kept.append(_mix(keys + salt))
+            rare.append(np.concatenate([x[:0], *mine[0]]))
+            combined.append(np.concatenate([x[:0], *mine[1]]))
+        return pa.RecordBatch.from_arrays([*batch.columns[1:5], pa.array([len(x) for x in batch.column(6)], pa.int32()), _lists(rare), _lists(combined)], names=["id", "n", "told", "w", "m", "rare", "combined"])
+
+    wide = lists.join(F.broadcast(classes) if few else classes, "g").select("g", "id", "n", "told", "w", "c", "x", "often", "single", "classes")
+    one = lambda column, combined: F.transform(column, lambda k: F.struct(k.alias("key"), F.lit(combined).alias("combined")))
+    keys = map_batches(wide, keyed, "id long, n long, told boolean, w long, m int, rare array<long>, combined array<long>").select("id", "n", "told", "w", "m", F.explode(F.concat(one("rare", False), one("combined", True))).alias("k")).select("k.key", "k.combined", "id", "n", "told", "w", "m")
+    index, left, pairs = _crowded_and_pairs(materialise(keys, "near_keys"), t)
+    out = materialise(links.unionByName(_verified(pairs, sets, t)), "links")
+    left = materialise(left, "large")
+    for x in (large, members, sets, pivots, apart, best, shared, held, links, lists, index):
+        drop_materialised(x)
+    return out, left
+
+
+def _pivot_rounds(large: DataFrame, links: DataFrame, comps: DataFrame, sketches: DataFrame, rows: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """Components with the links under keys that stay crowded. A group's sets are dealt by a hash into PIVOTS parts; in each round the next set of every part, in order of ids, is the pivot for all sets of the group that aren't in its component. A group whose sets are all in one component is done."""
+    members = _groups(large).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)))
     after: DataFrame | None = None
     while True:
         named = members.join(comps, members["id"] == comps["node"], "left").select("g", "part", "id", "n", F.coalesce("component", "id").alias("c"))
@@ -239,15 +396,17 @@ def _pivot_rounds(large: DataFrame, links: DataFrame, comps: DataFrame, sketches
         next_one = F.min(F.struct(F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("c").alias("pc"))).alias("p")
         pivots = materialise(rest.join(parted, "g", "left_semi").groupBy("g", "part").agg(next_one).select("g", "part", "p.*"), "pivots")
         if not pivots.limit(1).count():
-            return links, comps
+            return comps
         pairs = named.drop("part").join(pivots.drop("part"), "g").where((F.col("id") != F.col("pid")) & (F.col("c") != F.col("pc")) & _fits(F.col("n"), F.col("pn"), t))
-        pairs = pairs.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
-        found = _verified(materialise(_bounded(pairs, sketches, t), "pairs"), rows, width, t)
+        pairs = materialise(_bounded(pairs.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct(), sketches, t), "pairs")
+        found = _verified_from_text(pairs, rows, width, t)
+        drop_materialised(pairs)
         if found.limit(1).count():
             links = materialise(links.unionByName(found), "links")
             comps = components(links)
         done = pivots.select("g", "part", F.col("pid").alias("last"))
         after = materialise(done if after is None else after.unionByName(done).groupBy("g", "part").agg(F.max("last").alias("last")), "after")
+        drop_materialised(pivots)
 
 
 def filter_documents(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
