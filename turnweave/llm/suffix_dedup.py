@@ -7,21 +7,22 @@ smaller id, or in the same one before. To sort the suffixes of just those places
    (the first among equals) is its anchor. Equal windows have equal anchors at equal places, so a
    window whose anchor's gram occurs once repeats nowhere. Windows in a row with the same anchor form
    a context, their bytes. Grams are counted over all documents.
-2. Contexts that are equal as a whole are one class; its first occurrence stands for it, and all
-   windows of the others repeat. Very common passages shrink to one context here, before any shuffle.
+2. Contexts that are equal as a whole (by a cryptographic digest of 128 bits) are one class; its first
+   occurrence stands for it, and all windows of the others repeat. Very common passages shrink to one
+   context here, before any text is shuffled.
 3. Where a gram has several classes, their contexts are cut to the windows whose hash is met again, and
    the suffixes of what is left are sorted by induction with common-prefix values (``induced``), one
-   shard of grams at a time, in the memory of its task. Neighbours
-   with LENGTH bytes in common are equal windows; all but the earliest repeat.
+   shard of grams at a time, in ``MEMORY`` bytes of its task and scratch files beyond. Neighbours with
+   LENGTH bytes in common are equal windows; all but the earliest repeat.
 4. A gram whose classes hold more than ``HOT`` bytes is not sorted in one shard: its windows are dealt
-   by the 128-bit digest of their LENGTH bytes, and of equal ones all but the earliest repeat. So no
+   by the digest of their LENGTH bytes, and of equal ones all but the earliest repeat. So no
    gram makes a shard large.
 
 The repeated windows go back to their documents as ranges, and each document is cut and digested.
 
 Order: ids ascending, null first; rows with the same id by a hash of the text; rows with the same id
 and text are one occurrence, and each gets its result. Null texts count as empty. Texts shorter than
-LENGTH bytes keep everything. Extra columns are ignored. An empty table gives an empty result.
+LENGTH bytes keep everything; longer ones, of any length, are taken whole, one text at a time. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,25 +32,23 @@ from collections.abc import Iterator
 from itertools import batched
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnweave.llm.common import map_batches, powers, table
-from turnweave.llm.induced import sorted_suffixes
-from turnweave.runtime import drop_materialised, materialise, scratch_dir, ship_package
+from turnweave.llm.bitmap import bitmap_of, marked
+from turnweave.llm.common import forget, map_batches, powers, slices, table
+from turnweave.llm.induced import Store, sorted_suffixes
+from turnweave.runtime import drop_materialised, materialise, ship_package
 
 LENGTH, GRAM = 100, 32
-#: The grams that occur twice are told to all tasks as a bitmap of at most 2**MAP_BITS bits (16 MB), 32
-#: bits a gram where that fits. Fuller maps let more contexts pass that the classes then find alone.
-MAP_BITS, MAP_PARTS = 27, 6
 #: Lists of contexts or spans are told to all tasks up to so many (24 bytes each), else joined.
 TOLD = 2_000_000
-#: Grams with more bytes of classes than this are dealt by windows; a quarter of a shard.
-HOT = 2 << 20
+#: Bytes of contexts in a shard, about. Grams with more bytes of classes than this are dealt by windows.
+SHARD = HOT = 2 << 20
+#: Bytes of memory that the sort of a shard takes for its arrays; what is beyond lies in scratch files.
+MEMORY = 128 << 20
 #: Contexts whose windows are hashed at once; a context holds at most 2 * LENGTH - GRAM bytes.
 BLOCK = 8192
 PIECE = 1 << 22
@@ -91,6 +90,10 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode(), np.uint8)
 
 
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def _grams(rows: DataFrame) -> DataFrame:
     """A row for each gram of each batch of documents, its own repetitions counted."""
 
@@ -102,33 +105,6 @@ def _grams(rows: DataFrame) -> DataFrame:
     return map_batches(rows.select("text"), each, "gram long, n long")
 
 
-def _bitmap(grams: DataFrame) -> np.ndarray:
-    """Bits for the grams by their high bits, built part by part in tasks; a fixed size comes to the driver."""
-    n = grams.count()
-    bits = min(MAP_BITS, max(MAP_PARTS + 3, (32 * n).bit_length()))
-    size = 1 << (bits - MAP_PARTS - 3)
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = (pdf["gram"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) & (size * 8 - 1)
-        flags = np.zeros(size * 8, bool)
-        flags[at] = True
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "data": [np.packbits(flags, bitorder="little").tobytes()]})
-
-    ship_package(grams.sparkSession)
-    parts = grams.select("gram", F.shiftrightunsigned("gram", 64 - MAP_PARTS).alias("part"))
-    # each place of the map once, however many grams fall on it
-    slots = parts.groupBy("part", F.shiftrightunsigned("gram", 64 - bits).alias("slot")).agg(F.min("gram").alias("gram"))
-    out = np.zeros(size << MAP_PARTS, np.uint8)
-    for r in slots.groupBy("part").applyInPandas(build, "part long, data binary").collect():
-        out[r.part * size : (r.part + 1) * size] = np.frombuffer(r.data, np.uint8)
-    return out
-
-
-def _marked(bitmap: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    at = (grams >> np.uint64(64 - (len(bitmap).bit_length() + 2))).astype(np.int64)
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def _contexts(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """Contexts of the grams marked: gram, digest of the bytes, id, h, first window, windows."""
     held = rows.sparkSession.sparkContext.broadcast(bitmap)
@@ -139,9 +115,9 @@ def _contexts(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
         for k, text in enumerate(batch.column("text").to_pylist()):
             raw = (text or "").encode()
             grams, first, count = anchors(np.frombuffer(raw, np.uint8))
-            keep = _marked(known, grams)
+            keep = marked(known, grams)
             grams, first, count = grams[keep], first[keep], count[keep]
-            digests = [xxhash.xxh3_128_digest(raw[a : a + n + LENGTH - 1]) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+            digests = [_digest(raw[a : a + n + LENGTH - 1]) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
             out.append((np.full(len(grams), k), grams, digests, first, count))
         where, grams, digests, first, count = zip(*out, strict=True)
         take = pa.array(np.concatenate(where))
@@ -184,11 +160,11 @@ def _windows(docs: DataFrame) -> DataFrame:
             raw = (text or "").encode()
             for c in contexts:
                 for at in range(c["first"], c["first"] + c["windows"]):
-                    yield k, xxhash.xxh3_128_digest(raw[at : at + LENGTH]), c["first"], at
+                    yield k, _digest(raw[at : at + LENGTH]), c["first"], at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in batched(rows(batch), 100_000):
+        for batch in (part for whole in batches for part in slices(whole)):
+            for some in batched(rows(batch), 20_000):
                 k, digest, context, first = zip(*some, strict=True)
                 take = pa.array(k, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), batch.column("id").take(take), batch.column("h").take(take), pa.array(context, pa.int64()), pa.array(first, pa.int64())], names=["digest", "id", "h", "context", "first"])
@@ -217,13 +193,19 @@ def _dealt_windows(docs: DataFrame) -> DataFrame:
     return map_batches(again.select("id", "h", "list"), each, "id long, h long, first long, windows long")
 
 
-def repeats_of(contexts: pa.Table, folder: str | None, memory: int = 256 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeats_of(contexts: pa.Table, memory: int = MEMORY, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, first window, windows) of the runs of windows that a context repeats of an earlier one, by sorting all their suffixes."""
     data = contexts.column("data").to_pylist()
     sizes = np.array([len(d) for d in data], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes + 1)])
-    text = np.frombuffer(b"\0".join([*data, b""]), np.uint8).astype(np.int16) + 1
-    text[begins[1:] - 1] = 0
+    store = Store(memory, folder)
+    text = store.array(int(begins[-1]), np.uint16)
+    for k in range(0, len(data), BLOCK):  # bytes plus one; 0 ends a context
+        part = data[k : k + BLOCK]
+        a, b = begins[k], begins[min(k + BLOCK, len(data))]
+        text[a:b] = np.frombuffer(b"\0".join([*part, b""]), np.uint8).astype(np.uint16) + 1
+        text[begins[k + 1 : k + 1 + len(part)] - 1] = 0
+    del data
     first = contexts.column("first").to_numpy()
     ids, hashes = contexts.column("id").to_pylist(), contexts.column("h").to_pylist()
     order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, hashes[k]))
@@ -246,7 +228,7 @@ def repeats_of(contexts: pa.Table, folder: str | None, memory: int = 256 << 20)
         at = first[c] + pos - begins[c]
         found.append(pos[np.lexsort((at, rank[c]))[1:]])
 
-    for pos, common in sorted_suffixes(text, LENGTH, memory, folder):
+    for pos, common in sorted_suffixes(text, LENGTH, store=store):
         borders = np.flatnonzero(common < LENGTH)
         if not len(borders):
             group.append(pos)
@@ -316,7 +298,7 @@ def trimmed(shard: pa.Table) -> pa.Table:
     return pa.table({"id": rows.column("id"), "h": rows.column("h"), "first": pa.array(first, pa.int64()), "windows": pa.array(b - a, pa.int64()), "data": pa.array(cut, pa.binary())})
 
 
-def _sorted_shards(contexts: DataFrame, shards: int, folder: str | None) -> DataFrame:
+def _sorted_shards(contexts: DataFrame, shards: int) -> DataFrame:
     """Ranges (id, h, first, windows) of repeated windows; a shard is all contexts of its grams, none of which holds more than HOT bytes."""
     ship_package(contexts.sparkSession)
     schema = "id long, h long, first long, windows long"
@@ -329,9 +311,10 @@ def _sorted_shards(contexts: DataFrame, shards: int, folder: str | None) -> Data
         got.clear()
         if not len(shard):
             return
-        c, first, windows = repeats_of(shard, folder)
+        c, first, windows = repeats_of(shard)
         take = pa.array(c)
         yield from pa.table({"id": shard.column("id").take(take), "h": shard.column("h").take(take), "first": pa.array(first, pa.int64()), "windows": pa.array(windows, pa.int64())}).combine_chunks().to_batches(max_chunksize=100_000)
+        forget()
 
     return contexts.repartition(shards, "gram").mapInArrow(sort, schema)
 
@@ -343,7 +326,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
     repeats = rows.groupBy("id", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count() > 0
     # a gram that occurs once, in all, can't repeat
     counts = materialise(_grams(rows).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"), "grams")
-    found = materialise(_contexts(rows, _bitmap(counts)), "contexts")
+    found = materialise(_contexts(rows, bitmap_of(counts)), "contexts")
     # rows with the same id and text are one occurrence
     one = F.struct("id", "h", "first")
     classes = found.groupBy("gram", "digest").agg(F.min(one).alias("least"), F.max(one).alias("most"), F.first("windows").alias("windows"))
@@ -362,12 +345,10 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
         hot = wanted.where(F.size("hot") > 0).select("id", "h", F.col("hot").alias("list"))
         ranges = ranges.unionByName(_dealt_windows(_with_text(hot, size.n_hot, texts, "inner")))
     if size.n:
-        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size.bytes >> 23) + 1)
-        shared = scratch_dir(spark)
-        folder = f"{shared.removeprefix('file://')}/turnweave/spools" if shared.startswith(("file:", "/")) else None
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size.bytes // SHARD) + 1)
         cold = wanted.where(F.size("list") > 0).select("id", "h", "list")
         cut = _cut_out(_with_text(cold, size.n, texts, "inner"))
-        ranges = ranges.unionByName(_sorted_shards(cut, shards, folder))
+        ranges = ranges.unionByName(_sorted_shards(cut, shards))
     ranges = materialise(ranges.distinct() if repeats else ranges, "ranges")
     for x in (counts, found, classes, wanted):
         drop_materialised(x)
