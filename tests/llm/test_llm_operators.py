@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from turnweave.llm import decontaminate, induced, jaccard, language, pieces, pii, quality, suffix_dedup, token_counts, token_files, urls
+from turnweave.llm import bitmap, decontaminate, induced, jaccard, language, pieces, pii, quality, suffix_dedup, token_counts, token_files, urls
 from turnweave.llm.common import word_hashes
 
 WORDS = "the of and zu que é日本 foo bar baz qux Stop run 12 3.5 a|b".split()
@@ -84,22 +84,62 @@ def test_jaccard_join(spark, docs, width, t):
     assert sorted(map(tuple, got), key=key) == want
 
 
-def test_jaccard_join_with_crowded_keys(spark, monkeypatch):
-    """Groups of near copies larger than a bucket, so that pivots and combinations are used."""
-    monkeypatch.setattr(jaccard, "BUCKET", 4)
+@pytest.mark.parametrize("seed,depth,bucket", [(5, 4, 4), (6, 1, 2), (8, 0, 4)])
+def test_jaccard_join_with_crowded_keys(spark, monkeypatch, seed, depth, bucket):
+    """Groups of near copies larger than a bucket: differences from pivots (0 deep: rounds of pivots alone)."""
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
     monkeypatch.setattr(jaccard, "PIVOTS", 8)
-    rng = random.Random(5)
-    base = [f"w{i}" for i in range(60)]
+    monkeypatch.setattr(jaccard, "DEPTH", depth)
+    rng = random.Random(seed)
     rows = []
-    for k in range(60):
-        w = list(base)
+    for k in range(70):
+        w = [f"w{i}" for i in range(60)] if k % 3 else [f"{'w' if i < 30 else 'v'}{i}" for i in range(70)]
         for _ in range(rng.randint(0, 4)):
-            w[rng.randrange(60)] = f"z{rng.randint(0, 5)}"
+            w[rng.randrange(60)] = f"z{rng.randint(0, 9)}" if rng.random() < 0.6 else f"own{k}"
         rows.append((k, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     sets = python_sets(rows, 1)
     got = {r.doc_id: r.component_id for r in jaccard.similar_components(df, 1, Fraction(9, 10), frequent=2).collect()}
-    assert got == dict(zip(range(60), python_components(rows, sets, Fraction(9, 10))))
+    assert got == dict(zip(range(70), python_components(rows, sets, Fraction(9, 10))))
+    assert 1 < len(set(got.values())) < 68
+
+
+def test_difference_keys_lose_no_pair():
+    """Lists that share enough of their members share a key, whatever members are frequent."""
+    rng = np.random.default_rng(2)
+    for _ in range(2000):
+        shared, size = int(rng.integers(2, 90)), int(rng.integers(0, 60))
+        common = rng.integers(0, 2**63, shared).astype(np.uint64)
+        lists = [np.unique(np.concatenate([common, rng.integers(0, 2**63, int(rng.integers(0, size + 1))).astype(np.uint64)])) for _ in range(2)]
+        share = rng.random()
+        single = bool(rng.random() < 0.2)
+        keys = []
+        for x in lists:
+            often = (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) < share * 2**24
+            x = np.concatenate([x[~often], x[often]])
+            keys.append(jaccard.difference_keys(x, np.sort(often), int(rng.integers(2, shared + 1)), single))
+        assert len(np.intersect1d(keys[0][0], keys[1][0])) or len(np.intersect1d(keys[0][1], keys[1][1]))
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Complementary Thue-Morse words collide under any polynomial hash modulo a power of two."""
+    t = "a"
+    for _ in range(10):
+        t += t.translate(str.maketrans("ab", "ba"))
+    u = t.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, f"{t} x {u} x {u}"), (2, f"{u} x {t} x {u}")], "doc_id long, text string")
+    got = sorted(map(tuple, jaccard.similar_components(df, 3, Fraction(9, 10)).collect()))
+    assert got == [(1, 3, 1), (2, 3, 2)]
+
+
+def test_components_of_a_hub_and_a_path(spark, monkeypatch):
+    from turnweave.llm import components as c
+
+    monkeypatch.setattr(c, "HUB", 5)
+    links = [(0, k) for k in range(1, 40)] + [(k, k + 1) for k in range(100, 130)] + [(200, 201), (201, 201)]
+    got = dict(map(tuple, c.components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {k: 0 for k in range(40)} | {k: 100 for k in range(100, 131)} | {200: 200, 201: 200}
+    assert c.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_index_keys_lose_no_pair():
@@ -241,35 +281,53 @@ def test_token_count_documents(docs, empty):
 # -- op4
 
 
-def test_decontamination_finds_substitutions(spark, empty):
+def python_overlaps(text, item):
+    """The best overlap (first, end, equal) of a text with an item, from every alignment, without seeds."""
+    find = lambda x: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (x or "").lower())
+    t, w = find(text), find(item)
+    n, best = min(13, len(w)), []
+    least = n if len(w) < 9 else -(-8 * n // 10)
+    for shift in range(-len(w), len(t) + 1) if w else ():
+        at = [p for p in range(len(w) - n + 1) if 0 <= shift + p and shift + p + n <= len(t) and sum(t[shift + p + j] == w[p + j] for j in range(n)) >= least]
+        runs = []
+        for p in at:
+            if runs and p - runs[-1][1] <= n:
+                runs[-1][1] = p
+            else:
+                runs.append([p, p])
+        best += [(-sum(t[shift + j] == w[j] for j in range(a, b + n)), shift + a, shift + b + n) for a, b in runs]
+    return min(best) if best else None
+
+
+@pytest.mark.parametrize("told", [1_000_000, 0])  # told to all tasks, and salted joins
+def test_decontamination_equals_brute_force(spark, empty, monkeypatch, told):
+    monkeypatch.setattr(decontaminate, "TOLD", told)
     rng = random.Random(4)
-    vocabulary = [f"v{i}" for i in range(300)]
-    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(n))) for k, n in enumerate([5, 8, 13, 30, 60])] + [(9, None), (10, ""), (11, "v1 v2")]
-    docs, want = [], set()
-    for i in range(60):
-        w = [rng.choice(vocabulary) for _ in range(50)]
-        if i % 2:
-            k = rng.randrange(5)
-            item = items[k][1].split()
-            if len(item) >= 13:
-                for j in range(rng.randint(0, 6), len(item), 7):
-                    item[j] = "other"
-            w[20:20] = item
-            want.add((i, k))
-        docs.append((i, " ".join(w)))
-    docs += [(100, None), (101, "")]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.find_overlaps(df, bench, block_tokens=40).collect()}
-    assert want <= got
-    block = decontaminate.Block.build(items)
-    for i, k in got:  # nothing that the definition doesn't hold for
-        t, at = decontaminate.tokens(docs[i][1]), block.ids.index(k)
-        assert any(block._verify(t, at, s) for s in range(-60, len(t)))
-    clean = {r.doc_id for r in decontaminate.filter_documents(df, bench).collect()}
-    assert clean == {i for i, _ in docs} - {i for i, _ in got}
-    assert decontaminate.find_overlaps(empty, bench).count() == 0
-    assert decontaminate.find_overlaps(df, bench.where("false")).count() == 0
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(n))) for k, n in enumerate([3, 5, 8, 9, 10, 11, 12, 13, 30, 60])] + [(19, None), (20, ""), (21, "É日本 V2"), (None, "v9 v8 v7 v6 v5 v4 v3 v2 v1 v0")]
+    items.append(items[7])  # a repeated row
+    docs = []
+    for i in range(80):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(0, 50))]
+        for _ in range(i % 3):
+            item = rng.choice([x for _, x in items if x]).split()
+            for j in range(rng.randint(0, 4), len(item), rng.randint(3, 9)):
+                item[j] = "other"
+            at = rng.randint(0, len(w))
+            w[at:at] = item
+        docs.append((i // 2, " ".join(w)))
+    docs += [(100, None), (101, ""), (None, "x " + items[8][1].upper() + ", " + items[8][1]), (102, items[3][1]), (102, items[3][1]), (103, "filler " * 3000 + items[9][1])]
+    df = spark.createDataFrame([(i, t, "own", 1) for i, t in docs], "doc_id long, text string, item string, row int").repartition(3)
+    bench = spark.createDataFrame([(*x, 2) for x in items], "item_id long, text string, k int").repartition(2)
+    want = sorted(((i, k, x[1], x[2], -x[0]) for i, t in docs for k, w in items if (x := python_overlaps(t, w))), key=key)
+    assert len(want) > 20
+    got = decontaminate.find_overlaps(df, bench)
+    assert sorted(((r.doc_id, r.item_id, r.first_token, r.end_token, r.equal_tokens) for r in got.collect()), key=key) == want
+    clean = decontaminate.filter_documents(df, bench)
+    assert clean.columns == df.columns
+    assert sorted(((r.doc_id, r.text or "") for r in clean.collect()), key=key) == sorted(((i, t or "") for i, t in docs if not any(python_overlaps(t, w) for _, w in items)), key=key)
+    assert decontaminate.find_overlaps(empty, bench).count() == 0 == decontaminate.filter_documents(empty, bench).count()
+    assert decontaminate.find_overlaps(df, bench.where("false")).count() == 0 and decontaminate.filter_documents(df, bench.where("false")).count() == len(docs)
 
 
 def test_masks_hit_every_two_substitutions():
@@ -283,15 +341,16 @@ def test_masks_hit_every_two_substitutions():
 def test_every_allowed_substitution_is_found(n):
     from itertools import combinations
 
-    item = [f"w{k}" for k in range(n)]
-    block = decontaminate.Block.build([(7, " ".join(item))])
+    item = decontaminate.tokens(" ".join(f"w{k}" for k in range(n)))
+    hashes, places = decontaminate.item_seeds(item)
+    known = dict(zip(hashes.tolist(), places.tolist()))
     allowed = 0 if n < 9 else n - -(-8 * n // 10)  # fewer than nine tokens must be equal
     for k in range(allowed + 2):
         for wrong in combinations(range(n), k):
-            text = " ".join(["a", *("x" if j in wrong else w for j, w in enumerate(item)), "b"])
-            found = block.overlaps(text)
-            assert [f[0] for f in found] == ([7] if k <= allowed else []), (n, wrong)
-            assert not found or found[0][1:4] == (1, n + 1, n - k)
+            t = decontaminate.tokens(" ".join(["a", *(f"x{j}" if j in wrong else f"w{j}" for j in range(n)), "b"]))
+            met = {p - known[h] for m in decontaminate.masks_of(n) for p, h in enumerate(decontaminate._seeds(t, m).tolist()) if h in known}
+            found = [x for s in met for x in decontaminate.overlaps_at(t, 0, item, s)]
+            assert found == ([(n - k, 1, n + 1)] if k <= allowed else []), (n, wrong)
 
 
 # -- op5
@@ -444,8 +503,70 @@ def test_pii(spark, empty):
     assert pii.digest(pii.find_spans(empty)).count() == 0 == pii.mask(empty).count()
 
 
+def python_candidates(text):
+    """(kind, start, end, base, votes) of every candidate, by Python's own regular expressions."""
+    out = []
+    for kind, pattern, strict in [*((k, BASE[k], True) for k in BASE), *((k, x, False) for k, x in pii.WIDE)]:
+        found = list(re.finditer(pattern, text, re.ASCII))
+        for m, before, after in zip(found, [None, *found], [*found[1:], None]):
+            x, d = m.group(), re.sub("[^0-9]", "", m.group())
+            left, right = text[before.end() if before else 0 : m.start()][-40:], text[m.end() : after.start() if after else len(text)][:1]
+            search = lambda pattern, where: re.search(pattern, where, re.ASCII) is not None
+            ok = True
+            if kind == "card":
+                ok = 14 <= len(d) <= 19 and luhn(d)
+            elif strict and kind == "ip":
+                ok = all(int(v) <= 255 for v in x.split("."))
+            elif strict and kind == "phone":
+                ok = 10 <= len(d) <= 15
+            votes = (
+                (1 if strict else -1) if ok else 0,
+                1 if search(pii.GAZETTEER[kind], x) else -1,
+                1 if search(pii.CONTEXT[kind], left) else -1,
+                int(not search(pii.BEFORE[kind], left) and not search("^[A-Za-z0-9]", right)),
+                0 if search(pii.AGAINST[kind], left) else -1,
+                int(search(pii.SHAPE[kind], x)),
+            )
+            out.append((pii.ALL.index(kind), m.start(), m.end(), strict and ok, votes))
+    return out
+
+
+def test_pii_added_spans_equal_brute_force(spark):
+    rng = random.Random(11)
+    key, block = "a8f3Kd02lLq9ZxC4vB7n", "-----BEGIN PRIVATE KEY-----\nMIIabc+/=\n-----END PRIVATE KEY-----"
+    parts = ["jo (at) mail (dot) com", "x[at]y.org", "call 555-123-4567", "(415) 555-0100", "2001:db8:0:0:0:0:0:1", "card 4111 1111 1111 1111", "5500000000000004 12", f'token = "{key}"', f"commit {key}", f"AKIA{key.upper()}", "password: hunter22", "ssn 078-05-1120", "12-34-5678", "iban DE89 3704 0044 0532 0130 00", block, "a@b.com", "10.0.0.1", "+1 (389) 555-5010", " ", ", ", "word ", "é", "v1.2.3.4"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(1, 8))) for _ in range(250)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [python_candidates(t) for t in texts]
+    counts = {}
+    for kind, _, _, _, votes in (c for x in found for c in x):
+        counts[kind, votes] = counts.get((kind, votes), 0) + 1.0
+    by_votes = {}
+    for (_, votes), n in counts.items():
+        by_votes[votes] = by_votes.get(votes, 0.0) + n
+    post, _ = pii.reconcile(sorted(by_votes.items()))
+    w = pii.fit([(kind, votes, n, post[votes]) for (kind, votes), n in sorted(counts.items())])
+    assert np.allclose(w, pii.train(pii.candidates(df, "doc_id", "text")))
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in pii.find_spans(df).collect()}
+    kinds = set()
+    for k, x in enumerate(found):
+        base = {(a, kind, b) for kind, a, b, is_base, _ in x if is_base}
+        added = set()
+        for kind, a, b, is_base, votes in x:
+            likely = sum(p * q for p, q in zip(w, pii.features(kind, votes))) > 0
+            evident = kind < 4 or votes[1] == 1 or votes[2] == 1
+            if not is_base and votes[0] == -1 and votes[3] == 1 and likely and evident and not any(kind == c and e < b and a < f for e, c, f in base):
+                added.add((a, kind, b))
+        kinds |= {c for _, c, _ in added}
+        assert got[k] == sorted(base | added)
+    assert kinds >= {0, 3, 4, 5}
+    masked = {r.doc_id: r.text for r in pii.mask(df).collect()}
+    assert any(f"token = {chr(34)}<secret>{chr(34)}" in t for t in masked.values()) and not any(f"token = {chr(34)}{key}" in t for t in masked.values())
+    assert any(f"commit {key}" in t for t in masked.values())
+
+
 def test_reconcile_trusts_agreeing_labelers():
-    counts = [((1, 1, -1, 1, -1), 100.0), ((0, 0, -1, 0, 0), 100.0), ((0, 1, -1, 0, -1), 20.0)]
+    counts = [((1, 1, -1, 1, -1, 1), 100.0), ((0, 0, -1, 0, 0, 0), 100.0), ((0, 1, -1, 0, -1, 0), 20.0)]
     post, rates = pii.reconcile(counts)
     assert post[counts[0][0]] > 0.9 and post[counts[1][0]] < 0.1
     assert all(t > o for t, o in (rates[0], rates[3]))
@@ -498,11 +619,15 @@ def test_cascade_order_changes_no_verdict():
 
 
 def test_induced_sorting(tmp_path, monkeypatch):
+    """Against plain comparison, in memory and in files, with strings of names sorted in memory and by recursion."""
     rng = random.Random(9)
-    for _ in range(150):
-        monkeypatch.setattr(induced, "BLOCK", rng.choice([3, 64, 1 << 20]))
+    for _ in range(300):
+        monkeypatch.setattr(induced, "BLOCK", rng.choice([3, 7, 64, 1 << 20]))
+        monkeypatch.setattr(induced, "HELD", rng.choice([64, 1 << 40]))
         cap = rng.choice([3, 8, 100])
-        t = [rng.randint(0, rng.choice([1, 3, 20])) for _ in range(rng.randint(1, 120))]
+        t = [rng.randint(0, rng.choice([1, 3, 20, 300])) for _ in range(rng.randint(1, 150))]
+        if rng.random() < 0.3:
+            t = t[: rng.randint(1, 12)] * rng.randint(1, 12)
         got = list(induced.sorted_suffixes(np.array(t, np.int16), cap, rng.choice([0, 200, 1 << 30]), str(tmp_path)))
         order, common = (np.concatenate(x).tolist() for x in zip(*got))
         assert sorted(order) == list(range(len(t)))
@@ -515,6 +640,20 @@ def test_induced_sorting(tmp_path, monkeypatch):
     assert not list(tmp_path.iterdir())
 
 
+def test_induced_sorting_beyond_memory(tmp_path):
+    """Arrays of many times the memory go to files, the names are sorted by recursion, and the order is the same."""
+    rng = np.random.default_rng(3)
+    words = [rng.integers(97, 105, rng.integers(2, 9)).astype(np.uint8).tobytes() for _ in range(400)]
+    raw = b" ".join(words[k] for k in rng.integers(0, 400, 6000))
+    t = np.frombuffer(raw, np.uint8).astype(np.uint16)
+    small, large = induced.Store(1 << 16, str(tmp_path)), induced.Store(1 << 30, str(tmp_path))
+    a, b = (list(induced.sorted_suffixes(t, 60, store=s)) for s in (small, large))
+    assert small.spilled > 8 * (1 << 16) and not large.spilled
+    assert np.array_equal(np.concatenate([x[1] for x in a]), np.concatenate([x[1] for x in b]))
+    order = np.concatenate([x[0] for x in a]).tolist()
+    assert sorted(order) == list(range(len(t))) and all(raw[x : x + 60] <= raw[y : y + 60] for x, y in zip(order, order[1:]))
+
+
 def python_dedup(rows):
     seen, out = set(), []
     for _, raw in rows:
@@ -540,9 +679,9 @@ def test_suffix_dedup(spark, empty, monkeypatch):
     rows = [(i, (t or "").encode()) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(texts)], "doc_id long, text string, h string, first int").repartition(4)
     want = python_dedup(rows)
-    for told, bits in ((suffix_dedup.TOLD, suffix_dedup.MAP_BITS), (0, 10)):  # told or joined; a full map
+    for told, bits in ((suffix_dedup.TOLD, bitmap.MAP_BITS), (0, 10)):  # told or joined; a full map
         monkeypatch.setattr(suffix_dedup, "TOLD", told)
-        monkeypatch.setattr(suffix_dedup, "MAP_BITS", bits)
+        monkeypatch.setattr(bitmap, "MAP_BITS", bits)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}
         assert [got[i] for i, _ in rows] == want
     assert suffix_dedup.remove_repeats(empty).count() == 0
