@@ -7,10 +7,14 @@ edit descends to the blocks that it touches, splits and encodes only the text fr
 new splits meet again (from a border on, the split depends on what follows alone), and renews the
 sums on the way up. What stays is never encoded again.
 
+``count_tokens`` builds the trees and edits them in one pass. ``build_trees`` writes them out as a table,
+a row for each leaf, and ``edit_trees`` applies a table of edits to stored trees: only the trees of
+edited documents are read into a task, and only what an edit touches is split and encoded again.
+
 Counts are those of byte-level BPE with the given vocabulary, special strings taken as ordinary text.
 
 Defined results: a null text counts as empty, with no tokens; ids, null or repeated, are carried
-through row by row; extra columns are ignored; edits (start, end, text) are in code points, may touch
+through row by row; extra columns are ignored; texts of any length are held whole, one at a time; edits (start, end, text) are in code points, may touch
 but not overlap, and are taken from the last to the first; null edits are none.
 """
 
@@ -28,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnweave.llm.common import MEMOS, map_batches, table
+from turnweave.runtime import materialise
 
 BLOCK = 256
 LOOK_AHEAD = 3
@@ -75,6 +80,14 @@ class TokenTree:
         self.pre, self.encoded = pre, 0
         self._plant(self._blocks(pre.split(text or "")))
 
+    @classmethod
+    def of_blocks(cls, pre: PreTokens, blocks: list[_Block]) -> "TokenTree":
+        """A stored tree: nothing is split or encoded."""
+        tree = cls.__new__(cls)
+        tree.pre, tree.encoded = pre, 0
+        tree._plant(blocks)
+        return tree
+
     def _blocks(self, parts: list[str]) -> list[_Block]:
         counts = self.pre.counts(parts)
         return [_Block("".join(p := parts[k : k + BLOCK]), list(map(len, p)), counts[k : k + BLOCK]) for k in range(0, len(parts), BLOCK)]
@@ -136,7 +149,7 @@ class TokenTree:
         begin = base + ends[k]
         old, held_base = [], base  # old borders at or after the end of the edit
         held, j = [], first
-        at = base
+        at, more = base, 1
         while j < len(self.blocks):
             held.append(self.blocks[j].text)
             for size in self.blocks[j].sizes:
@@ -144,7 +157,9 @@ class TokenTree:
                     old.append(at)
                 at += size
             j += 1
-            if j > last:
+            # twice as many blocks each time, so that splits that meet late are tried a few times only
+            if j > last and (j - last >= more or j == len(self.blocks)):
+                more *= 2
                 done = self._resplit("".join(held), begin - held_base, start - held_base, end - held_base, text, [x - held_base for x in old], j == len(self.blocks), at - held_base)
                 if done:
                     break
@@ -168,10 +183,18 @@ class TokenTree:
             self._renew(first)
             return
         fresh, place = [], 0
-        for i in range(0, len(sizes), BLOCK):
-            size = sum(sizes[i : i + BLOCK])
-            fresh.append(_Block(body[place : place + size], sizes[i : i + BLOCK], counts[i : i + BLOCK]))
+        n = j - first
+        fits = n <= len(sizes) <= 2 * BLOCK * n  # as many leaves as before
+        borders = [len(sizes) * k // n for k in range(n + 1)] if fits else [*range(0, len(sizes), BLOCK), len(sizes)]
+        for i, i_end in zip(borders, borders[1:]):
+            size = sum(sizes[i:i_end])
+            fresh.append(_Block(body[place : place + size], sizes[i:i_end], counts[i:i_end]))
             place += size
+        if fits:
+            self.blocks[first:j] = fresh
+            for k in range(first, j):
+                self._renew(k)
+            return
         self._plant(self.blocks[:first] + fresh + self.blocks[j:])
 
     def _resplit(self, held: str, begin: int, start: int, end: int, text: str, old: list[int], is_end: bool, size: int) -> tuple[list[str], int] | None:
@@ -214,6 +237,73 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
     return map_batches(docs.select(*cols), each, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_pretokens long, n_tokens long, n_edits long, n_tokens_after long, n_encoded long")
 
 
+TREE = "row long, block int, n_chars long, n_tokens long, text string, sizes array<int>, counts array<int>"
+
+
+def _leaves(tree: TokenTree) -> list[tuple]:
+    return [(k, len(b.text), sum(b.counts), b.text, b.sizes, b.counts) for k, b in enumerate(tree.blocks or [_Block("", [], [])])]
+
+
+def build_trees(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each leaf: id, row (a hash of the text, which tells rows of one id apart), block, n_chars, n_tokens, text, sizes and counts of its pre-tokens. An empty text has one empty leaf; rows that share id and text give their leaves each."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col))
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pre = pre_tokens(vocabulary, pattern)
+        at, out = [], []
+        for k, text in enumerate(batch.column(2).to_pylist()):
+            leaves = _leaves(TokenTree(pre, text))
+            at += [k] * len(leaves)
+            out += leaves
+        take = pa.array(at, pa.int64())
+        block, chars, tokens, texts, sizes, counts = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(take), batch.column(1).take(take), pa.array(block, pa.int32()), pa.array(chars, pa.int64()), pa.array(tokens, pa.int64()), pa.array(texts, pa.string()), pa.array(sizes, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
+            names=[id_col, "row", "block", "n_chars", "n_tokens", "text", "sizes", "counts"],
+        )
+
+    return map_batches(rows, each, f"`{id_col}` {kind}, {TREE}")
+
+
+def tree_counts(trees: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Per document's row: id, row, n_chars, n_tokens, from the leaves' sums alone."""
+    return trees.groupBy(id_col, "row").agg(F.sum("n_chars").alias("n_chars"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Trees of distinct documents' rows after a table of edits (id, start, end, text), and of each edited row its id, row, n_tokens, n_edits, n_encoded. Trees without edits pass by unread; edits without a tree are ignored. Edits are as in ``count_tokens`` and hold for all rows of their id."""
+    kind = trees.schema[id_col].dataType.simpleString()
+    per_id = edits.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.collect_list(F.struct("start", "end", "text")).alias("edits"))
+    whole = trees.dropDuplicates([id_col, "row", "block"])
+    leaf = F.struct("block", "text", "sizes", "counts")
+    touched = whole.join(per_id.select(id_col), id_col, "left_semi").groupBy(id_col, "row").agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))
+    rows = touched.join(per_id, id_col).select(id_col, "row", "leaves", "edits")
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pre = pre_tokens(vocabulary, pattern)
+        at, out, told = [], [], []
+        for k, (leaves, changes) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            tree = TokenTree.of_blocks(pre, [_Block(x["text"], x["sizes"], x["counts"]) for x in leaves if x["sizes"]])
+            for c in sorted(changes, key=lambda c: (c["start"], c["end"]), reverse=True):
+                tree.edit(c["start"], c["end"], c["text"])
+            new = _leaves(tree)
+            at += [k] * len(new)
+            out += new
+            told += [(tree.n_tokens, len(changes), tree.encoded)] * len(new)
+        take = pa.array(at, pa.int64())
+        block, chars, tokens, texts, sizes, counts = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(take), batch.column(1).take(take), pa.array(block, pa.int32()), pa.array(chars, pa.int64()), pa.array(tokens, pa.int64()), pa.array(texts, pa.string()), pa.array(sizes, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), *(pa.array(c, pa.int64()) for c in zip(*told, strict=True))],
+            names=[id_col, "row", "block", "n_chars", "n_tokens", "text", "sizes", "counts", "all_tokens", "n_edits", "n_encoded"],
+        )
+
+    done = materialise(map_batches(rows, each, f"`{id_col}` {kind}, {TREE}, all_tokens long, n_edits long, n_encoded long"), "trees")
+    summary = done.where("block = 0").select(id_col, "row", F.col("all_tokens").alias("n_tokens"), "n_edits", "n_encoded")
+    rest = whole.join(per_id.select(id_col), id_col, "left_anti")
+    return rest.unionByName(done.drop("all_tokens", "n_edits", "n_encoded")), summary
+
+
 def digit_edits(text: str) -> list[dict]:
     """Edits that write every run of digits as 0."""
     return [{"start": m.start(), "end": m.end(), "text": "0"} for m in re.finditer("[0-9]+", text)]
