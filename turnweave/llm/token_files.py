@@ -42,6 +42,8 @@ from turnweave.llm.common import MEMOS, forget, slices, table, words
 from turnweave.llm.memo import MemoEncoder
 from turnweave.runtime import scratch_path, ship_package
 
+#: Bytes of input for a file, about.
+FILE_BYTES = 256 << 20
 INDEX_MAGIC, TABLE_MAGIC, END_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 END_ID = 2
 
@@ -115,6 +117,8 @@ class Writer:
         self.entries, self.docs, self.known, self.n_ids = [], [], bytearray(), 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> (8 * self.width):
+            raise ValueError(f"id {int(ids.max())} doesn't fit in {self.width} bytes")
         raw = ids.astype(f"<u{self.width}").tobytes()
         frame = self.pack.compress(raw)
         self.stream.write(frame)
@@ -188,11 +192,16 @@ class TokenFile:
     start: int
 
 
-def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int = END_ID, width: int = 2, by_chunk: bool = True, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[TokenFile]:
-    """Encode, write one file per range of ids under the folder ``out``, return the manifest in order of ids: a row per file, never per document."""
+def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int = END_ID, width: int | None = None, by_chunk: bool = False, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[TokenFile]:
+    """Encode, write one file per range of ids under the folder ``out``, return the manifest in order of ids: a row per file, never per document. Ids are as wide as the vocabulary asks for unless ``width`` says otherwise; ``by_chunk`` is for vocabularies that ``chunk_encoder`` suits. As many files as shuffle partitions, or more where the planner's estimate of the input is over FILE_BYTES for each."""
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
     ship_package(spark)
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = width or (2 if max(Tokenizer.from_file(vocabulary).get_vocab_size(), end_id + 1) <= 1 << 16 else 4)
+    if not files:
+        estimate = int(docs.select(id_col, text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), estimate // FILE_BYTES if estimate < 1 << 60 else 0)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hashed = F.xxhash64("text")
     rows = rows.repartitionByRange(files, "id", hashed).sortWithinPartitions("id", hashed, "text")
@@ -257,5 +266,5 @@ def _batch(rows: list[tuple], with_ids: bool, id_col: str) -> pa.RecordBatch:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    manifest = write_token_files(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"))
+    manifest = write_token_files(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"), by_chunk=True)
     return read_token_files(spark, manifest, with_ids=False)
