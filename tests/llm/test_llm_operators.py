@@ -527,6 +527,32 @@ def test_features_equal_convolution():
         col += len(bias)
 
 
+def test_language_of_whole_texts_equals_brute_force(spark):
+    """Windows one by one, their probabilities weighted by their bytes; columns that clash with the result's."""
+    rng = random.Random(5)
+    net = language.train(["der die das und ist", "the and of it is", "le la les et de"] * 6, ["de", "en", "fr"] * 6, epochs=2)
+    words = "the and of der die le les et und éa 12 ?".split()
+    texts = [None, "", "123 !?", "the", "É" * 300, "ab" * 128] + [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 60, 700, 9000)]
+    rows = [(i, t, "en", True, 0.5, "xx") for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[7], (None, texts[7], "en", None, None, None)], "doc_id long, text string, lang string, held_out boolean, score double, lang_pred string").repartition(2)
+    got = language.predict(df, net).collect()
+    assert len(got) == len(texts) + 2 and got[0].asDict().keys() == {"doc_id", "held_out", "lang_pred", "score"}
+    for r in got:
+        text = texts[7 if r.doc_id is None else r.doc_id]
+        assert r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        if not text or not re.search(r"[^\W\d_]", text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        raw, sums, n = text.lower().encode(), np.zeros(3), 0
+        for k in range(0, len(raw), 256):
+            part = np.full(256, 32, np.uint8)
+            piece = np.frombuffer(raw[k : k + 256], np.uint8)
+            part[: len(piece)] = piece
+            sums += np.asarray(net.probabilities(part[None]))[0] * len(piece)
+            n += len(piece)
+        assert n == len(raw) and r.lang_pred == net.languages[int(sums.argmax())] and abs(r.score - sums.max() / n) < 1e-4
+
+
 # -- op8
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

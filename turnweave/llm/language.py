@@ -12,7 +12,9 @@ documented bound on a training sample; predictions read every byte.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. A null id counts as
 held out: nothing is learnt from it. Null languages are never learnt from. Without labelled documents
-everything is ``und``. Repeated rows give repeated results; extra columns are ignored.
+everything is ``und``. Repeated rows give repeated results; extra columns are ignored, whatever their
+names. Languages with equal probabilities: the first in their order. A text of any length is cut whole,
+its windows held in memory at once.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ the verdict is the conjunction of all rules, over the whole text.
 
 Defined results: a null text counts as no words and is rejected (fewer than ten words); so is an
 empty one. Null or repeated ids are carried through; each input row gives one output row. Extra
-columns are ignored. An empty table gives an empty result.
+columns are ignored. An empty table gives an empty result. Rules that tie in rejections per second run in
+the order in which they are listed. A text of any length is judged whole, in memory that follows its
+own length.
 """
 
 from __future__ import annotations
