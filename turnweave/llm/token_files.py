@@ -200,7 +200,7 @@ def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int =
     ship_package(spark)
     width = width or (2 if max(Tokenizer.from_file(vocabulary).get_vocab_size(), end_id + 1) <= 1 << 16 else 4)
     if not files:
-        estimate = int(docs.select(id_col, text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        estimate = int(docs.select(id_col, text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), estimate // FILE_BYTES if estimate < 1 << 60 else 0)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hashed = F.xxhash64("text")
