@@ -97,19 +97,19 @@ def _least_overlap(n: int, t: Fraction) -> int:
     return -(-n * t.numerator // t.denominator)
 
 
-def index_keys(s: np.ndarray, frequent: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Rare members, and combinations of frequent ones, under which a set stands."""
+def index_keys(s: np.ndarray, frequent: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rare members, and combinations of frequent ones, under which a set stands; and the rare members to be counted: some beyond those, as these take the places of members that become frequent."""
     n = len(s)
     e = n - _least_overlap(n, t)
     none = np.empty(0, np.uint64)
     if not len(frequent):
-        return s[: e + 1], none
+        return s[: e + 1], none, s[: 2 * e + 2]
     place = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
     known = frequent[place] == s
     rare = s[~known]
     if len(rare) > e:
-        return rare[: e + 1], none
-    return rare, combinations_of(s[known][: e + max(2, e + 1) - len(rare)])
+        return rare[: e + 1], none, rare[: 2 * e + 2]
+    return rare, combinations_of(s[known][: e + max(2, e + 1) - len(rare)]), rare
 
 
 def combinations_of(members: np.ndarray, reach: int = REACH) -> np.ndarray:
@@ -161,18 +161,18 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _index(docs: DataFrame, width: int, t: Fraction, frequent: np.ndarray) -> DataFrame:
-    """Per row: id, n, digest of the set, histogram, rare keys, combined keys."""
+    """Per row: id, n, digest of the set, histogram, rare keys, combined keys, members to be counted."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(x, width) for x in batch.column(1).to_pylist()]
-        keys = [index_keys(s, held.value, t) if len(s) else (s, s) for s in sets]
+        keys = [index_keys(s, held.value, t) if len(s) else (s, s, s) for s in sets]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes(), usedforsecurity=False).digest() for s in sets], pa.binary()), pa.array([histogram(s) for s in sets], pa.binary()), *(_lists([k[j] for k in keys]) for j in range(2))],
-            names=["id", "n", "digest", "hist", "rare", "combined"],
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes(), usedforsecurity=False).digest() for s in sets], pa.binary()), pa.array([histogram(s) for s in sets], pa.binary()), *(_lists([k[j] for k in keys]) for j in range(3))],
+            names=["id", "n", "digest", "hist", "rare", "combined", "counted"],
         )
 
-    return map_batches(docs, each, "id long, n long, digest binary, hist binary, rare array<long>, combined array<long>")
+    return map_batches(docs, each, "id long, n long, digest binary, hist binary, rare array<long>, combined array<long>, counted array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -283,7 +283,7 @@ def _reindexed(base: DataFrame, rows: DataFrame, leaders: DataFrame, width: int,
     again = touched = None
     for _ in range(ROUNDS):
         # all rows are counted once; after that only sets that held a frequent member have new first members
-        often = (_near(base, leaders) if again is None else again).select(F.explode("rare").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > frequent)
+        often = (_near(base, leaders) if again is None else again).select(F.explode("counted").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > frequent)
         new = often.orderBy(F.desc("sets"), "key").limit(MOST_FREQUENT - len(known)).toPandas()
         if not (new["sets"] > BUCKET).any():
             break
