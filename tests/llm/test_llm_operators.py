@@ -189,6 +189,19 @@ def test_word_hashes_tell_words_apart():
     assert len(word_hashes(b"")) == 0 == len(word_hashes(b" \n"))
 
 
+def test_word_hashes_of_long_texts(monkeypatch):
+    from turnweave.llm import common
+
+    rng = random.Random(3)
+    text = b" ".join(bytes(rng.choice(b"abc") for _ in range(rng.choice([1, 3, 9, 80]))) for _ in range(300)) + b" \n "
+    monkeypatch.setattr(common, "PIECE", 64)
+    parts = common.word_hashes(text)
+    of = {}
+    for w, h in zip(text.split(), parts.tolist(), strict=True):
+        assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of)
+
+
 # -- op2
 
 
