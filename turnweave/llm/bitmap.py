@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 from turnweave.runtime import ship_package
 
-#: At most 2**MAP_BITS bits (16 MB) whatever the number of hashes, 32 bits a hash where that fits. Fuller
-#: maps let more through, which the joins behind them then drop. Made in 2**MAP_PARTS parts.
+#: At most 2**MAP_BITS bits (16 MB) whatever the number of hashes. Fuller maps let more through, which the
+#: joins behind them then drop. Made in 2**MAP_PARTS parts.
 MAP_BITS, MAP_PARTS = 27, 6
 
 
-def bitmap_of(hashes: DataFrame, column: str = "gram") -> np.ndarray:
-    """Bits for the hashes by their high bits, built part by part in tasks; a fixed size comes to the driver."""
+def bitmap_of(hashes: DataFrame, column: str = "gram", each: int = 32) -> np.ndarray:
+    """Bits for the hashes by their high bits, ``each`` for a hash where that fits, built part by part in tasks; a fixed size comes to the driver."""
     hashes = hashes.select(F.col(column).alias("gram"))
     n = hashes.count()
-    bits = min(MAP_BITS, max(MAP_PARTS + 3, (32 * n).bit_length()))
+    bits = min(MAP_BITS, max(MAP_PARTS + 3, (each * n).bit_length()))
     size = 1 << (bits - MAP_PARTS - 3)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -7,7 +7,7 @@ others. Between them the two masks hit every run of 13 tokens with at most two s
 substitutions that leaves 80 % of their tokens is hit.
 
 Items become a table, and so do their seeds; a bitmap of the seeds (of a fixed size at most) is told to
-all tasks. One pass over the documents keeps, of each, the neighbourhoods of the places whose seeds the
+all tasks, with 4,096 bits a seed while that fits, so that few places pass by chance. One pass over the documents keeps, of each, the neighbourhoods of the places whose seeds the
 bitmap holds; these seeds are joined with the benchmark's, salted where the benchmark is too large to
 be told, so that a passage that very many documents hold is spread. Each hit fixes an item, and how far
 it is shifted against the document; there the item is compared token by token: an overlap is a stretch
@@ -208,7 +208,7 @@ def _overlaps(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_co
     kind = items.schema["item"].dataType.simpleString()
     if not n_seeds:
         return rows.sparkSession.createDataFrame([], f"row binary, k long, item {kind}, first_token long, end_token long, equal_tokens long, share double")
-    regions = materialise(_regions(rows, bitmap_of(seeds, "hash"), masks).dropDuplicates(["row", "region"]), "regions")
+    regions = materialise(_regions(rows, bitmap_of(seeds, "hash", 4096), masks).dropDuplicates(["row", "region"]), "regions")
     places = F.explode(F.arrays_zip("at", "hashes")).alias("p")
     hits = regions.select("row", "region", places).select("row", "region", F.col("p.at").alias("at"), F.col("p.hashes").alias("hash"))
     met = _joined(hits, seeds.select("hash", "k", "place"), "hash", n_seeds).select("row", "region", "k", (F.col("at") - F.col("place")).alias("shift")).distinct()
