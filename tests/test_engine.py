@@ -134,6 +134,11 @@ def test_crop_keeps_segments_without_length(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 5, 5), (3, 7, 10)]
 
 
+def test_label_intersection_keeps_segments_without_length(spark):
+    got = intervals.label_intersection(points(spark).where("track < 2"), ["click", "view"], "both", 4)
+    assert sorted(map(tuple, got.collect())) == [("u", "both", 5, 5)]
+
+
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "uri string, label string, start double, end double")
     assert intervals.support(none).count() == 0 == intervals.gaps(none).count()
