@@ -139,6 +139,12 @@ def test_label_intersection_keeps_segments_without_length(spark):
     assert sorted(map(tuple, got.collect())) == [("u", "both", 5, 5)]
 
 
+def test_overlap_with_segments_without_length(spark):
+    s = points(spark)
+    pairs = intervals.clipped(intervals.interval_join(s, s, ["uri"], 4).where("track < r_track"))
+    assert sorted(map(tuple, pairs.select("track", "r_track", "start", "end").collect())) == [(0, 1, 5, 5), (0, 3, 7, 10), (2, 3, 10, 10)]
+
+
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "uri string, label string, start double, end double")
     assert intervals.support(none).count() == 0 == intervals.gaps(none).count()
