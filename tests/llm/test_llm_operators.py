@@ -12,7 +12,8 @@ import pyarrow as pa
 import pytest
 
 from turnweave.llm import bitmap, decontaminate, induced, jaccard, language, pieces, pii, quality, suffix_dedup, token_counts, token_files, urls
-from turnweave.llm.common import word_hashes
+from turnweave.llm.common import MEMOS, word_hashes
+from turnweave.llm.memo import MemoEncoder
 
 WORDS = "the of and zu que é日本 foo bar baz qux Stop run 12 3.5 a|b".split()
 
@@ -239,6 +240,36 @@ def test_unigram_search_is_the_best_path(piece_models):
         assert "".join(model.pieces[i] for i in ids) == s and sum(model.scores[i] for i in ids) == pytest.approx(best[-1])
 
 
+def test_memo_keeps_the_most_used_spans():
+    asked = []
+
+    def encode_new(spans):
+        asked.extend(spans)
+        return [[int(x), len(x)] for x in spans]
+
+    memo = MemoEncoder(str.split, encode_new, limit=50)
+    try:
+        for k in range(40):
+            texts = ["7 8", " ".join(str(100 + 30 * k + j) for j in range(30)) + " 9", ""]
+            assert [x.tolist() for x in memo.encode_many(texts)] == [[i for x in t.split() for i in (int(x), len(x))] for t in texts]
+        assert all(asked.count(x) == 1 for x in "789")
+        assert len(memo.numbers) <= 50 + 33
+    finally:
+        MEMOS.remove(memo.forget)
+
+
+def test_parts_outlive_a_full_memo(monkeypatch):
+    """A part met again and again is searched once, however many others there are."""
+    m = pieces.PieceModel(pieces.default_model(), memo=40)
+    asked, encode = [], m._encode_part
+    monkeypatch.setattr(m, "_encode_part", lambda part: asked.append(part) or encode(part))
+    common = m.encode_span(" the")
+    for k in range(300):
+        m.encode_span(f" w{k}ord")
+        assert m.encode_span(" the") == common
+    assert asked.count("▁the") == 1
+
+
 def test_sentencepiece_documents(docs, empty):
     rows = pieces.encode_documents(docs, pieces.default_model())
     back = {(r.doc_id, r.text) for r in pieces.decode_documents(rows, pieces.default_model()).collect()}

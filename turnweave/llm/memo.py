@@ -22,7 +22,7 @@ class _Numbered(dict):
 
 
 class MemoEncoder:
-    """``split`` cuts a text into spans, ``encode_new`` encodes spans not met before. At most about ``limit`` spans of ``size`` characters in all are kept: beyond that, and at the end of a task, all are forgotten."""
+    """``split`` cuts a text into spans, ``encode_new`` encodes spans not met before. At most about ``limit`` spans of ``size`` characters in all are kept: beyond that, all but the most used are forgotten, and at the end of a task all are."""
 
     def __init__(self, split: Callable[[str], list], encode_new: Callable[[list], Iterable], limit: int = 200_000, size: int = 8 << 20):
         self.split, self.encode_new, self.limit, self.size = split, encode_new, limit, size
@@ -33,8 +33,24 @@ class MemoEncoder:
         self.numbers = _Numbered()
         self.ids = np.empty(0, np.uint32)
         self.at = np.zeros(1, np.int64)
+        self.uses = np.empty(0, np.int64)
         self.held = 0
 
+    def _shrink(self) -> None:
+        """Keep the spans met again and again, at most half of what may be held; forget the others."""
+        spans = list(self.numbers)
+        best = np.argsort(-self.uses, kind="stable")[: self.limit // 2]
+        best = best[self.uses[best] > 1]
+        lengths = np.cumsum([len(spans[k]) for k in best.tolist()])
+        best = np.sort(best[: np.searchsorted(lengths, self.size // 2, "right")])
+        kept, sizes = [spans[k] for k in best.tolist()], np.diff(self.at)[best]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.at[best] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        uses = self.uses[best] >> 1
+        self.forget()
+        self.numbers.update(zip(kept, range(len(kept))))
+        self.ids, self.at, self.uses, self.held = ids, np.append(0, ends), uses, sum(map(len, kept))
+
     def _learn(self) -> None:
         if new := self.numbers.new:
             got = list(self.encode_new(new))
@@ -45,12 +61,15 @@ class MemoEncoder:
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.numbers) > self.limit or self.held > self.size:
-            self.forget()
+            self._shrink()
         numbers = []
         for text in texts:
             spans = self.split(text)
             numbers.append(np.fromiter(map(self.numbers.__getitem__, spans), np.int64, len(spans)))
         self._learn()
+        met = np.bincount(np.concatenate(numbers), minlength=len(self.numbers)) if numbers else np.zeros(len(self.numbers), np.int64)
+        met[: len(self.uses)] += self.uses
+        self.uses = met
         out = []
         for n in numbers:
             sizes = self.at[n + 1] - self.at[n]

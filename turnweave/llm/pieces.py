@@ -27,6 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -62,17 +63,18 @@ class PieceModel:
         own = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in own}
         self.longest = max(map(len, self.ids))
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.prefixes = {p[:k]: -1 for p in self.ids for k in range(1, len(p) + 1)} | self.ids  # -1: no piece itself
         self.neighbours = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.byte_values = {i: b for b, i in self.byte_ids.items()}
         self.surface = np.array([p.replace(SPACE, " ") for p in self.pieces], object)
         self.special = {i for i in range(n) if model.is_control(i)}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}  # follows from the vocabulary, so it outlasts the tasks
         self._alone: dict[int, bool] = {}
         self._parts: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
         self.memo_size = memo
         self.memo = MemoEncoder(SPANS.findall, lambda spans: map(self.encode_span, spans), memo)
-        MEMOS.extend([self._pairs.clear, self._parts.clear])
+        MEMOS.append(self._forget_parts)
 
     # -- merging, for single pieces and pairs of them
 
@@ -107,17 +109,46 @@ class PieceModel:
             if (known := self._alone.get(b)) is None:
                 known = self._alone[b] = self.merge(self.pieces[b]) == [self.pieces[b]]
             return known
-        if (known := self._pairs.get((a, b))) is None:
-            if len(self._pairs) > 4 * self.memo_size:
+        key = a * len(self.pieces) + b
+        if (known := self._pairs.get(key)) is None:
+            if len(self._pairs) > 2 * self.memo_size:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self.merge(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
+            known = self._pairs[key] = self.merge(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
         return known
 
     # -- the search
 
+    def _short_search(self, text: str) -> tuple[int, ...]:
+        """``search`` for merges over so short a run that no ids would be put out before its end: the best path of each boundary as its last piece and the boundary before."""
+        prefixes, pairs, stays, longest, count = self.prefixes, self._pairs, self._stays, self.longest, len(self.pieces)
+        n = len(text)
+        last, before = [-2] * (n + 1), [0] * (n + 1)
+        last[0] = -1
+        for i in range(n):
+            a = last[i]
+            if a == -2:
+                continue
+            row = a * count
+            for j in range(i + 1, min(i + longest, n) + 1):
+                piece = prefixes.get(text[i:j])
+                if piece is None:
+                    break
+                if piece < 0 or last[j] != -2:
+                    continue
+                ok = pairs.get(row + piece) if a >= 0 else None
+                if stays(a, piece) if ok is None else ok:
+                    last[j], before[j] = piece, i
+        if last[n] == -2:
+            raise ValueError("no path")
+        out, j = [], n
+        while j:
+            out.append(last[j])
+            j = before[j]
+        return tuple(out[::-1])
+
     def search(self, text: str) -> Iterator[int]:
         """Ids of a run of characters that all have pieces, as soon as they are final."""
-        bpe, longest, ids, prefixes = self.kind == "bpe", self.longest, self.ids, self.prefixes
+        bpe, longest, prefixes = self.kind == "bpe", self.longest, self.prefixes
         root = _Node(0, -1, None, 0.0)
         live: dict[int, _Node] = {0: root}  # boundaries from the current place to one longest piece ahead
         n = len(text)
@@ -125,11 +156,10 @@ class PieceModel:
             node = live.pop(i, None)
             if node is not None:
                 for j in range(i + 1, min(i + longest, n) + 1):
-                    part = text[i:j]
-                    if part not in prefixes:
-                        break
-                    piece = ids.get(part)
+                    piece = prefixes.get(text[i:j])
                     if piece is None:
+                        break
+                    if piece < 0:
                         continue
                     if bpe:
                         if j not in live and self._stays(node.piece, piece):
@@ -168,20 +198,32 @@ class PieceModel:
     def encode_span(self, span: str) -> list[int]:
         """Ids of a span, spaces not yet replaced: cut further where no piece can lie across."""
         span = span.replace(" ", SPACE)
-        cuts = [0, *(k for k in range(1, len(span)) if span[k - 1 : k + 1] not in self.neighbours), len(span)]
+        neighbours, parts = self.neighbours, self._parts
+        cuts = [0, *[k for k, two in enumerate(map(add, span, span[1:]), 1) if two not in neighbours], len(span)]
         out: list[int] = []
         for a, b in zip(cuts, cuts[1:]):
             part = span[a:b]
-            known = self._parts.get(part)
+            known = parts.get(part)
             if known is None:
-                if len(self._parts) > self.memo_size:
-                    self._parts.clear()
-                known = tuple(self.search(part)) if part[0] in self.ids or len(part) > 1 else self._unknown(part)
+                known = self._older.get(part)
+                if known is None:
+                    known = self._encode_part(part)
                 if len(part) <= 64:
-                    self._parts[part] = known
+                    if len(parts) > self.memo_size // 2:  # parts not met since the last time go
+                        parts, self._older = {}, parts
+                        self._parts = parts
+                    parts[part] = known
             out += known
         return out
 
+    def _encode_part(self, part: str) -> tuple[int, ...]:
+        if len(part) == 1 and part not in self.ids:
+            return self._unknown(part)
+        return self._short_search(part) if self.kind == "bpe" and len(part) < 4 * self.longest else tuple(self.search(part))
+
+    def _forget_parts(self) -> None:
+        self._parts, self._older = {}, {}
+
     def _unknown(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in char.encode()) if self.byte_ids else (self.unknown,)
 

@@ -65,7 +65,8 @@ def chunk_encoder(path: str) -> MemoEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     known: dict[str, list[int]] = {}
-    MEMOS.append(known.clear)
+    older: dict[str, list[int]] = {}
+    MEMOS.extend([known.clear, older.clear])
 
     def learn(pieces: list[str]) -> None:
         """Encode pieces as one text, parted by spaces: the places of its tokens tell whose they are."""
@@ -80,11 +81,15 @@ def chunk_encoder(path: str) -> MemoEncoder:
                 at = cut
 
     def encode_new(chunks: list[bytes]) -> Iterator[list[int]]:
-        if len(known) > 150_000:
+        if len(known) > 75_000:  # pieces not met since the last time go
+            older.clear()
+            older.update(known)
             known.clear()
         texts = [c.decode() for c in chunks]
         plain = [PIECES.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        learn(list({p for x in plain if x for p in x}.difference(known)))
+        new = {p for x in plain if x for p in x}.difference(known)
+        known.update({p: older[p] for p in new.intersection(older)})
+        learn(list(new.difference(known)))
         others = iter(tokenizer.encode_batch_fast([t for t, x in zip(texts, plain, strict=True) if x is None], add_special_tokens=False))
         for x in plain:
             if x is None:
