@@ -145,6 +145,29 @@ def test_overlap_with_segments_without_length(spark):
     assert sorted(map(tuple, pairs.select("track", "r_track", "start", "end").collect())) == [(0, 1, 5, 5), (0, 3, 7, 10), (2, 3, 10, 10)]
 
 
+@pytest.mark.parametrize("shape", [(1, 1), (2, 5), (5, 5), (4, 7)])
+def test_matrices_side_by_side(shape):
+    rng = np.random.default_rng(3)
+    cost = np.concatenate([rng.random((60, *shape)), -rng.integers(0, 3, (60, *shape)).astype(float)])
+    for row, one in zip(assignment.solve_many(cost).tolist(), cost, strict=True):
+        assert list(enumerate(row)) == assignment.solve(one)
+
+
+def test_many_files_take_few_python_calls(spark, monkeypatch):
+    """A mapping of thousands of files is solved in batches of files, not file by file."""
+    rows = [(f"f{k}", a, b, float((k * 7 + ord(a) * 3 + ord(b) * 5) % 11)) for k in range(3000) for a in "abc" for b in "xy"]
+    df = spark.createDataFrame(rows, "uri string, label string, r_label string, together double")
+    m = assignment._mapping(df, False)
+    assert "FlatMapGroupsInPandas" not in m._jdf.queryExecution().toString()
+    got = {}
+    for r in m.collect():
+        got[r["uri"]] = got.get(r["uri"], 0.0) + r["together"]
+    gain = {(u, a, b): g for u, a, b, g in rows}
+    for k in range(0, 3000, 37):
+        best = max(gain[f"f{k}", a, "x"] + gain[f"f{k}", b, "y"] for a in "abc" for b in "abc" if a != b)
+        assert got.get(f"f{k}", 0.0) == best
+
+
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "uri string, label string, start double, end double")
     assert intervals.support(none).count() == 0 == intervals.gaps(none).count()

@@ -3,10 +3,11 @@ one group's small matrix (classes by classes) is solved in Python."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,47 @@ def solve(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j])
 
 
+def solve_many(cost: np.ndarray) -> np.ndarray:
+    """``solve`` for many matrices of one shape (k, n, m), n <= m, side by side: the column of each row, (k, n)."""
+    a = np.asarray(cost, float)
+    k, n, m = a.shape
+    every = np.arange(k)
+    u, v = np.zeros((k, n + 1)), np.zeros((k, m + 1))
+    match = np.zeros((k, m + 1), int)
+    for i in range(1, n + 1):
+        match[:, 0] = i
+        least, way, used = np.full((k, m + 1), np.inf), np.zeros((k, m + 1), int), np.zeros((k, m + 1), bool)
+        j0, on = np.zeros(k, int), every  # ``on``: matrices whose path has not reached a free column
+        while len(on):
+            at = j0[on]
+            used[on, at] = True
+            row = match[on, at]
+            free = ~used[on, 1:]
+            reduced = a[on, row - 1] - u[on, row][:, None] - v[on, 1:]
+            better = free & (reduced < least[on, 1:])
+            least[on, 1:] = np.where(better, reduced, least[on, 1:])
+            way[on, 1:] = np.where(better, at[:, None], way[on, 1:])
+            reach = np.where(free, least[on, 1:], np.inf)
+            j1 = reach.argmin(1) + 1
+            delta = reach[np.arange(len(on)), j1 - 1][:, None]
+            taken = used[on]
+            g, j = np.nonzero(taken)
+            u[on[g], match[on[g], j]] += delta[g, 0]
+            v[on] -= np.where(taken, delta, 0.0)
+            least[on] -= np.where(taken, 0.0, delta)
+            j0[on] = j1
+            on = on[match[on, j1] != 0]
+        on = every
+        while len(on):
+            match[on, j0[on]] = match[on, way[on, j0[on]]]
+            j0[on] = way[on, j0[on]]
+            on = on[j0[on] != 0]
+    out = np.full((k, n), -1)
+    g, j = np.nonzero(match[:, 1:])
+    out[g, match[g, j + 1] - 1] = j
+    return out
+
+
 def solve_greedy(gain: np.ndarray) -> list[tuple[int, int]]:
     """Again and again the largest positive gain among what is left; ties: the first row, then column."""
     g, out = np.array(gain, float), []
@@ -78,16 +120,53 @@ def co_occurrence(reference: DataFrame, hypothesis: DataFrame, bucket: float) ->
     return both.groupBy("uri", "label", "r_label").agg(F.sum(F.col("end") - F.col("start")).alias("together"))
 
 
-def _mapping(together: DataFrame, greedy: bool) -> DataFrame:
-    ship_package(together.sparkSession)
+#: Matrices that are solved side by side.
+MANY = 4096
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index="label", columns="r_label", values="together", fill_value=0.0, aggfunc="sum").sort_index().sort_index(axis=1)
-        gain = m.to_numpy(float)
-        pairs = solve_greedy(gain) if greedy else [(r, c) for r, c in solve(-gain) if gain[r, c] > 0]
-        return pd.DataFrame([(pdf["uri"].iloc[0], m.index[r], m.columns[c], gain[r, c]) for r, c in pairs], columns=["uri", "label", "r_label", "together"])
 
-    return together.groupBy("uri").applyInPandas(each, "uri string, label string, r_label string, together double")
+def _mapping(together: DataFrame, greedy: bool) -> DataFrame:
+    """A uri's matrix is one row with its labels and gains, so that a task takes its files in batches."""
+    ship_package(together.sparkSession)
+    cell = F.struct("label", "r_label", F.col("together").cast("double").alias("together"))
+    files = together.where("label is not null and r_label is not null").groupBy("uri").agg(F.collect_list(cell).alias("m"))
+    names = [F.array_sort(F.array_distinct(f"m.{c}")).alias(f"{c}s") for c in ("label", "r_label")]
+    place = lambda c: F.transform(f"m.{c}", lambda x: F.array_position(f"{c}s", x).cast("int") - 1).alias(c)
+    files = files.select("uri", *names, "m").select("uri", "labels", "r_labels", place("label"), place("r_label"), F.col("m.together").alias("gain"))
+
+    def solved(shape: tuple[int, int], gains: list[np.ndarray]) -> list[list[tuple[int, int]]]:
+        if greedy:
+            return [solve_greedy(g) for g in gains]
+        gain = np.stack(gains)
+        if shape[0] <= shape[1]:
+            found = [list(enumerate(x)) for x in solve_many(-gain).tolist()]
+        else:
+            found = [sorted((r, c) for c, r in enumerate(x)) for x in solve_many(-gain.transpose(0, 2, 1)).tolist()]
+        return [[(r, c) for r, c in pairs if g[r, c] > 0] for pairs, g in zip(found, gains, strict=True)]
+
+    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        uri, rows, columns, r, c, gain = (x.to_pylist() for x in batch.columns)
+        by_shape: dict[tuple[int, int], list[int]] = {}
+        gains = []
+        for k in range(len(uri)):
+            g = np.zeros((len(rows[k]), len(columns[k])))
+            np.add.at(g, (r[k], c[k]), gain[k])
+            gains.append(g)
+            by_shape.setdefault(g.shape, []).append(k)
+        pairs: list = [None] * len(uri)
+        for shape, held in by_shape.items():
+            for k, found in zip(held, solved(shape, [gains[k] for k in held]), strict=True):
+                pairs[k] = found
+        out = [(uri[k], rows[k][i], columns[k][j], float(gains[k][i, j])) for k in range(len(uri)) for i, j in pairs[k]]
+        names = ["uri", "label", "r_label", "together"]
+        kinds = [pa.string()] * 3 + [pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], names=names)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, MANY):
+                yield some(batch.slice(k, MANY))
+
+    return files.mapInArrow(each, "uri string, label string, r_label string, together double")
 
 
 def optimal_mapping(reference: DataFrame, hypothesis: DataFrame, bucket: float) -> DataFrame:
