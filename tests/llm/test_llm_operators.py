@@ -240,6 +240,20 @@ def test_unigram_search_is_the_best_path(piece_models):
         assert "".join(model.pieces[i] for i in ids) == s and sum(model.scores[i] for i in ids) == pytest.approx(best[-1])
 
 
+def test_index_stores_rare_keys_once(docs):
+    t, none = Fraction(8, 10), np.empty(0, np.uint64)
+    rows = docs.selectExpr("doc_id as id", "text")
+    index = jaccard._index(rows, 5, t, none)
+    assert "rare" not in index.columns
+    texts = {}
+    for r in rows.collect():
+        texts.setdefault(r["id"], set()).add(r["text"])
+    for r in index.select("id", "n", jaccard._rare().alias("rare")).collect():
+        sets = [jaccard.shingles(x, 5) for x in texts[r["id"]]]
+        wanted = [jaccard.index_keys(s, none, t)[0].view(np.int64).tolist() if len(s) else [] for s in sets]
+        assert r["rare"] in wanted
+
+
 def test_memo_keeps_the_most_used_spans():
     asked = []
 

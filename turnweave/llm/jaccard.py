@@ -62,7 +62,7 @@ from pyspark.sql import functions as F
 
 from turnweave.llm.common import lower_ascii, map_batches, table, word_hashes
 from turnweave.llm.components import components
-from turnweave.runtime import drop_materialised, materialise
+from turnweave.runtime import drop_materialised, free_shuffles, materialise
 
 BUCKET, PIVOTS, REACH, DEPTH = 64, 64, 4, 4
 #: Times that the index is built anew at most; members still crowded then go to the rounds of pivots.
@@ -160,19 +160,25 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate(arrays)) if arrays else np.empty(0, np.int64)))
 
 
-def _index(docs: DataFrame, width: int, t: Fraction, frequent: np.ndarray) -> DataFrame:
-    """Per row: id, n, digest of the set, histogram, rare keys, combined keys, members to be counted."""
+def _index(docs: DataFrame, width: int, t: Fraction, frequent: np.ndarray, sketch: bool = True) -> DataFrame:
+    """Per row: id, n, members to be counted, of which the first ``n_rare`` are the rare keys, combined keys; with ``sketch`` also the digest of the set and its histogram."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(x, width) for x in batch.column(1).to_pylist()]
         keys = [index_keys(s, held.value, t) if len(s) else (s, s, s) for s in sets]
+        drawn = [pa.array([hashlib.md5(s.tobytes(), usedforsecurity=False).digest() for s in sets], pa.binary()), pa.array([histogram(s) for s in sets], pa.binary())] if sketch else []
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes(), usedforsecurity=False).digest() for s in sets], pa.binary()), pa.array([histogram(s) for s in sets], pa.binary()), *(_lists([k[j] for k in keys]) for j in range(3))],
-            names=["id", "n", "digest", "hist", "rare", "combined", "counted"],
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([len(k[0]) for k in keys], pa.int32()), *(_lists([k[j] for k in keys]) for j in (1, 2)), *drawn],
+            names=["id", "n", "n_rare", "combined", "counted", "digest", "hist"][: 5 + len(drawn)],
         )
 
-    return map_batches(docs, each, "id long, n long, digest binary, hist binary, rare array<long>, combined array<long>, counted array<long>")
+    return map_batches(docs, each, "id long, n long, n_rare int, combined array<long>, counted array<long>" + ", digest binary, hist binary" * sketch)
+
+
+def _rare() -> Column:
+    """The rare keys of a row of ``_index``: not stored twice, as they begin the members to be counted."""
+    return F.slice("counted", F.lit(1), F.col("n_rare"))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -230,8 +236,10 @@ def _crowded_and_pairs(keys: DataFrame, t: Fraction) -> tuple[DataFrame, DataFra
     """Of rows (key, combined, id, n, told, w, m): the rows under keys of several sets, those under crowded ones, and the candidate pairs (a, b) of the others. Two sets that are told already, or whose m members can't make up for the sum of their w, need not meet."""
     each = 2 * (t.numerator + t.denominator)
     counts = materialise(keys.groupBy("key", "combined").agg(F.count(F.lit(1)).alias("sets"), F.min("told").alias("all_told")).where("sets > 1 and not all_told").drop("all_told"), "counts")
+    free_shuffles(keys.sparkSession)
     index = materialise(keys.join(counts, ["key", "combined"]), "keys")
     drop_materialised(counts)
+    free_shuffles(keys.sparkSession)
     buckets = index.where(F.col("sets") <= BUCKET).groupBy("key", "combined").agg(F.array_sort(F.collect_list(F.struct("n", "id", "told", "w", "m"))).alias("m"))
     fits = lambda x, y: (y["n"] * t.numerator <= x["n"] * t.denominator) & ~(x["told"] & y["told"]) & (x["w"] + y["w"] <= each * F.least(x["m"], y["m"]))
     paired = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, BUCKET), lambda y: fits(x, y)), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))))
@@ -247,6 +255,7 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: Fraction = F
     heads = materialise(base.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", "head"), "heads")
     leaders = materialise(heads.where("id = head").select("id").distinct(), "leaders")
     own, temporary = _reindexed(base, rows, leaders, width, t, frequent)
+    own = own.select("id", "n", _rare().alias("rare"), "combined")
     one = lambda column, combined: F.transform(column, lambda k: F.struct(k.alias("key"), F.lit(combined).alias("combined")))
     keys = own.select("id", "n", F.explode(F.concat(one("rare", False), one("combined", True))).alias("k")).select("k.key", "k.combined", "id", "n", F.lit(False).alias("told"), F.lit(0).cast("long").alias("w"), F.lit(0).alias("m"))
     index, large, pairs = _crowded_and_pairs(keys, t)
@@ -254,15 +263,18 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: Fraction = F
     for x in (base, leaders, *temporary):
         drop_materialised(x)
     pairs = materialise(_bounded(pairs, sketches, t), "pairs")
+    free_shuffles(docs.sparkSession)
     links = _verified_from_text(pairs, rows, width, t)
     drop_materialised(pairs)
     large = materialise(large, "large")
     drop_materialised(index)
+    free_shuffles(docs.sparkSession)
 
     told, depth = [links], 0
     while depth < DEPTH and large.limit(1).count():
         found, large = _differences(large, rows, width, t)
         told.append(found)
+        free_shuffles(docs.sparkSession)
         depth += 1
     if depth:
         links = materialise(reduce(DataFrame.unionByName, told), "links")
@@ -289,14 +301,16 @@ def _reindexed(base: DataFrame, rows: DataFrame, leaders: DataFrame, width: int,
             break
         known = np.unique(np.concatenate([known, new["key"].to_numpy(np.int64).view(np.uint64)]))
         told = F.broadcast(base.sparkSession.createDataFrame(new[["key"]], "key long"))
-        hit = base.select("id", F.explode("rare").alias("key")).join(told, "key", "left_semi").select("id")
+        hit = base.select("id", F.explode(_rare()).alias("key")).join(told, "key", "left_semi").select("id")
         hit = materialise((hit if touched is None else hit.unionByName(touched)).distinct(), "touched")
         for x in (again, touched):
             if x is not None:
                 drop_materialised(x)
         touched = hit
-        again = materialise(_index(_near(_near(rows, leaders), touched), width, t, known), "again")
-    own = _near(base, leaders)
+        again = materialise(_index(_near(_near(rows, leaders), touched), width, t, known, sketch=False), "again")
+        del often, new, told, hit
+        free_shuffles(base.sparkSession)
+    own = _near(base.drop("digest", "hist"), leaders)
     if again is None:
         return own, []
     return _near(own, touched, "left_anti").unionByName(again), [again, touched]

@@ -56,6 +56,12 @@ def drop_materialised(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark deletes a shuffle's files only once nothing on the
+    driver refers to it, and a driver with free memory may not find that out for a whole query."""
+    spark.sparkContext._jvm.System.gc()
+
+
 @lru_cache(maxsize=8)
 def _ship(app: str) -> None:
     spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
