@@ -261,7 +261,7 @@ def test_memo_keeps_the_most_used_spans():
         asked.extend(spans)
         return [[int(x), len(x)] for x in spans]
 
-    memo = MemoEncoder(str.split, encode_new, limit=50)
+    memo = MemoEncoder(str.split, encode_new, limit=50, keep=True)
     try:
         for k in range(40):
             texts = ["7 8", " ".join(str(100 + 30 * k + j) for j in range(30)) + " 9", ""]

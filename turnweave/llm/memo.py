@@ -22,10 +22,10 @@ class _Numbered(dict):
 
 
 class MemoEncoder:
-    """``split`` cuts a text into spans, ``encode_new`` encodes spans not met before. At most about ``limit`` spans of ``size`` characters in all are kept: beyond that, all but the most used are forgotten, and at the end of a task all are."""
+    """``split`` cuts a text into spans, ``encode_new`` encodes spans not met before. At most about ``limit`` spans of ``size`` characters in all are kept: beyond that, and at the end of a task, all are forgotten; with ``keep``, which pays where encoding is slow, the most used outlast a full memo."""
 
-    def __init__(self, split: Callable[[str], list], encode_new: Callable[[list], Iterable], limit: int = 200_000, size: int = 8 << 20):
-        self.split, self.encode_new, self.limit, self.size = split, encode_new, limit, size
+    def __init__(self, split: Callable[[str], list], encode_new: Callable[[list], Iterable], limit: int = 200_000, size: int = 8 << 20, keep: bool = False):
+        self.split, self.encode_new, self.limit, self.size, self.keep = split, encode_new, limit, size, keep
         self.forget()
         MEMOS.append(self.forget)
 
@@ -61,15 +61,16 @@ class MemoEncoder:
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.numbers) > self.limit or self.held > self.size:
-            self._shrink()
+            self._shrink() if self.keep else self.forget()
         numbers = []
         for text in texts:
             spans = self.split(text)
             numbers.append(np.fromiter(map(self.numbers.__getitem__, spans), np.int64, len(spans)))
         self._learn()
-        met = np.bincount(np.concatenate(numbers), minlength=len(self.numbers)) if numbers else np.zeros(len(self.numbers), np.int64)
-        met[: len(self.uses)] += self.uses
-        self.uses = met
+        if self.keep and numbers:
+            met = np.bincount(np.concatenate(numbers), minlength=len(self.numbers))
+            met[: len(self.uses)] += self.uses
+            self.uses = met
         out = []
         for n in numbers:
             sizes = self.at[n + 1] - self.at[n]

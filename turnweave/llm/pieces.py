@@ -73,7 +73,7 @@ class PieceModel:
         self._parts: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
         self.memo_size = memo
-        self.memo = MemoEncoder(SPANS.findall, lambda spans: map(self.encode_span, spans), memo)
+        self.memo = MemoEncoder(SPANS.findall, lambda spans: map(self.encode_span, spans), memo, keep=True)
         MEMOS.append(self._forget_parts)
 
     # -- merging, for single pieces and pairs of them
