@@ -36,3 +36,17 @@ def test_nothing_outside_imports_llm():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "turnweave.llm" not in f.read_text(), f
+
+
+@pytest.mark.parametrize("name", ["seg_label_intersection", "seg_overlap_join"])
+def test_events_before_the_epoch(spark, tmp_path, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2023-12-31 23:58:00.000700' + to_microseconds(i * 1234567) AS ts, i % 3 AS user_id,
+      ['click', 'view'][i % 2 + 1] AS event_type, CAST(i % 5 AS DOUBLE) / 4 AS value FROM range(200) r(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    theirs = con.execute(catalogue.SQL[name])
+    rows = df.select(*[c[0] for c in theirs.description]).collect()
+    assert rows and sorted(map(tuple, rows)) == sorted(theirs.fetchall())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH = "2024-01-01 00:00:00"
+EPOCH_MS = 1_704_067_200_000
 HOUR = 3_600_000
 
 
@@ -15,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as turns: uri, start, end, label, track."""
-    start = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{EPOCH}', ts) div 1000")
+    # whole milliseconds of 1970, as ``div`` cuts towards zero: from EPOCH it would round up what lies before it
+    start = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 1000") - EPOCH_MS
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("uri"), start.alias("start"), F.round(F.col("value") * 100).cast("long").alias("_d"), F.col("event_type").alias("label"), F.col("event_id").alias("track"))
     return rows.select("uri", "start", (F.col("start") + F.col("_d") * 6000).alias("end"), "label", "track")
 
