@@ -165,6 +165,24 @@ def test_index_keys_lose_no_pair():
         assert most is None or most >= k
 
 
+def test_similar_components_leaves_no_shuffle_files(spark, docs, monkeypatch):
+    """What a query of the join shuffled goes when that query ends, not when the driver next collects its garbage."""
+    import time
+
+    monkeypatch.setattr(jaccard, "free_shuffles", lambda spark: None)
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {p for p in held.getAllFiles().mkString("\n").split("\n") if "shuffle_" in p}
+    before = files()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name)
+    out = jaccard.similar_components(docs, 3, Fraction(9, 10), frequent=2)
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert out.count() == docs.count() and spark.conf.get(name) == setting
+
+
 def test_jaccard_filter_keeps_one_of_each_group(docs, empty):
     kept = jaccard.filter_documents(docs, 3, Fraction(9, 10))
     assert kept.columns == docs.columns

@@ -62,7 +62,7 @@ from pyspark.sql import functions as F
 
 from turnweave.llm.common import lower_ascii, map_batches, table, word_hashes
 from turnweave.llm.components import components
-from turnweave.runtime import drop_materialised, free_shuffles, materialise
+from turnweave.runtime import drop_materialised, free_shuffles, materialise, shuffles_freed
 
 BUCKET, PIVOTS, REACH, DEPTH = 64, 64, 4, 4
 #: Times that the index is built anew at most; members still crowded then go to the rounds of pivots.
@@ -248,7 +248,11 @@ def _crowded_and_pairs(keys: DataFrame, t: Fraction) -> tuple[DataFrame, DataFra
 
 def similar_components(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(8, 10), id_col: str = "doc_id", text_col: str = "text", frequent: int = 16) -> DataFrame:
     """Per row: id, n_shingles, component_id."""
-    t = similarity
+    with shuffles_freed(docs.sparkSession):
+        return _similar_components(docs, width, similarity, id_col, text_col, frequent)
+
+
+def _similar_components(docs: DataFrame, width: int, t: Fraction, id_col: str, text_col: str, frequent: int) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = materialise(_index(rows, width, t, np.empty(0, np.uint64)), "index")
     classes = base.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("head"))
@@ -434,7 +438,8 @@ def filter_documents(docs: DataFrame, width: int = 5, similarity: Fraction = Fra
         numbers = materialise(numbers, "numbers")
         docs = docs.where(named).dropDuplicates([id_col, "_digest"]).join(numbers, [id_col, "_digest"]).unionByName(docs.where(~named).withColumn("_row", F.lit(None).cast("long")))
         key = "_row"
-    comps = materialise(similar_components(docs, width, similarity, key, text_col).select(F.col(key).alias("id"), F.col("component_id").alias("c")).where("id is not null"), "components")
+    with shuffles_freed(docs.sparkSession):
+        comps = materialise(similar_components(docs, width, similarity, key, text_col).select(F.col(key).alias("id"), F.col("component_id").alias("c")).where("id is not null"), "components")
     gone = comps.where("c <> id").select(F.col("id").alias(key)).distinct()
     return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, key, "left_anti").select(*columns)
 

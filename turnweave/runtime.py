@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from pathlib import Path
 
@@ -62,6 +64,20 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within this block a shuffle's files go as soon as the query that wrote them has ended, whatever
+    still refers to it: for operators whose every query ends in a table or a figure. Should a plan run
+    again, Spark makes them anew."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 @lru_cache(maxsize=8)
 def _ship(app: str) -> None:
     spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
