@@ -577,6 +577,19 @@ def test_plain_chunks_equal_library():
     assert [x.tolist() for x in ours.encode_many(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_new_chunks_are_encoded_together():
+    """Chunks not met before cost no search of their own for their pieces, and no places of tokens."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, ours = Tokenizer.from_file(path), token_files.chunk_encoder.__wrapped__(path)
+    rng = random.Random(7)
+    chunks = list(dict.fromkeys("".join(rng.choice(["tion", "É", "un", "'s", "7", "...", "ß", "SCH"]) for _ in range(rng.randint(1, 7))) for _ in range(3000)))
+    ids, sizes = ours.encode_new([c.encode() for c in [*chunks, "日本", "a<|b"]])
+    assert sizes.tolist() == [len(library.encode(c, add_special_tokens=False).ids) for c in [*chunks, "日本", "a<|b"]]
+    assert ids.tolist() == [i for c in [*chunks, "日本", "a<|b"] for i in library.encode(c, add_special_tokens=False).ids]
+
+
 # -- op7
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 
@@ -22,9 +23,9 @@ class _Numbered(dict):
 
 
 class MemoEncoder:
-    """``split`` cuts a text into spans, ``encode_new`` encodes spans not met before. At most about ``limit`` spans of ``size`` characters in all are kept: beyond that, and at the end of a task, all are forgotten; with ``keep``, which pays where encoding is slow, the most used outlast a full memo."""
+    """``split`` cuts a text into spans, ``encode_new`` encodes spans not met before (their ids one by one, or all ids in a row and how many are whose). At most about ``limit`` spans of ``size`` characters in all are kept: beyond that, and at the end of a task, all are forgotten; with ``keep``, which pays where encoding is slow, the most used outlast a full memo."""
 
-    def __init__(self, split: Callable[[str], list], encode_new: Callable[[list], Iterable], limit: int = 200_000, size: int = 8 << 20, keep: bool = False):
+    def __init__(self, split: Callable[[str], list], encode_new: Callable[[list], Iterable | tuple[np.ndarray, np.ndarray]], limit: int = 200_000, size: int = 8 << 20, keep: bool = False):
         self.split, self.encode_new, self.limit, self.size, self.keep = split, encode_new, limit, size, keep
         self.forget()
         MEMOS.append(self.forget)
@@ -53,15 +54,35 @@ class MemoEncoder:
 
     def _learn(self) -> None:
         if new := self.numbers.new:
-            got = list(self.encode_new(new))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32)])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in got])])
+            got = self.encode_new(new)
+            if not isinstance(got, tuple):  # the ids of each span: laid end to end
+                got = list(got)
+                sizes = list(map(len, got))
+                got = np.fromiter(chain.from_iterable(got), np.uint32, sum(sizes)), np.array(sizes, np.int64)
+            self.ids = np.concatenate([self.ids, got[0]])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(got[1])])
             self.held += sum(map(len, new))
             new.clear()
 
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+    def _make_room(self) -> None:
         if len(self.numbers) > self.limit or self.held > self.size:
             self._shrink() if self.keep else self.forget()
+
+    def _ids_of(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the spans of these numbers in a row, and how many are whose."""
+        sizes = self.at[n + 1] - self.at[n]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.at[n] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+    def encode_spans(self, spans: list) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the spans in a row, and how many are whose."""
+        self._make_room()
+        n = np.fromiter(map(self.numbers.__getitem__, spans), np.int64, len(spans))
+        self._learn()
+        return self._ids_of(n)
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        self._make_room()
         numbers = []
         for text in texts:
             spans = self.split(text)
@@ -71,9 +92,4 @@ class MemoEncoder:
             met = np.bincount(np.concatenate(numbers), minlength=len(self.numbers))
             met[: len(self.uses)] += self.uses
             self.uses = met
-        out = []
-        for n in numbers:
-            sizes = self.at[n + 1] - self.at[n]
-            ends = np.cumsum(sizes)
-            out.append(self.ids[np.repeat(self.at[n] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
+        return [self._ids_of(n)[0] for n in numbers]

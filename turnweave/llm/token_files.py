@@ -28,6 +28,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +50,9 @@ END_ID = 2
 
 
 #: Chunks of printable ASCII and Latin letters, which the vocabulary's normaliser only lower-cases,
-#: and the pieces that its splitter makes of them.
+#: and the pieces that its splitter makes of them, as of several chunks with spaces between them.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]| |[^ a-zß-öø-ÿ0-9]+")
 
 
 @lru_cache(maxsize=2)
@@ -64,35 +65,45 @@ def chunk_encoder(path: str) -> MemoEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, list[int]] = {}
-    MEMOS.append(known.clear)
-
-    def learn(pieces: list[str]) -> None:
-        """Encode pieces as one text, parted by spaces: the places of its tokens tell whose they are."""
-        for k in range(0, len(pieces), 4096):
-            part = pieces[k : k + 4096]
-            got = tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ends = np.cumsum([len(p) + 1 for p in part])
-            cuts = np.searchsorted([a for a, _ in got.offsets], ends)
-            ids, at = got.ids, 0
-            for piece, cut in zip(part, cuts.tolist(), strict=True):
-                known[piece] = ids[at:cut]
-                at = cut
-
-    def encode_new(chunks: list[bytes]) -> Iterator[list[int]]:
-        if len(known) > 150_000:
-            known.clear()
-        texts = [c.decode() for c in chunks]
-        plain = [PIECES.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        learn(list({p for x in plain if x for p in x}.difference(known)))
-        others = iter(tokenizer.encode_batch_fast([t for t, x in zip(texts, plain, strict=True) if x is None], add_special_tokens=False))
-        for x in plain:
-            if x is None:
-                yield next(others).ids
-            elif len(x) == 1:
-                yield known[x[0]]
+
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    last = np.array([bool(suffix) and (tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(tokenizer.get_vocab_size())])
+
+    def learn(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode pieces as one text, parted by spaces: tokens that end a word tell whose they are, or their places where these don't. A space is a piece without ids."""
+        ids, sizes = [], []
+        for k in range(0, len(new), 4096):
+            part = new[k : k + 4096]
+            text, own = " ".join(part), np.fromiter(map(" ".__ne__, part), bool, len(part))
+            got = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends, size = np.flatnonzero(last[got]), np.zeros(len(part), np.int64)
+            if len(ends) == own.sum():
+                size[own] = np.diff(ends, prepend=-1)
             else:
-                yield [i for p in x for i in known[p]]
+                starts = [a for a, _ in tokenizer.encode(text, add_special_tokens=False).offsets]
+                size = np.diff(np.searchsorted(starts, np.cumsum([len(p) + 1 for p in part])), prepend=0)
+            ids.append(got)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    pieces = MemoEncoder(PIECES.findall, learn, 150_000)
+
+    def encode_new(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = b" ".join(chunks).decode().split(" ")
+        plain = np.array([PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts])
+        sizes = np.zeros(len(texts), np.int64)
+        found = PIECES.findall(" ".join([t for t, x in zip(texts, plain.tolist(), strict=True) if x]).lower())
+        ids, each = pieces.encode_spans(found)
+        if plain.any():  # the pieces up to a space are those of one chunk
+            borders = np.fromiter(map(" ".__eq__, found), bool, len(found))
+            sizes[plain] = np.diff(np.append(np.cumsum(each)[borders], len(ids)), prepend=0)
+        if plain.all():
+            return ids, sizes
+        others = [x.ids for x in tokenizer.encode_batch_fast([t for t, x in zip(texts, plain.tolist(), strict=True) if not x], add_special_tokens=False)]
+        sizes[~plain] = list(map(len, others))
+        out, own = np.empty(sizes.sum(), np.uint32), np.repeat(plain, sizes)
+        out[own], out[~own] = ids, list(chain.from_iterable(others))
+        return out, sizes
 
     return MemoEncoder(words, encode_new)
 
