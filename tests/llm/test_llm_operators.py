@@ -510,6 +510,29 @@ def test_urls(spark):
     assert urls.filter_urls(df.where("false"), urls.rules_table(spark, urls.RULES)).count() == 0
 
 
+def test_decode_equals_library():
+    """Runs of byte pieces beside other pieces, and the unknown id."""
+    import sentencepiece
+
+    library, m = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model()), pieces.piece_model(pieces.default_model())
+    rng = random.Random(8)
+    own, raw = [i for p, i in m.ids.items() if "▁" not in p[1:]], [[m.byte_ids[b] for b in c.encode()] for c in "\n\té\U0001f40d日"]
+    for _ in range(300):
+        ids = [rng.choice(own), *(i for _ in range(rng.randint(0, 12)) for i in ([rng.choice(own)] if rng.random() < 0.5 else rng.choice(raw)))]
+        assert m.decode(np.array(ids)) == library.decode(ids)
+    the = library.encode("the")
+    assert m.decode(np.array([*the, m.unknown])) == library.decode([*the, m.unknown])
+
+
+def test_trie_holds_every_prefix():
+    m = pieces.piece_model(pieces.default_model())
+    for p, piece in random.Random(9).sample(sorted(m.prefixes.items()), 2000):
+        following = m.trie
+        for char in p:
+            found, following = following[char]
+        assert found == piece
+
+
 # -- op6
 
 

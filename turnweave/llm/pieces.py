@@ -64,10 +64,12 @@ class PieceModel:
         self.ids = {self.pieces[i]: i for i in own}
         self.longest = max(map(len, self.ids))
         self.prefixes = {p[:k]: -1 for p in self.ids for k in range(1, len(p) + 1)} | self.ids  # -1: no piece itself
+        self.trie = self._trie()
         self.neighbours = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.byte_values = {i: b for b, i in self.byte_ids.items()}
-        self.surface = np.array([p.replace(SPACE, " ") for p in self.pieces], object)
-        self.special = {i for i in range(n) if model.is_control(i)}
+        self._byte_of = np.full(n, -1, np.int16)
+        self._byte_of[list(self.byte_ids.values())] = list(self.byte_ids)
+        self.surface = np.array([" ⁇ " if i == self.unknown else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)], object)
+        self._is_special = np.array([model.is_control(i) for i in range(n)])
         self._pairs: dict[int, bool] = {}  # follows from the vocabulary, so it outlasts the tasks
         self._alone: dict[int, bool] = {}
         self._parts: dict[str, tuple[int, ...]] = {}
@@ -76,6 +78,16 @@ class PieceModel:
         self.memo = MemoEncoder(SPANS.findall, lambda spans: map(self.encode_span, spans), memo, keep=True)
         MEMOS.append(self._forget_parts)
 
+    def _trie(self) -> dict[str, tuple]:
+        """The pieces by characters: each leads to a piece (-1: none) and the characters that may follow."""
+        followers: dict[str, dict] = {"": {}}
+        nothing: dict = {}
+        longer = {p[:-1] for p in self.prefixes}
+        for p in sorted(self.prefixes, key=len):
+            own = followers[p] = {} if p in longer else nothing
+            followers[p[:-1]][p[-1]] = (self.prefixes[p], own)
+        return followers[""]
+
     # -- merging, for single pieces and pairs of them
 
     def merge(self, text: str) -> list[str]:
@@ -120,7 +132,7 @@ class PieceModel:
 
     def _short_search(self, text: str) -> tuple[int, ...]:
         """``search`` for merges over so short a run that no ids would be put out before its end: the best path of each boundary as its last piece and the boundary before."""
-        prefixes, pairs, stays, longest, count = self.prefixes, self._pairs, self._stays, self.longest, len(self.pieces)
+        trie, pairs, stays, count = self.trie, self._pairs, self._stays, len(self.pieces)
         n = len(text)
         last, before = [-2] * (n + 1), [0] * (n + 1)
         last[0] = -1
@@ -128,11 +140,12 @@ class PieceModel:
             a = last[i]
             if a == -2:
                 continue
-            row = a * count
-            for j in range(i + 1, min(i + longest, n) + 1):
-                piece = prefixes.get(text[i:j])
-                if piece is None:
+            row, following = a * count, trie
+            for j, char in enumerate(text[i:], i + 1):
+                found = following.get(char)
+                if found is None:
                     break
+                piece, following = found
                 if piece < 0 or last[j] != -2:
                     continue
                 ok = pairs.get(row + piece) if a >= 0 else None
@@ -198,24 +211,28 @@ class PieceModel:
     def encode_span(self, span: str) -> list[int]:
         """Ids of a span, spaces not yet replaced: cut further where no piece can lie across."""
         span = span.replace(" ", SPACE)
-        neighbours, parts = self.neighbours, self._parts
-        cuts = [0, *[k for k, two in enumerate(map(add, span, span[1:]), 1) if two not in neighbours], len(span)]
+        neighbours = self.neighbours
+        twos = list(map(add, span, span[1:]))
+        if neighbours.issuperset(twos):
+            return list(self._part(span))
+        cuts = [0, *[k for k, two in enumerate(twos, 1) if two not in neighbours], len(span)]
         out: list[int] = []
         for a, b in zip(cuts, cuts[1:]):
-            part = span[a:b]
-            known = parts.get(part)
-            if known is None:
-                known = self._older.get(part)
-                if known is None:
-                    known = self._encode_part(part)
-                if len(part) <= 64:
-                    if len(parts) > self.memo_size // 2:  # parts not met since the last time go
-                        parts, self._older = {}, parts
-                        self._parts = parts
-                    parts[part] = known
-            out += known
+            out += self._part(span[a:b])
         return out
 
+    def _part(self, part: str) -> tuple[int, ...]:
+        known = self._parts.get(part)
+        if known is None:
+            known = self._older.get(part)
+            if known is None:
+                known = self._encode_part(part)
+            if len(part) <= 64:
+                if len(self._parts) > self.memo_size // 2:  # parts not met since the last time go
+                    self._parts, self._older = {}, self._parts
+                self._parts[part] = known
+        return known
+
     def _encode_part(self, part: str) -> tuple[int, ...]:
         if len(part) == 1 and part not in self.ids:
             return self._unknown(part)
@@ -237,22 +254,15 @@ class PieceModel:
     def decode(self, ids: np.ndarray | None) -> str | None:
         if ids is None:
             return None
-        if not self.special.isdisjoint(found := set(np.unique(ids).tolist())):
-            ids = np.array([i for i in ids.tolist() if i not in self.special], np.int64)
-        if self.byte_values.keys().isdisjoint(found):
-            text = "".join(self.surface[ids])
-        else:
-            out, held = [], bytearray()
-            for i in ids.tolist():
-                if (b := self.byte_values.get(i)) is not None:
-                    held.append(b)
-                    continue
-                if held:
-                    out.append(held.decode(errors="replace"))
-                    held.clear()
-                out.append(self.surface[i] if i != self.unknown else " ⁇ ")
-            out.append(held.decode(errors="replace"))
-            text = "".join(out)
+        ids = ids[~self._is_special[ids]]
+        parts, values = self.surface[ids], self._byte_of[ids]
+        at = np.flatnonzero(values >= 0)
+        if len(at):
+            raw = values[at].astype(np.uint8).tobytes()
+            starts = np.flatnonzero(np.diff(at, prepend=-2) > 1).tolist()  # of runs of byte pieces
+            parts[at] = ""
+            parts[at[starts]] = [raw[a:b].decode(errors="replace") for a, b in zip(starts, [*starts[1:], len(raw)])]
+        text = "".join(parts.tolist())
         return text[1:] if text.startswith(" ") else text
 
 
