@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterable
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 
 from turnweave.llm.common import MEMOS
 
 
-class _Numbered(dict):
-    """Numbers for spans as they first appear."""
-
-    def __init__(self) -> None:
-        self.new: list = []
-
-    def __missing__(self, key) -> int:
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
+def _numbered(kept: list = ()) -> defaultdict:
+    """Numbers for spans as they first appear, after those of ``kept``."""
+    return defaultdict(count(len(kept)).__next__, zip(kept, range(len(kept))))
 
 
 class MemoEncoder:
@@ -31,7 +25,7 @@ class MemoEncoder:
         MEMOS.append(self.forget)
 
     def forget(self) -> None:
-        self.numbers = _Numbered()
+        self.numbers = _numbered()
         self.ids = np.empty(0, np.uint32)
         self.at = np.zeros(1, np.int64)
         self.uses = np.empty(0, np.int64)
@@ -49,11 +43,11 @@ class MemoEncoder:
         ids = self.ids[np.repeat(self.at[best] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
         uses = self.uses[best] >> 1
         self.forget()
-        self.numbers.update(zip(kept, range(len(kept))))
+        self.numbers = _numbered(kept)
         self.ids, self.at, self.uses, self.held = ids, np.append(0, ends), uses, sum(map(len, kept))
 
     def _learn(self) -> None:
-        if new := self.numbers.new:
+        if new := list(islice(self.numbers, len(self.at) - 1, None)):
             got = self.encode_new(new)
             if not isinstance(got, tuple):  # the ids of each span: laid end to end
                 got = list(got)
@@ -62,7 +56,6 @@ class MemoEncoder:
             self.ids = np.concatenate([self.ids, got[0]])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(got[1])])
             self.held += sum(map(len, new))
-            new.clear()
 
     def _make_room(self) -> None:
         if len(self.numbers) > self.limit or self.held > self.size:

@@ -49,9 +49,9 @@ INDEX_MAGIC, TABLE_MAGIC, END_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 END_ID = 2
 
 
-#: Chunks of printable ASCII and Latin letters, which the vocabulary's normaliser only lower-cases,
+#: Chunks of printable ASCII and Latin letters (what is in none, and how special tokens begin), which the vocabulary's normaliser only lower-cases,
 #: and the pieces that its splitter makes of them, as of several chunks with spaces between them.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+NOT_PLAIN = re.compile("[^ !-~À-ÖØ-öø-ÿ]|<\\|")
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]| |[^ a-zß-öø-ÿ0-9]+")
 
 
@@ -86,13 +86,17 @@ def chunk_encoder(path: str) -> MemoEncoder:
             sizes.append(size)
         return np.concatenate(ids), np.concatenate(sizes)
 
-    pieces = MemoEncoder(PIECES.findall, learn, 150_000)
+    pieces = MemoEncoder(PIECES.findall, learn, 300_000)
 
     def encode_new(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = b" ".join(chunks).decode().split(" ")
-        plain = np.array([PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts])
-        sizes = np.zeros(len(texts), np.int64)
-        found = PIECES.findall(" ".join([t for t, x in zip(texts, plain.tolist(), strict=True) if x]).lower())
+        text = b" ".join(chunks).decode()
+        texts = text.split(" ")
+        plain, sizes = np.ones(len(texts), bool), np.zeros(len(texts), np.int64)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        plain[np.searchsorted(ends, [x.start() for x in NOT_PLAIN.finditer(text)], "right")] = False
+        if not plain.all():
+            text = " ".join([t for t, x in zip(texts, plain.tolist(), strict=True) if x])
+        found = PIECES.findall(text.lower())
         ids, each = pieces.encode_spans(found)
         if plain.any():  # the pieces up to a space are those of one chunk
             borders = np.fromiter(map(" ".__eq__, found), bool, len(found))
