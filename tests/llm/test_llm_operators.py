@@ -302,6 +302,24 @@ def test_parts_outlive_a_full_memo(monkeypatch):
     assert asked.count("▁the") == 1
 
 
+def test_search_leaves_boundaries_that_the_path_does_not_need(piece_models, monkeypatch):
+    """Of the pairs of pieces in a run, few are merged anew; the ids are the library's, for one block of spans and many."""
+    ours, library = piece_models
+    m = pieces.PieceModel(pieces.default_model())
+    asked, stays = [], m._stays
+    monkeypatch.setattr(m, "_stays", lambda a, b: asked.append((a, b)) or stays(a, b))
+    for word in ("internationalization", "wonderfully", "understanding"):
+        assert m.encode_span(f" {word}") == library.encode(word)
+    assert len(asked) < 15
+    rng = random.Random(12)
+    known = list(m.ids)
+    texts = ["".join(rng.choice(known) for _ in range(rng.randint(1, 8))) for _ in range(400)] + ["".join(rng.choice("abdeghinorst ") for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    for size in (1 << 20, 50, 1):
+        monkeypatch.setattr(pieces, "BLOCK", size)
+        m.memo.forget()
+        assert [x.tolist() for x in m.encode_many(texts)] == library.encode(texts)
+
+
 def test_sentencepiece_documents(docs, empty):
     rows = pieces.encode_documents(docs, pieces.default_model())
     back = {(r.doc_id, r.text) for r in pieces.decode_documents(rows, pieces.default_model()).collect()}
@@ -769,6 +787,23 @@ def test_pii_added_spans_equal_brute_force(spark):
     assert any(f"commit {key}" in t for t in masked.values())
 
 
+def test_masking_searches_the_texts_once(spark, monkeypatch):
+    """A filter on the candidates, or a second pass, would repeat the patterns in the plans."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    plans, written = [], pii.materialise
+    monkeypatch.setattr(pii, "materialise", lambda df, name: plans.append(plan(df)) or written(df, name))
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        df = spark.createDataFrame([(1, "mail a@b.com", None), (1, None, "x"), (None, "", "y")], "doc_id long, text string, `a b` string")
+        masked = pii.mask(df)
+        plans.append(plan(masked))
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert sum(p.count("regexp_extract_all(") for p in plans) == len(pii.KINDS) + len(pii.WIDE)
+    assert sorted(masked.collect(), key=str) == sorted([(1, "mail <email>", None), (1, None, "x"), (None, "", "y")], key=str)
+
+
 def test_reconcile_trusts_agreeing_labelers():
     counts = [((1, 1, -1, 1, -1, 1), 100.0), ((0, 0, -1, 0, 0, 0), 100.0), ((0, 1, -1, 0, -1, 0), 20.0)]
     post, rates = pii.reconcile(counts)

@@ -27,7 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from operator import add
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ from turnweave.llm.common import MEMOS, map_batches, table
 from turnweave.llm.memo import MemoEncoder
 
 SPACE = "▁"
+#: Characters of new spans that are cut at once; a longer span is cut alone.
+BLOCK = 1 << 20
 SPANS = re.compile(r"[ ▁]*[^ ▁\n]+|\n|[ ▁]+")
 
 
@@ -66,6 +68,7 @@ class PieceModel:
         self.prefixes = {p[:k]: -1 for p in self.ids for k in range(1, len(p) + 1)} | self.ids  # -1: no piece itself
         self.trie = self._trie()
         self.neighbours = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self._beside = self._neighbour_bits()
         self._byte_of = np.full(n, -1, np.int16)
         self._byte_of[list(self.byte_ids.values())] = list(self.byte_ids)
         self.surface = np.array([" ⁇ " if i == self.unknown else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)], object)
@@ -75,7 +78,7 @@ class PieceModel:
         self._parts: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
         self.memo_size = memo
-        self.memo = MemoEncoder(SPANS.findall, lambda spans: map(self.encode_span, spans), memo, keep=True)
+        self.memo = MemoEncoder(SPANS.findall, self.encode_spans, memo, keep=True)
         MEMOS.append(self._forget_parts)
 
     def _trie(self) -> dict[str, tuple]:
@@ -131,28 +134,32 @@ class PieceModel:
     # -- the search
 
     def _short_search(self, text: str) -> tuple[int, ...]:
-        """``search`` for merges over so short a run that no ids would be put out before its end: the best path of each boundary as its last piece and the boundary before."""
+        """``search`` for merges over so short a run that no ids would be put out before its end: the best path of each boundary as its last piece and the boundary before. As a boundary has one path at most, whichever reaches it first is the best; boundaries are taken from the farthest, and those that the whole run's path doesn't need are left."""
         trie, pairs, stays, count = self.trie, self._pairs, self._stays, len(self.pieces)
         n = len(text)
         last, before = [-2] * (n + 1), [0] * (n + 1)
         last[0] = -1
-        for i in range(n):
-            a = last[i]
-            if a == -2:
-                continue
-            row, following = a * count, trie
-            for j, char in enumerate(text[i:], i + 1):
+        ahead: list[tuple[int, int, int]] = []  # a piece, where it ends and begins
+        i, a = 0, -1
+        while i < n:
+            following = trie
+            for j, char in enumerate(text[i:] if i else text, i + 1):
                 found = following.get(char)
                 if found is None:
                     break
                 piece, following = found
-                if piece < 0 or last[j] != -2:
-                    continue
-                ok = pairs.get(row + piece) if a >= 0 else None
-                if stays(a, piece) if ok is None else ok:
-                    last[j], before[j] = piece, i
-        if last[n] == -2:
-            raise ValueError("no path")
+                if piece >= 0 and last[j] == -2:
+                    ahead.append((piece, j, i))
+            while ahead:
+                piece, i, k = ahead.pop()
+                if last[i] == -2:
+                    a = last[k]
+                    ok = pairs.get(a * count + piece) if a >= 0 else None
+                    if stays(a, piece) if ok is None else ok:
+                        last[i], before[i] = piece, k
+                        break
+            else:
+                raise ValueError("no path")
         out, j = [], n
         while j:
             out.append(last[j])
@@ -208,18 +215,43 @@ class PieceModel:
             node = node.parent
         return out[::-1]
 
+    def _neighbour_bits(self) -> tuple[np.ndarray, int, np.ndarray]:
+        """A number for each character that stands beside another in a piece (0: none), how many numbers there are, and a bit for each two of them: whether they do."""
+        chars = sorted({c for two in self.neighbours for c in two})
+        number = np.zeros(0x110000, np.int32)
+        number[list(map(ord, chars))] = np.arange(1, len(chars) + 1)
+        bits = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        twos = number[[[ord(c) for c in two] for two in self.neighbours]].reshape(-1, 2)
+        bits[twos[:, 0], twos[:, 1]] = True
+        return number, len(bits), np.packbits(bits)
+
+    def encode_spans(self, spans: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the spans, spaces not yet replaced, in a row, and how many are whose."""
+        ends = np.cumsum(np.fromiter(map(len, spans), np.int64, len(spans)))
+        block = ends // BLOCK
+        edges = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(spans)]
+        done = [self._encode_block(spans[a:b]) for a, b in zip(edges, edges[1:])]
+        return np.concatenate([np.empty(0, np.uint32), *(x for x, _ in done)]), np.concatenate([np.empty(0, np.int64), *(x for _, x in done)])
+
+    def _encode_block(self, spans: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode_spans`` of all spans at once: laid end to end, and cut between them and where no piece can lie across."""
+        lengths = np.fromiter(map(len, spans), np.int64, len(spans))
+        ends = np.cumsum(lengths)
+        text = "".join(spans).replace(" ", SPACE)
+        number, count, bits = self._beside
+        n = number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        two = n[:-1].astype(np.int64) * count + n[1:]
+        cut = np.ones(len(text) + 1, bool)
+        cut[1:-1] = bits[two >> 3] << (two & 7).astype(np.uint8) & 128 == 0
+        cut[ends] = True
+        cuts = np.flatnonzero(cut)
+        at = cuts.tolist()
+        found = [self._part(text[a:b]) for a, b in zip(at, at[1:])]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), np.add.reduceat(sizes, np.searchsorted(cuts, ends - lengths))
+
     def encode_span(self, span: str) -> list[int]:
-        """Ids of a span, spaces not yet replaced: cut further where no piece can lie across."""
-        span = span.replace(" ", SPACE)
-        neighbours = self.neighbours
-        twos = list(map(add, span, span[1:]))
-        if neighbours.issuperset(twos):
-            return list(self._part(span))
-        cuts = [0, *[k for k, two in enumerate(twos, 1) if two not in neighbours], len(span)]
-        out: list[int] = []
-        for a, b in zip(cuts, cuts[1:]):
-            out += self._part(span[a:b])
-        return out
+        return self.encode_spans([span])[0].tolist()
 
     def _part(self, part: str) -> tuple[int, ...]:
         known = self._parts.get(part)

@@ -14,7 +14,8 @@ identity need a known prefix or words before them that say so.
 
 All counts cover all documents. What comes to the driver is the table of counts by vote pattern and
 features: at most ``2**6 * 3**2 * 6`` rows. Candidates (positions and votes, no texts) are found once
-and written to the shared folder for training; the texts are never shuffled.
+and written to the shared folder for training (with the rows, where these are to be masked); the
+texts are never shuffled.
 
 Defined results: a null text counts as empty and has no spans; ids, null or repeated, are carried
 through row by row; other columns are ignored; an empty table gives an empty result. Positions are
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnweave.llm.common import table
-from turnweave.runtime import drop_materialised, materialise
+from turnweave.runtime import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 #: With those that have no strict pattern.
@@ -285,11 +286,9 @@ def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with every span replaced by its kind in angle brackets; other columns unchanged. Overlapping spans are masked as one, named after the first. Training reads the candidates from a written table; the second pass finds them anew beside the texts, so that no text is written or joined."""
-    votes = materialise(candidates(docs, id_col, text_col).select("_c").where(F.size("_c") > 0), "pii_votes")
-    w = train(votes)
-    drop_materialised(votes)
-    found = candidates(docs.withColumn("_row", F.struct(*docs.columns)), "_row", text_col)
+    """The rows with every span replaced by its kind in angle brackets; other columns unchanged. Overlapping spans are masked as one, named after the first. The rows are written once with their candidates, which training and masking read: a filter on the candidates, or a second pass, would search all texts anew."""
+    found = materialise(candidates(docs.withColumn("_row", F.struct(*docs.columns)), "_row", text_col), "pii_rows")
+    w = train(found)
     rows = _decided(found, w).select("_id", F.col("spans").alias("_s")).withColumn("_text", F.col(f"_id.{text_col}"))
     names = F.array(*[F.lit(f"<{k}>") for k in ALL])
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
