@@ -105,6 +105,29 @@ def test_jaccard_join_with_crowded_keys(spark, monkeypatch, seed, depth, bucket)
     assert 1 < len(set(got.values())) < 43
 
 
+def test_groups_of_crowded_keys_join_no_sets(spark, monkeypatch):
+    """Sets that share a key, also by way of others, are one group; links go from key to key, not from every set of every key."""
+    rng = random.Random(4)
+    rows = sorted({(rng.randint(30 * (i % 5), 30 * (i % 5) + 9), rng.random() < 0.5, i, 7) for i in range(60) for _ in range(rng.randint(1, 3))} | {(500, True, 0, 7), (500, True, 1, 7), (501, False, 99, 7)})
+    asked, components = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda links, *ends: asked.append(links) or components(links, *ends))
+    got = jaccard._groups(spark.createDataFrame(rows, "key long, combined boolean, id long, n long")).collect()
+    group = {i: {i} for _, _, i, _ in rows}
+    for _ in rows:
+        for key, combined, i, _ in rows:
+            for other, joined, j, _ in rows:
+                if (key, combined) == (other, joined) and group[i] is not group[j]:
+                    group[i] |= group[j]
+                    for x in group[j]:
+                        group[x] = group[i]
+    by_g = {}
+    for r in got:
+        by_g.setdefault(r.g, set()).add(r.id)
+    assert sorted(map(sorted, by_g.values())) == sorted(map(sorted, {id(x): x for x in group.values()}.values())) and len(by_g) > 3
+    assert {(r.id, r.n, r.k) for r in got} == {(i, 7, sum(x[2] == i for x in rows)) for i in group}
+    assert "Join" not in asked[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_difference_keys_lose_no_pair():
     """Lists that share enough of their members share a key, whatever members are frequent."""
     rng = np.random.default_rng(2)

@@ -58,6 +58,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnweave.llm.common import lower_ascii, map_batches, table, word_hashes
@@ -321,11 +322,12 @@ def _reindexed(base: DataFrame, rows: DataFrame, leaders: DataFrame, width: int,
 
 
 def _groups(large: DataFrame) -> DataFrame:
-    """(g, id, n, k): sets under crowded keys, those that share a key in one group, with the number of their keys."""
-    least = large.groupBy("key", "combined").agg(F.min("id").alias("least"))
-    groups = components(large.join(least, ["key", "combined"]).select(F.col("id").alias("a"), F.col("least").alias("b")))
-    ids = large.groupBy("id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    return materialise(ids.join(groups, ids["id"] == groups["node"]).select(F.col("component").alias("g"), "id", "n", "k"), "groups")
+    """(g, id, n, k): sets under crowded keys, those that share a key in one group, with the number of their keys. Each set stands behind its least key, and a key is linked with the least keys of its sets: keys are joined, which are fewer than their rows."""
+    node = F.xxhash64("key", "combined")
+    first = F.min("node").over(W.partitionBy("id"))
+    groups = components(large.select("id", node.alias("node")).select("node", first.alias("first")), "node", "first")
+    ids = large.groupBy("id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("k"), F.min(node).alias("first"))
+    return materialise(ids.join(groups, ids["first"] == groups["node"], "left").select(F.coalesce("component", "first").alias("g"), "id", "n", "k"), "groups")
 
 
 def _differences(large: DataFrame, rows: DataFrame, width: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
